@@ -153,8 +153,8 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     return LanguageModel(langs, features([bytes(r["t"]) for r in sample]), np.array([langs.index(r["lang"]) for r in sample]))
 
 
-def predict(docs: DataFrame, model: LanguageModel, *keys: str) -> DataFrame:
-    """Key columns, ``lang_pred`` and ``score`` of every document.
+def predict(docs: DataFrame, model: LanguageModel, *keys: str, text: bool = False) -> DataFrame:
+    """Key columns, ``lang_pred`` and ``score`` of every document, with ``text`` its text too.
 
     Only the text is looked at. Null texts and texts without a letter get ``und`` with score 0, as does every text
     when the model has learned no language. Repeated rows keep their number; an empty table gives an empty result.
@@ -171,10 +171,11 @@ def predict(docs: DataFrame, model: LanguageModel, *keys: str) -> DataFrame:
             if at:
                 lang[at], score[at] = m.decide(m.margins([texts[i].encode("utf-8", "surrogatepass") for i in at]))
             names = np.array([*m.langs, UNKNOWN], object)
-            yield pa.RecordBatch.from_arrays([*b.columns[:nk], pa.array(names[lang], pa.string()), pa.array(score)], [*keys, "lang_pred", "score"])
+            keep = nk + text
+            yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(names[lang], pa.string()), pa.array(score)], [*b.schema.names[:keep], "lang_pred", "score"])
 
     rows = text_or_empty(docs, *keys)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (rows.schema if text else rows.schema[:-1]))
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
