@@ -49,6 +49,7 @@ CONTEXT = {
     "secret": r"(?i)(?:token|secret|password|passwd|key)",
 }
 BEFORE = 24
+SPANS = "array<struct<kind:int,s:int,e:int,base:boolean,votes:int>>"
 
 
 def _found(text, pattern: str):
@@ -104,14 +105,19 @@ def _votes(kind: str, x, base):
 def candidate_spans(text):
     """Candidate spans of a text with kind (index into KINDS), s, e, base and votes, by kind, then start."""
     no, yes = F.lit(False), F.lit(True)
+
+    def gated(gate, pattern: str, votes):
+        # most texts have none of a kind: a plain search is far cheaper than the full pattern
+        return F.when(gate, F.transform(_found(text, pattern), votes)).otherwise(F.array().cast(SPANS))
+
     sets = [
-        F.transform(_found(text, EMAIL), lambda x: _votes("email", x, yes)),
-        F.transform(_found(text, SPELLED), lambda x: _votes("email", x, no)),
-        F.transform(_found(text, IP), lambda x: _votes("ip", x, x["v"].rlike(OCTETS))),
-        F.transform(_found(text, CHAIN), lambda x: _votes("card", x, F.length(_digits(x["v"])).between(16, 19) & _luhn(_digits(x["v"])))),
-        F.transform(_found(text, PHONE), lambda x: _votes("phone", x, F.length(_digits(x["v"])).between(8, 15))),
-        F.transform(_found(text, NATIONAL), lambda x: _votes("phone", x, no)),
-        F.transform(_found(text, SECRET), lambda x: _votes("secret", x, no)),
+        gated(F.contains(text, F.lit("@")), EMAIL, lambda x: _votes("email", x, yes)),
+        gated(F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")), SPELLED, lambda x: _votes("email", x, no)),
+        gated(text.rlike(r"[0-9]\.[0-9]"), IP, lambda x: _votes("ip", x, x["v"].rlike(OCTETS))),
+        gated(text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), CHAIN, lambda x: _votes("card", x, F.length(_digits(x["v"])).between(16, 19) & _luhn(_digits(x["v"])))),
+        gated(F.contains(text, F.lit("+")), PHONE, lambda x: _votes("phone", x, F.length(_digits(x["v"])).between(8, 15))),
+        gated(text.rlike(r"[0-9]{3}[-.][0-9]{4}"), NATIONAL, lambda x: _votes("phone", x, no)),
+        gated((F.contains(text, F.lit('"')) | F.contains(text, F.lit("'"))) & text.rlike(r"""[:=]\s{0,3}["'][0-9A-Za-z+/_-]{16}"""), SECRET, lambda x: _votes("secret", x, no)),
     ]
     return F.array_sort(F.concat(*sets))
 
