@@ -3,7 +3,8 @@
 Level one tells language families apart, level two the languages within a family; both use one-versus-one linear
 support vector machines (squared hinge, trained by accelerated gradient descent) over hashed byte 2- and 3-grams of the
 whole, ASCII-lower-cased text. The classifiers are fitted on the driver from a bounded sample of labelled documents
-(``SAMPLE_PER_LANG``); prediction streams Arrow batches through numpy on the executors.
+(``SAMPLE_PER_LANG``) of distinct texts, whose gram counts the executors take over whole texts; prediction streams
+Arrow batches through numpy on the executors.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty
 
-#: Labelled documents per language that training uses at most, and bytes of each that count.
+#: Distinct labelled texts per language that training uses at most.
 SAMPLE_PER_LANG = 400
-SAMPLE_BYTES = 20_000
 BUCKETS = 1 << 14
+#: Bytes of a text whose grams are hashed at a time.
+PART_BYTES = 4 << 20
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: Families of ISO 639-1 codes; any other label is a family of its own.
@@ -45,12 +47,21 @@ def grams(data: bytes) -> np.ndarray:
     return np.concatenate([(two + np.uint32(0x5EED)) * np.uint32(2654435761) >> shift, (three + np.uint32(0xC0FFEE)) * np.uint32(2246822519) >> shift])
 
 
-def features(texts: list[bytes]) -> np.ndarray:
+def sparse_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of the grams of a whole text, the non-zero ones; long texts are counted in overlapping parts."""
+    data = b" " + text.lower() + b"  "
+    total = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(data) - 2, PART_BYTES):
+        total += np.bincount(grams(data[i : i + PART_BYTES + 2]), minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    return at, total[at]
+
+
+def features(counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Rows of gram frequencies, square-rooted and scaled to unit length: sensitive to rare grams, not to text length."""
-    x = np.zeros((len(texts), BUCKETS), np.float32)
-    for i, t in enumerate(texts):
-        x[i] = np.bincount(grams(b" " + t.lower() + b"  "), minlength=BUCKETS)
-    np.sqrt(x, out=x)
+    x = np.zeros((len(counts), BUCKETS), np.float32)
+    for i, (at, n) in enumerate(counts):
+        x[i, at] = np.sqrt(n)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
@@ -137,20 +148,32 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
-    """Learn from ``text`` and ``lang`` of ``docs``; at most ``per_lang`` documents of each language, the ones with the smallest hashes of their text."""
-    rows = docs.where("lang is not null and text is not null").select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    """Learn from ``text`` and ``lang`` of ``docs``; at most ``per_lang`` distinct texts of each language.
+
+    These are the texts with the smallest hashes, so the choice does not depend on partitions or on how often a text is
+    repeated. Executors count the grams of the whole texts; the driver gets one sparse row of at most ``BUCKETS``
+    entries a text.
+    """
+    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text", F.lit("sample")).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one row a language
     langs = sorted(counts)
     if not langs:
         return LanguageModel([], np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64))
     # a share of each language that leaves somewhat more than enough, cut to the exact number by the window
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, 3.0 * per_lang / counts[k])))])
-    h = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30))
-    few = rows.withColumn("h", h).where(F.col("h") < share[F.col("lang")] * (1 << 30))
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_lang)
-    sample = few.select("lang", F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("t")).collect()
-    sample.sort()
-    return LanguageModel(langs, features([bytes(r["t"]) for r in sample]), np.array([langs.index(r["lang"]) for r in sample]))
+    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, 3.0 * per_lang / max(1, counts[k]))))])
+    few = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).dropDuplicates(["lang", "h"])
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("r") <= per_lang)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sparse_counts(t.as_py().encode("utf-8", "surrogatepass")) for t in b.column(2)]
+            raw = [pa.array([x[k].astype(kind).tobytes() for x in found], pa.binary()) for k, kind in enumerate(("<u2", "<i8"))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *raw], ["lang", "h", "at", "n"])
+
+    sample = few.select("lang", "h", "text").mapInArrow(count, "lang string, h long, at binary, n binary").collect()
+    sample.sort(key=lambda r: (r["lang"], r["h"]))
+    x = features([(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<i8")) for r in sample])
+    return LanguageModel(langs, x, np.array([langs.index(r["lang"]) for r in sample]))
 
 
 def predict(docs: DataFrame, model: LanguageModel, *keys: str, text: bool = False) -> DataFrame:
