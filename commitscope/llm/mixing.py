@@ -3,8 +3,9 @@
 1. Targets: all words are shared among the sources by weight; a target stops at three times its source's size and the
    excess is shared again by weight.
 2. The words to take are cut into equal blocks; blocks go to sources by highest quotients target / (2 k + 1).
-3. Each source is dealt over shards of about ``SHARD_DOCS`` documents (so a hot source has many); its blocks go to its
-   shards by the same rule with the shards' sizes, which gives an integer quota per shard.
+3. Each source is dealt over shards of about ``SHARD_DOCS`` documents (so a hot source has many), the shards over
+   groups of ``GROUP_SHARDS``; its blocks go to its groups, and a group's blocks to its shards, by the same rule with
+   their sizes, which gives an integer quota per shard. No task sees more than one group's shards.
 4. Within a shard the documents stand in a seeded order and their words are cut into blocks; whole passes take every
    block once, and the rest of the quota goes to the blocks with the smallest seeded hashes. A document gets the words
    of the chosen blocks that are its own.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 CAP = 3
-SHARD_DOCS, MOST_BLOCK = 512, 512
+SHARD_DOCS, GROUP_SHARDS, MOST_BLOCK = 512, 4096, 512
 #: Sources are mixture components, named in a recipe; more than this many is an error, not a silent cut.
 MOST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,16 +106,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> Data
     rows = base.join(recipe, same).drop(recipe["source"]).withColumn("order", order)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "body"), F.col("shards")))
 
-    sizes = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
+    group = F.expr(f"shard div {GROUP_SHARDS}").alias("group")
+    sizes = rows.groupBy("source", "shard", group).agg(F.sum("size").alias("words"), F.first("quota").alias("quota")).withColumn("blocks", F.expr(f"words div {block}"))
+    groups = sizes.groupBy("source", "group").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"), F.first("quota").alias("quota"))
 
-    def quotas(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("shard")
-        blocks = part["words"].to_numpy() // block
-        part["blocks"] = blocks
-        part["take"] = apportion(int(part["quota"].iloc[0]), part["words"].to_numpy(), cap * blocks)
-        return part[["source", "shard", "blocks", "take"]]
+    def quotas(part: pd.DataFrame, by: str) -> pd.DataFrame:
+        part = part.sort_values(by)
+        part["take"] = apportion(int(part["quota"].iloc[0]), part["words"].to_numpy(), cap * part["blocks"].to_numpy())
+        return part
 
-    plan = sizes.groupBy("source").applyInPandas(quotas, "source string, shard long, blocks long, take long")
+    given = groups.groupBy("source").applyInPandas(lambda p: quotas(p, "group")[["source", "group", "take"]], "source string, group long, take long")
+    given = given.withColumnsRenamed({"source": "s", "group": "g", "take": "quota"})
+    sizes = sizes.drop("quota").join(given, F.expr("source <=> s and group = g")).drop("s", "g")
+    plan = sizes.groupBy("source", "group").applyInPandas(lambda p: quotas(p, "shard")[["source", "shard", "blocks", "take"]], "source string, shard long, blocks long, take long")
     # of a shard's whole blocks, which take part in the last, partial pass: the smallest hashes
     extra = plan.where("blocks > 0 and take % blocks > 0").select("source", "shard", (F.col("take") % F.col("blocks")).alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("no"))
     by = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "source", "shard", "no"), "no")
