@@ -51,14 +51,19 @@ def fingerprint(text: str, width: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``, fp as a signed 64-bit integer; a null text counts as empty (fingerprint zero)."""
+    """``(doc_id, fp, body)``, fp as a signed 64-bit integer, body a hash of the text; a null text counts as empty (fingerprint zero)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], ["doc_id", "fp", "body"])
 
-    return text_or_empty(docs, "doc_id").mapInArrow(run, "doc_id long, fp long")
+    return text_or_empty(docs, "doc_id").withColumn("body", body_of("text")).mapInArrow(run, "doc_id long, fp long, body long")
+
+
+def body_of(text: str):
+    """Hash that tells the texts of rows with one id apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _links(key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
@@ -208,12 +213,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     it never names a component unless all members lack an id. An empty table gives an empty result. Other columns of
     the table are ignored.
     """
+    return _grouped(docs).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
     docs = written(fingerprints(docs), "simhash")
     reps = docs.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     of = connected_components(links(reps.select("fp"))).withColumnRenamed("node", "fp")
     labelled = reps.join(of, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return docs.join(labelled.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return docs.join(labelled.join(least, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "fp", "body", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, *columns: str) -> DataFrame:
+    """The given columns of one row of each component: the smallest doc_id's, of equal ids the smallest text hash's.
+
+    A null doc_id comes last, so a row without an id stays only where no member of its component has one; rows without
+    an id and with different texts are told apart by these. Repeated rows leave one.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
+    keep = _grouped(docs).groupBy("component").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("keep_id"), F.col("k.body").alias("keep_body"))
+    kept = docs.select(*columns).join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (body_of("text") == F.col("keep_body")), "left_semi")
+    return kept.withColumn("keep_body", body_of("text")).dropDuplicates(["doc_id", "keep_body"]).drop("keep_body")
 
 
 def hex_of(fp):
