@@ -184,7 +184,6 @@ class Model:
         Of merges of equal score the leftmost comes first.
         """
         n = len(a)
-        depth = 1
         edge_a, edge_b = [a], [b]
         while (self.right[edge_a[-1]] >= 0).any():
             edge_a.append(np.where(self.right[edge_a[-1]] >= 0, self.right[edge_a[-1]], edge_a[-1]))
@@ -194,7 +193,6 @@ class Model:
         # height of each: first row at which the edge has reached a character
         ia, ib = (ea[1:] != ea[:-1]).sum(axis=0), (eb[1:] != eb[:-1]).sum(axis=0)
         ok, live = np.ones(n, bool), np.arange(n)
-        del depth
         with np.errstate(over="ignore"):
             while len(live):
                 x, y = ea[ia[live], live], eb[ib[live], live]
