@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 PREFIX = r"^[a-z]+(\([^)]+\))?:\s+"
 REVERT_SUBJECT = r"^Revert\b"
@@ -82,9 +84,15 @@ def code_tokens(text, cap: int = 4096):
     return F.aggregate(every, start, add, lambda acc: acc["out"])
 
 
+@F.pandas_udf(StringType())
+def compatible_form(text: pd.Series) -> pd.Series:
+    """NFKC, which Spark has no function for; for distinct names, not for rows of commits."""
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
 def normal_name(name):
-    """Trimmed, white space collapsed, lower case (names are expected in composed form)."""
-    return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+    """In compatible composed form, trimmed, white space collapsed, lower case."""
+    return F.lower(F.trim(F.regexp_replace(compatible_form(name), r"\s+", " ")))
 
 
 def is_bot(name, email):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import text as T
+from .graph import checkpointed
 
 WEIGHTS = {"subject": 4.0, "body": 1.0, "expanded": 1.5, "paths": 2.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -25,6 +27,7 @@ class Filters:
     since: int | None = None
     until: int | None = None
     branch: str | None = None
+    author_contains: str | None = None
 
 
 @dataclass
@@ -67,9 +70,9 @@ def _entry(column: str):
     return lambda w, i: F.struct(F.lit(column).alias("col"), w.alias("term"), i.alias("pos"))
 
 
-def lengths(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    n = sum((F.size(T.tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns[1:]), F.size(T.tokens(F.coalesce(F.col(columns[0]), F.lit("")))))
-    return docs.select(key, n.cast("long").alias("d"))
+def tokenise(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The key and each column's tokens in order: what a stored index keeps, so that a query reads no text."""
+    return docs.select(key, *[T.tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])
 
 
 def matches(post: DataFrame, key: str, term: Term) -> DataFrame:
@@ -80,36 +83,54 @@ def matches(post: DataFrame, key: str, term: Term) -> DataFrame:
     is_last = F.col("term").startswith(last) if term.prefix else F.col("term") == last
     if len(term.words) == 1:
         return post.where(is_last).groupBy(key, "col").agg(F.count(F.lit(1)).alias("tf"))
-    cond = F.lit(False)
     words = F.array(*[F.lit(w) for w in term.words[:-1]])
     hit = post.where(F.col("term").isin(term.words[:-1]) | is_last)
     at = F.transform(F.sequence(F.lit(0), F.lit(len(term.words) - 2)), lambda i: F.when(F.get(words, i) == F.col("term"), i))
     slots = F.filter(F.concat(at, F.array(F.when(is_last, len(term.words) - 1))), lambda i: i.isNotNull())
-    del cond
     starts = hit.select(key, "col", "pos", F.explode(slots).alias("slot")).groupBy(key, "col", (F.col("pos") - F.col("slot")).alias("start")).agg(F.count_distinct("slot").alias("n"))
     return starts.where(F.col("n") == len(term.words)).groupBy(key, "col").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _tf(tokens, term: Term):
+    """How often a term's words stand in a row in an array of tokens."""
+    n = len(term.words)
+
+    def here(x, at):
+        found = None
+        for j, w in enumerate(term.words):
+            word = x if j == 0 else F.get(tokens, at + j)
+            hit = word.startswith(w) if term.prefix and j == n - 1 else word == w
+            found = hit if found is None else found & hit
+        return found
+
+    return F.size(F.filter(tokens, here))
+
+
 def bm25(docs: DataFrame, key: str, terms: list[Term], weights: dict[str, float]) -> DataFrame:
     """``(key, bm25)`` of the documents that match every term; more negative is better.
 
-    Corpus statistics cover all documents, whatever filters follow. One pass over the postings serves all terms.
+    Corpus statistics cover all documents, whatever filters follow.
+    """
+    return score(tokenise(docs, key, list(weights)), key, terms, weights)
+
+
+def score(tokens: DataFrame, key: str, terms: list[Term], weights: dict[str, float]) -> DataFrame:
+    """``bm25`` over token arrays: one pass without a shuffle leaves a length and the terms' frequencies a document.
+
+    The statistics (one row) and the scores come from these narrow rows.
     """
-    columns = list(weights)
-    post, size = postings(docs, key, columns), lengths(docs, key, columns)
-    stats = size.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("d").alias("avg_d"))
-    w = F.create_map(*[x for c, v in weights.items() for x in (F.lit(c), F.lit(v))])
-    freq = None
-    for i, term in enumerate(terms):
-        one = matches(post, key, term).groupBy(key).agg(F.sum(w[F.col("col")] * F.col("tf")).alias("f")).withColumn("i", F.lit(i))
-        freq = one if freq is None else freq.union(one)
-    df = freq.groupBy("i").agg(F.count(F.lit(1)).alias("df"))
-    raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.join(F.broadcast(stats)).select("i", "avg_d", F.when(raw <= 0, LEAST_IDF).otherwise(raw).alias("idf"))  # one row a term
-    f = F.col("f")
-    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
-    scored = freq.join(F.broadcast(idf), "i").join(size, key).groupBy(key).agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("hit"))
-    return scored.where(F.col("hit") == len(terms)).select(key, (-F.col("s")).alias("bm25"))
+    where = [[c for c in weights if term.column in (None, c)] for term in terms]
+    freq = [sum((F.lit(float(weights[c])) * _tf(F.col(c), term) for c in cs), F.lit(0.0)) for term, cs in zip(terms, where)]
+    size = sum((F.size(c) for c in weights), F.lit(0)).cast("long")
+    rows = checkpointed(tokens.select(key, size.alias("d"), *[f.alias(f"f{i}") for i, f in enumerate(freq)]))
+    n, avg, *df = rows.agg(F.count(F.lit(1)), F.avg("d"), *[F.count_if(F.col(f"f{i}") > 0) for i in range(len(terms))]).first()
+    total = F.lit(0.0)
+    for i, m in enumerate(df):
+        raw = math.log((n - m + 0.5) / (m + 0.5))
+        f = F.col(f"f{i}")
+        total = total + F.lit(raw if raw > 0 else LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.lit(avg or 1.0)))
+    every = " and ".join(f"f{i} > 0" for i in range(len(terms)))
+    return rows.where(every).select(key, (-total).alias("bm25"))
 
 
 def lexical_factor(bm25_col, monotone: bool = False):
@@ -126,6 +147,9 @@ def filtered(commits: DataFrame, files: DataFrame, refs: DataFrame, f: Filters)
         commits = commits.where(F.col("committed_at") <= f.until)
     if f.author:
         commits = commits.where(F.lower("author_email") == f.author.lower())
+    if f.author_contains:
+        part = F.lit(f.author_contains.lower())
+        commits = commits.where(F.contains(F.lower("author_email"), part) | F.contains(F.lower("author_name"), part))
     if f.path:
         commits = commits.join(files.where(F.lower("path").startswith(f.path.lower())).select("sha"), "sha", "left_semi")
     if f.branch:
@@ -135,19 +159,25 @@ def filtered(commits: DataFrame, files: DataFrame, refs: DataFrame, f: Filters)
 
 def search(docs: DataFrame, commits: DataFrame, files: DataFrame, refs: DataFrame, q: Query, now: int, monotone: bool = False, half_life: float = 180.0) -> DataFrame:
     """Hits with all factors, best first, ``total_available`` before the limit on every row."""
+    return ranked(bm25(docs, "sha", parse(q.text), WEIGHTS), commits, files, refs, q, now, monotone, half_life)
+
+
+def ranked(scored: DataFrame, commits: DataFrame, files: DataFrame, refs: DataFrame, q: Query, now: int, monotone: bool = False, half_life: float = 180.0) -> DataFrame:
+    """The blend of scored commits with path relevance and recency; see ``search``."""
     if not 0 < q.limit <= MOST:
         raise EngineError("limit_too_large", f"limit must be 1 to {MOST}")
-    scored = bm25(docs, "sha", parse(q.text), WEIGHTS)
-    kept = filtered(commits, files, refs, q.filters)
-    dirs = files.groupBy("sha").agg(F.collect_set(T.full_dir(F.col("path"))).alias("dirs"))
-    hits = kept.join(scored, "sha").join(dirs, "sha", "left")
+    hits = filtered(commits, files, refs, q.filters).join(scored, "sha")
+    if q.filters.path:
+        dirs = files.join(scored.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.collect_set(T.full_dir(F.col("path"))).alias("dirs"))
+        hits = hits.join(dirs, "sha", "left")
+    else:
+        hits = hits.withColumn("dirs", F.lit(None).cast("array<string>"))
     lexical, path = lexical_factor(F.col("bm25"), monotone), T.path_relevance(F.coalesce("dirs", F.array().cast("array<string>")), q.filters.path)
     recent = T.recency(F.col("committed_at"), now, half_life)
     hits = hits.select("sha", "subject", F.col("author_name").alias("author"), "committed_at", lexical.alias("lexical"), path.alias("path_relevance"), recent.alias("recency"))
-    score = BLEND["lexical"] * F.col("lexical") + BLEND["path"] * F.col("path_relevance") + BLEND["recency"] * F.col("recency")
-    hits = hits.withColumn("score", score)
-    total = hits.agg(F.count(F.lit(1)).alias("total_available"))
-    return hits.orderBy(F.desc("score"), F.desc("committed_at"), "sha").limit(q.limit).join(F.broadcast(total))  # one row
+    blend = BLEND["lexical"] * F.col("lexical") + BLEND["path"] * F.col("path_relevance") + BLEND["recency"] * F.col("recency")
+    hits = checkpointed(hits.withColumn("score", blend))
+    return hits.orderBy(F.desc("score"), F.desc("committed_at"), "sha").limit(q.limit).withColumn("total_available", F.lit(hits.count()).cast("long"))
 
 
 def sha_lookup(commits: DataFrame, prefix: str) -> DataFrame:

@@ -49,6 +49,8 @@ def test_scalars(spark):
         assert one(spark, T.path_relevance(F.col("d"), wanted), d=dirs) == want, (dirs, wanted)
     for ident in ("fooBarBaz", "foo_bar_baz", "foo-bar-baz"):
         assert one(spark, T.words(F.lit(ident))) == ["foo", "bar", "baz"]
+    for name in ("  Andr\u00e9   Smith  ", "ANDRE\u0301 Smith"):
+        assert one(spark, T.normal_name(F.col("n")), n=name) == "andr\u00e9 smith"
     assert T.resolve_time("2026-05-01") == 1777593600 and T.resolve_time("2026-05-01", until=True) == 1777679999
     assert T.branch_ref("main") == "refs/heads/main" and T.branch_ref("refs/x") == "refs/x"
     assert T.clean_query("HELLO WORLD") == "hello world" and T.clean_query('hello"world') == 'hello""world'
