@@ -13,7 +13,7 @@ from commitscope.operators import identity as I
 from commitscope.operators import ingest as G
 from commitscope.operators import metrics as M
 from commitscope.operators import search as S
-from commitscope.operators.classify import classify
+from commitscope.operators.classify import classify, ecosystems_of
 from commitscope.sources import gitlog as L
 
 #: The labelled paths of the classification golden set.
@@ -39,6 +39,8 @@ def test_classification_golden(spark):
     rows = [(p, c) for c, ps in GOLDEN.items() for p in ps]
     got = spark.createDataFrame(rows, "path string, want string").withColumn("got", classify(F.col("path")))
     assert got.where("got <> want").collect() == []
+    extra = spark.createDataFrame([("Gemfile.lock", "config"), ("x/Gemfile.lock", "code"), ("a.gemspec", "config"), ("zz.txt", "docs")], "path string, want string")
+    assert extra.withColumn("got", classify(F.col("path"), ecosystems_of(["Gemfile", "x"]))).where("got <> want").collect() == []
 
 
 def test_scalars(spark):
