@@ -25,8 +25,8 @@ from .common import slices, text_or_empty
 #: Distinct labelled texts per language that training uses at most.
 SAMPLE_PER_LANG = 400
 BUCKETS = 1 << 14
-#: Bytes of a text whose grams are hashed at a time.
-PART_BYTES = 4 << 20
+#: Bytes whose grams are hashed at a time; bounds a worker's arrays.
+PART_BYTES = 1 << 20
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: Families of ISO 639-1 codes; any other label is a family of its own.
@@ -132,7 +132,7 @@ class LanguageModel:
         out = np.zeros((len(texts), len(self.b)))
         if not len(self.b):
             return out
-        for i, j in slices(texts):
+        for i, j in slices(texts, PART_BYTES):
             size = np.array([len(t) + 3 for t in texts[i:j]])
             data = b"".join(b" " + t + b"  " for t in texts[i:j]).lower()
             g = grams(data + b"  ")

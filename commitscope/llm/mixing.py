@@ -10,7 +10,8 @@
    block once, and the rest of the quota goes to the blocks with the smallest seeded hashes. A document gets the words
    of the chosen blocks that are its own.
 
-Only one summary row per source reaches the driver (see ``MOST_SOURCES``); per-shard summaries stay distributed.
+One summary row per source (see ``MOST_SOURCES``) and per group of shards reaches the driver; per-shard summaries stay
+distributed.
 """
 
 from __future__ import annotations
@@ -108,17 +109,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> Data
 
     group = F.expr(f"shard div {GROUP_SHARDS}").alias("group")
     sizes = rows.groupBy("source", "shard", group).agg(F.sum("size").alias("words"), F.first("quota").alias("quota")).withColumn("blocks", F.expr(f"words div {block}"))
-    groups = sizes.groupBy("source", "group").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"), F.first("quota").alias("quota"))
-
-    def quotas(part: pd.DataFrame, by: str) -> pd.DataFrame:
-        part = part.sort_values(by)
+    # one row a group of GROUP_SHARDS shards reaches the driver, that is one for two million documents
+    groups = sizes.groupBy("source", "group").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"), F.first("quota").alias("quota")).collect()
+    of: dict = {}
+    for r in sorted(groups, key=lambda r: r["group"]):
+        of.setdefault(r["source"], []).append(r)
+    given = [(k, r["group"], int(t)) for k, rs in of.items() for r, t in zip(rs, apportion(rs[0]["quota"], [r["words"] for r in rs], [cap * r["blocks"] for r in rs]))]
+    given = spark.createDataFrame(given, "s string, g long, quota long")
+
+    def quotas(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("shard")
         part["take"] = apportion(int(part["quota"].iloc[0]), part["words"].to_numpy(), cap * part["blocks"].to_numpy())
-        return part
+        return part[["source", "shard", "blocks", "take"]]
 
-    given = groups.groupBy("source").applyInPandas(lambda p: quotas(p, "group")[["source", "group", "take"]], "source string, group long, take long")
-    given = given.withColumnsRenamed({"source": "s", "group": "g", "take": "quota"})
     sizes = sizes.drop("quota").join(given, F.expr("source <=> s and group = g")).drop("s", "g")
-    plan = sizes.groupBy("source", "group").applyInPandas(lambda p: quotas(p, "shard")[["source", "shard", "blocks", "take"]], "source string, shard long, blocks long, take long")
+    plan = sizes.groupBy("source", "group").applyInPandas(quotas, "source string, shard long, blocks long, take long")
     # of a shard's whole blocks, which take part in the last, partial pass: the smallest hashes
     extra = plan.where("blocks > 0 and take % blocks > 0").select("source", "shard", (F.col("take") % F.col("blocks")).alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("no"))
     by = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "source", "shard", "no"), "no")

@@ -27,7 +27,7 @@ from .common import text_or_empty, worker_cache
 
 SPACE, CUT = "▁", "\x1f"
 #: Distinct units that a worker remembers, texts per step in bytes, positions of a chunk of units advanced together.
-MEMORY_UNITS, SLICE, CHUNK_CELLS = 300_000, 4 << 20, 1 << 21
+MEMORY_UNITS, SLICE, CHUNK_CELLS = 150_000, 2 << 20, 1 << 20
 PAIR_SLOTS, SIEVE_BITS = 1 << 20, 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
