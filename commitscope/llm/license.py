@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -109,7 +110,8 @@ class Rules:
                     continue
                 path, at, last = [i], i, no
                 for want in keys[1:]:
-                    at = next((j for j in range(at + 1, len(found)) if found[j][1] == want and j not in used and found[j][0] - last <= self.gap), None)
+                    near = takewhile(lambda j: found[j][0] - last <= self.gap, range(at + 1, len(found)))  # noqa: B023
+                    at = next((j for j in near if found[j][1] == want and j not in used), None)
                     if at is None:
                         break
                     path.append(at)
