@@ -11,6 +11,7 @@ concatenation of its pieces' digests (8 hex digits each). Digests of inner nodes
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ from .common import text_or_empty
 
 PIECE, SECTION_ONE_IN = 48, 8
 LEAF_HEX, NODE_HEX = 8, 32
+#: Ranges of doc_id that a table is dealt to at most: 2 GB each of 100 TB, streamed and sorted with spill.
+MOST_RANGES = 50_000
 LINES = re.compile(r"[^\n]*\n|[^\n]+")
 PIECES = re.compile(r"(?s).{%d}\S*\s*|.+" % (PIECE - 1))
 
@@ -109,6 +112,18 @@ def edited(text: str, following: str) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _constant(values: list, kind: str):
+    """An array constant of any length: one literal in the plan, folded once, looked up by position."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def _below(cuts: list[int], x):
+    """How many of the sorted ``cuts`` are below ``x``: the chunk that ``x`` falls into, then its place there."""
+    step = math.isqrt(len(cuts)) + 1
+    chunk = F.greatest(F.size(F.filter(_constant(cuts[::step], "long"), lambda c: c < x)) - 1, F.lit(0)) * step
+    return chunk + F.size(F.filter(F.slice(_constant(cuts, "long"), chunk + 1, F.lit(step)), lambda c: c < x))
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, with likenesses to the edited and to the next document's text.
 
@@ -119,21 +134,22 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     of each range, which the range before it needs; they are found from the id column alone.
     """
     rows = text_or_empty(docs, "doc_id")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    parts = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))
     ids = rows.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5)), 10_000)).first()[0]
+    shares = _constant([i / parts for i in range(1, parts)] or [0.5], "double")
+    cuts = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * parts))).first()[0]
     cuts = sorted(set(cuts or []))
     # range 0 has the largest ids; null ids come last of all
-    below = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
-    spot = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(below, lambda c: c >= F.col("doc_id"))))
+    spot = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - _below(cuts, F.col("doc_id"))).cast("int")
     tops = {r["part"]: r["top"] for r in ids.select("doc_id", spot.alias("part")).groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # one row a range
     order = sorted(tops)
     if not order:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the first range also follows the last
-    lead = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(before[p]))])[F.col("part")]
-    top = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(tops[p]).cast("long"))])[F.col("part")]
-    placed = rows.withColumn("part", spot).withColumn("first", F.col("doc_id").eqNullSafe(top))
+    every = range(len(cuts) + 2)
+    lead = F.get(_constant([before.get(p, 0) for p in every], "int"), F.col("part"))
+    top = F.get(_constant([tops.get(p) or 0 for p in every], "long"), F.col("part"))
+    placed = rows.withColumn("part", spot).withColumn("first", F.col("doc_id").isNull() | (F.col("doc_id") == top))
     # a row goes to its own range, and if it may be the range's first, to the range before as a guest
     goes = F.when(F.col("first"), F.array(F.struct(F.col("part").alias("to"), F.lit(False).alias("guest")), F.struct(lead.alias("to"), F.lit(True).alias("guest")))).otherwise(
         F.array(F.struct(F.col("part").alias("to"), F.lit(False).alias("guest")))
