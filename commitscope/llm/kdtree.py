@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LEAF, SHARD_ROWS, QUERY_ROWS = 128, 4096, 2048
+LEAF, SHARD_ROWS, QUERY_ROWS = 128, 4096, 8192
 
 
 class KDTree:
@@ -112,9 +112,11 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, shard_rows: int = SHARD_R
     vectors = integer_vectors(embeddings)
     n, n_query, width = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_query // query_rows))
-    spread = F.xxhash64("vec_id")
-    rows = written(vectors.select("vec_id", "v", F.pmod(spread, F.lit(shards)).alias("shard")), "kd-rows")
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v", "shard", F.pmod(F.shiftright(F.xxhash64("vec_id", F.lit("block")), 8), F.lit(blocks)).alias("block")).dropDuplicates(["query_id", "v"])
+    # seeded numbers, written once, deal repeated rows evenly too; any dealing gives the same results
+    dealt = F.least(F.floor(F.rand(7) * shards).cast("int"), F.lit(shards - 1))
+    rows = written(vectors.select("vec_id", "v", dealt.alias("shard")), "kd-rows")
+    block = F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block")
+    queries = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id"), "v").agg(F.min("shard").alias("shard")).select("query_id", "v", "shard", block)
 
     def search(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if data.empty or asked.empty:
@@ -131,13 +133,14 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, shard_rows: int = SHARD_R
         asked = asked.toDF(*asked.columns)  # new column ids: both sides come from one table
         return data.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, schema)
 
-    every = F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block")
-    spots = rows.select("vec_id", "v", "shard", every)
-    home = written(run(spots, queries.withColumn("least", F.lit(float("-inf")))), "kd-home")
+    # at home a shard meets only its own queries, at most its rows: no row is sent twice
+    asked = queries.withColumn("block", F.lit(0)).withColumn("least", F.lit(float("-inf")))
+    home = written(run(rows.withColumn("block", F.lit(0)), asked), "kd-home")
     kth = home.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.sort_array(F.collect_list("score"), asc=False).getItem(k - 1)).alias("kth"))
     known = queries.join(kth, "query_id", "left").withColumn("least", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))))
     if shards > 1:
-        others = F.explode(F.expr(f"filter(sequence(0L, {shards - 1}L), s -> s <> shard)")).alias("to")
+        others = F.explode(F.expr(f"filter(sequence(0, {shards - 1}), s -> s <> shard)")).alias("to")
+        spots = rows.select("vec_id", "v", "shard", F.explode(F.expr(f"sequence(0, {blocks - 1})")).alias("block"))
         away = run(spots, known.select("query_id", "v", "least", "block", others).withColumnRenamed("to", "shard"))
         home = home.union(away)
     return home.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -120,6 +120,13 @@ def test_kdtree_equals_brute_force(spark):
     assert kdtree.top_k(df.where("false"), F.expr("vec_id % 50 = 0")).count() == 0
 
 
+def test_kdtree_repeated_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [2.0, 0.0])] + [(7, [1.0, 1.0])] * 40 + [(8, [0.5, 0.0])], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, kdtree.top_k(df, F.expr("vec_id % 50 = 0"), 3, shard_rows=8, query_rows=1).collect()))
+    # the query's two vectors give 3 * 65536 and 2 * 65536 with vec_id 7; its own rows are no candidates
+    assert got == [(0, r, 7, 3 * 65536) for r in (1, 2, 3)]
+
+
 def test_id_coder_round_trip():
     rng = np.random.default_rng(0)
     for ids in (np.empty(0, int), np.array([7]), rng.integers(0, 49408, 5000), np.zeros(3000, int), np.tile(rng.integers(0, 99, 700), 30)):
@@ -190,6 +197,8 @@ def test_license_rules():
     bsd = "\n".join(s[k] + "." for k in ("bsd-conditions", "bsd-source", "bsd-binary"))
     assert found(bsd) == ["BSD-2-Clause"] and found(bsd + "\n" + s["bsd-endorse"]) == ["BSD-3-Clause"]
     assert found("\n".join(s[k] for k in ("bsd-source", "bsd-conditions"))) == [] and found("licensed to nobody") == []
+    far = s["bsd-conditions"] + ". a. b. c. d. " + s["bsd-source"] + ". " + s["bsd-binary"]
+    assert found(far) == [] and found((s["mit-title"] + ".\n") * 30_000 + bsd) == ["BSD-2-Clause"]
 
 
 def test_url_filter(spark):
@@ -221,6 +230,17 @@ def test_merkle(spark):
     assert merkle.differences(a, a) == [] and len(merkle.differences(a, merkle.fingerprint(texts[0].replace("two", "2")))) == 1
 
 
+def test_merkle_order_over_many_ranges(spark):
+    ids = random.Random(5).sample(range(-500, 5000), 400)
+    d = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string").repartition(40)
+    got = {r["doc_id"]: r["edited_sha256"] for r in merkle.compare_with_next(d).collect()}
+    order = sorted(ids, reverse=True)
+    for i, k in enumerate(order):
+        e = merkle.edited(f"text of {k}", f"text of {order[(i + 1) % len(order)]}")
+        assert got[k] == hashlib.sha256(e.encode()).hexdigest()
+    assert merkle.compare_with_next(d.where(f"doc_id = {ids[0]}")).first()["near_next"] == 1.0
+
+
 def test_sentencepiece_equals_the_library():
     import sentencepiece
 
