@@ -31,18 +31,26 @@ CELL_ROWS, SPLIT_BITS = 2000, 8
 CHUNK_ROWS = 100_000
 
 
-def fingerprint(text: str, width: int = 3, seed: int = SEED) -> int:
+def shingles(text: str, width: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of a text's runs of ``width`` words, in order; a shorter text has one, a text without words none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes.lower and split know ASCII only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     h = xxhash.xxh64_intdigest
     n = len(words) - width + 1
-    if n <= 1:
-        return h(b" ".join(words), seed)
     line = b" ".join(words)
+    if n <= 1:
+        return np.array([h(line, seed)], np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
-    hashes = np.fromiter([h(line[s:e], seed) for s, e in zip((end - size)[:n].tolist(), end[width - 1 :].tolist())], np.uint64, n)
+    return np.fromiter([h(line[s:e], seed) for s, e in zip((end - size)[:n].tolist(), end[width - 1 :].tolist())], np.uint64, n)
+
+
+def fingerprint(text: str, width: int = 3, seed: int = SEED) -> int:
+    hashes = shingles(text, width, seed)
+    n = len(hashes)
+    if n <= 1:
+        return int(hashes[0]) if n else 0
     ones = np.zeros(BITS, np.int64)
     for i in range(0, n, 1 << 16):
         part = hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -225,18 +233,6 @@ def _grouped(docs: DataFrame) -> DataFrame:
     return docs.join(labelled.join(least, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "fp", "body", "component", "component_id")
 
 
-def keep_one(docs: DataFrame, *columns: str) -> DataFrame:
-    """The given columns of one row of each component: the smallest doc_id's, of equal ids the smallest text hash's.
-
-    A null doc_id comes last, so a row without an id stays only where no member of its component has one; rows without
-    an id and with different texts are told apart by these. Repeated rows leave one.
-    """
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
-    keep = _grouped(docs).groupBy("component").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("keep_id"), F.col("k.body").alias("keep_body"))
-    kept = docs.select(*columns).join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (body_of("text") == F.col("keep_body")), "left_semi")
-    return kept.withColumn("keep_body", body_of("text")).dropDuplicates(["doc_id", "keep_body"]).drop("keep_body")
-
-
 def hex_of(fp):
     """16 lowercase hex digits of a signed 64-bit integer column."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commitscope.llm import components, idcoder, kdtree, langid, license, merkle, mixing, pii, simhash, spm, tokenfile, urlfilter
+from commitscope.llm import components, idcoder, kdtree, langid, license, merkle, mixing, nearcopies, pii, simhash, spm, tokenfile, urlfilter
 from commitscope.llm.queries import PIECES, WORD_BPE
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string"
@@ -269,3 +269,41 @@ def test_pipeline(spark, tmp_path):
             assert 0 < d.count() <= n and d.select("doc_id").distinct().count() == d.count()
         n = d.count()
     assert d.where("not exact").count() == 0 and n > 0
+
+
+def _groups(texts):
+    """Group of each text by brute force over 5-word shingles."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("all_pairs", [16, 2])
+def test_near_duplicates_stage_equals_brute_force(spark, monkeypatch, all_pairs):
+    monkeypatch.setattr(nearcopies, "ALL_PAIRS", all_pairs)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", "  ", "one two", "ONE two", "one two three"]
+    for _ in range(25):
+        base = rng.choices(words, k=rng.randint(80, 300))
+        for edits in (0, 1, 1, 2, 9, 25):
+            t = list(base)
+            for _ in range(edits):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+    group = _groups(texts)
+    d = docs(spark, texts)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, "").collect())
+    assert got == sorted(set(group)) and len(got) < 100
+    extra = spark.createDataFrame([(None, texts[10], "en", "s1", 1, 0.0, ""), (None, "no id and no copy", "en", "s1", 1, 0.0, ""), (10, "other text of ten", "en", "s1", 1, 0.0, "")], DOCS)
+    more = corpus_pipeline.near_duplicates(spark, d.union(extra).union(d.limit(5)), "").collect()
+    assert sorted(r["text"] for r in more if r["doc_id"] is None or r["text"] == "other text of ten") == ["no id and no copy", "other text of ten"]
+    assert len(more) == len(got) + 2
