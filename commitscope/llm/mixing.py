@@ -84,6 +84,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> Data
     rows agree; repeated rows (equal id and text) are told apart by nothing, so they may swap their parts. Documents
     without words take nothing; an empty table gives an empty result.
     """
+    return _placed(docs, weights, cap, seed).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
+    """``(doc_id, source, body, times)``, one row per document: whole copies in the mix, ``taken / size`` of them on average.
+
+    Fractions are settled by systematic sampling with a seeded start in each shard: along its documents by size the
+    running sum of ``taken / size`` is cut to whole numbers. So no document is favoured by its length, and a shard's
+    words differ from those taken by about one of its longest documents. ``body``: hash of the text.
+    """
+    one = 1 << 20
+    rows = _placed(docs, weights, cap, seed).withColumn("share", F.when(F.col("size") > 0, F.expr(f"taken * {one} div size")).otherwise(F.lit(0).cast("long")))
+    start = F.pmod(F.xxhash64(F.lit(seed + 3), "source", "shard"), F.lit(one))
+    line = Window.partitionBy("source", "shard").orderBy("size", "order", "doc_id", "taken").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("share").over(line) + start)
+    return rows.select("doc_id", "source", "body", F.expr(f"upto div {one} - (upto - share) div {one}").cast("int").alias("times"))
+
+
+def _placed(docs: DataFrame, weights, cap: int, seed: int) -> DataFrame:
+    """The rows of ``mix`` with their shard, seeded order and text hash."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     base = written(docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("body")), "mix-sizes")
@@ -139,4 +159,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> Data
     mine = F.filter("chosen", lambda b: (b >= first) & (b <= last))
     part = F.aggregate(mine, F.lit(0).cast("long"), lambda a, b: a + F.least(F.col("start") + F.col("size"), (b + 1) * block) - F.greatest(F.col("start"), b * block))
     taken = F.coalesce(F.when(F.col("blocks") > 0, F.expr("take div blocks") * whole), F.lit(0)) + F.coalesce(part, F.lit(0))
-    return placed.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"), "body", "shard", "order")

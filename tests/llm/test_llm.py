@@ -307,3 +307,28 @@ def test_near_duplicates_stage_equals_brute_force(spark, monkeypatch, all_pairs)
     more = corpus_pipeline.near_duplicates(spark, d.union(extra).union(d.limit(5)), "").collect()
     assert sorted(r["text"] for r in more if r["doc_id"] is None or r["text"] == "other text of ten") == ["no id and no copy", "other text of ten"]
     assert len(more) == len(got) + 2
+
+
+def _lengths(spark):
+    """Three sources of uneven size; most words stand in documents far longer than a block."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(1500):
+        n = rng.choice((20, 90, 700, 2500))
+        rows.append((i, f"d{i} " + "w " * (n - 1), "en", ("hot", "hot", "hot", "hot", "mid", "small")[i % 6], n, 0.0, ""))
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_source_mix_stage_meets_targets_at_every_length(spark):
+    d = _lengths(spark)
+    want = {r["source"]: r["target"] for r in mixing.mix(d).select("source", "target").distinct().collect()}
+    share = {r["source"]: r["target"] / r["source_size"] for r in mixing.mix(d).select("source", "source_size", "target").distinct().collect()}
+    got, longest, had = {}, {}, {}
+    for r in corpus_pipeline.source_mix(spark, d, "").collect():
+        got[r["source"]] = got.get(r["source"], 0) + r["n_chars"]
+        longest[r["source"]] = longest.get(r["source"], 0) + (r["n_chars"] == 2500)
+    for r in d.collect():
+        had[r["source"]] = had.get(r["source"], 0) + (r["n_chars"] == 2500)
+    assert min(share.values()) < 0.5  # where rounding would leave no long document
+    for s in want:
+        assert got[s] == pytest.approx(want[s], rel=0.03) and longest[s] / had[s] == pytest.approx(share[s], rel=0.15), s
