@@ -332,3 +332,21 @@ def test_source_mix_stage_meets_targets_at_every_length(spark):
     assert min(share.values()) < 0.5  # where rounding would leave no long document
     for s in want:
         assert got[s] == pytest.approx(want[s], rel=0.03) and longest[s] / had[s] == pytest.approx(share[s], rel=0.15), s
+
+
+def test_source_mix_stage_with_null_and_repeated_ids(spark):
+    texts = [f"t{i} " + "w " * 39 for i in range(600)]
+    rows = [(None if i % 3 == 0 else i // 50, t, "en", None if i % 4 == 0 else f"s{i % 2}", 40, 0.0, "") for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows + [rows[7]] * 3 + [rows[9]] * 2, DOCS)
+    want = {}
+    for r in mixing.copies(d).join(d.select(F.xxhash64("text").alias("body"), "text").distinct(), "body").collect():
+        want[r["text"], r["doc_id"]] = want.get((r["text"], r["doc_id"]), 0) + r["times"]
+    got, by = {}, {}
+    for r in corpus_pipeline.source_mix(spark, d, "").collect():
+        got[r["text"], r["doc_id"]] = got.get((r["text"], r["doc_id"]), 0) + 1
+        by[r["source"]] = by.get(r["source"], 0) + 40
+    assert got == {k: n for k, n in want.items() if n}
+    equal = {rows[7][1]: 4, rows[9][1]: 3}
+    assert all(n <= 3 * equal.get(t, 1) for (t, _), n in got.items()) and sum(n for (_, i), n in got.items() if i is None) > 100
+    for r in mixing.mix(d).select("source", "target").distinct().collect():
+        assert by[r["source"]] == pytest.approx(r["target"], rel=0.05)
