@@ -1,7 +1,9 @@
 """Licence scan by sentence rules.
 
-Texts are cut into sentences; each is normalised (lower case, letters and digits only, single spaces) and mapped to the
-identifier of a known licence sentence, if it is one. Licence rules are ordered sequences of identifiers: a rule
+Texts are cut into pieces at line ends and sentence ends; each is normalised (lower case, letters and digits only, single
+spaces, comment marks gone). Pieces that only a line end parts are joined as long as they begin a known sentence, so
+wrapped and commented sentences are found as well as one-line notices; a blank line or a full stop ends a sentence. The
+longest run of pieces that is a known licence sentence is mapped to its identifier. Licence rules are ordered sequences of identifiers: a rule
 matches where its identifiers occur in order, each at most ``GAP`` sentences after the one before. Longer rules win
 over shorter ones that they cover.
 """
@@ -9,6 +11,7 @@ over shorter ones that they cover.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import takewhile
 
@@ -18,9 +21,14 @@ from pyspark.sql import DataFrame
 from .common import text_or_empty
 
 GAP = 3
-#: Sentences end at line ends, or at . ! ? ; before white space.
+#: Pieces end at line ends, or at . ! ? ; before white space.
 SENTENCE = re.compile(r"[^\n.!?;]+(?:[.!?;](?!\s|\Z)[^\n.!?;]*)*")
 NOT_WORD = re.compile(r"[^a-z0-9]+")
+#: Between pieces of one sentence: one line end, then marks of a comment that ends sentences elsewhere (; and !).
+SOFT = re.compile(r"\n[ \t]*[.!?;]*\Z")
+#: Before a line's text: comment words; before a sentence's: those, or a number or letter of a list.
+MARK = re.compile(r"(?:dnl|rem) ")
+LEAD = re.compile(r"(?:(?:dnl|rem) )?(?:[0-9a-z] )?")
 
 #: Sentences of public licence texts and notices, by identifier.
 SENTENCES = {
@@ -45,6 +53,30 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-its": "Neither the name of the copyright holder nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-university": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "apache-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "mit-notice-licensed": "Licensed under the MIT License",
+    "mit-notice-short": "Licensed under MIT",
+    "mit-notice-project": "This project is licensed under the MIT License",
+    "apache-notice-2": "Licensed under the Apache License 2.0",
+    "gpl-2-redistribute": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl-2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl-2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl-3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl-21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl-3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl-3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gpl-everyone": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    "lgpl-21-redistribute": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "mpl-2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-2-title": "Mozilla Public License Version 2.0",
+    "cc0-title": "CC0 1.0 Universal",
+    "cc0-dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "unlicense": "This is free and unencumbered software released into the public domain",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
 }
 #: SPDX identifier and the ordered sentences of each rule.
@@ -64,8 +96,33 @@ RULES = [
     ("GPL-3.0-or-later", ["gpl-redistribute", "gpl-hope"]),
     ("BSD-2-Clause", ["bsd-conditions", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-3-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse-its"]),
+    ("BSD-3-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse-university"]),
     ("ISC", ["isc-grant"]),
+    ("Apache-2.0", ["apache-title", "apache-terms"]),
+    ("Apache-2.0", ["apache-notice-2"]),
+    ("MIT", ["mit-notice-licensed"]),
+    ("MIT", ["mit-notice-short"]),
+    ("MIT", ["mit-notice-project"]),
+    ("GPL-2.0-or-later", ["gpl-2-redistribute"]),
+    ("GPL-2.0-only", ["gpl-2-only"]),
+    ("GPL-2.0-only", ["gpl-2-title", "gpl-everyone"]),
+    ("GPL-3.0-only", ["gpl-3-title", "gpl-everyone"]),
+    ("LGPL-2.1-only", ["lgpl-21-title", "gpl-everyone"]),
+    ("LGPL-3.0-only", ["lgpl-3-title", "gpl-everyone"]),
+    ("AGPL-3.0-only", ["agpl-3-title", "gpl-everyone"]),
+    ("LGPL-2.1-or-later", ["lgpl-21-redistribute"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-redistribute"]),
+    ("AGPL-3.0-or-later", ["agpl-3-redistribute"]),
+    ("MPL-2.0", ["mpl-2-notice"]),
+    ("MPL-2.0", ["mpl-2-title"]),
+    ("CC0-1.0", ["cc0-title"]),
+    ("CC0-1.0", ["cc0-dedicated"]),
+    ("Unlicense", ["unlicense"]),
 ]
+#: An SPDX tag names its licence itself, as an expression up to the line's end.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9][A-Za-z0-9.+-]*\)?(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*)*)")
+SPDX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
 
 
 def normalise(sentence: str) -> str:
@@ -87,20 +144,55 @@ class Rules:
         self.rules = [(spdx, [n for k in keys for n in self.name_of[k]]) for spdx, keys in rules]
         self.rules.sort(key=lambda r: -len(r[1]))
         self.first = {p.split(" ", 1)[0] for p in self.parts}
+        self.sorted = sorted(self.parts)
         self.gap = gap
 
+    def _begins(self, words: str) -> bool:
+        """Whether a known sentence is longer than ``words`` and begins with them."""
+        at = bisect_left(self.sorted, words + " ")
+        return at < len(self.sorted) and self.sorted[at].startswith(words + " ")
+
     def sentences(self, text: str) -> list[tuple[int, str, int, int]]:
         """(sentence number, identifier, start, end) of the known sentences."""
         out = []
-        for no, m in enumerate(SENTENCE.finditer(text)):
-            s = m.group()
-            if len(s) >= 8:
-                word = NOT_WORD.split(s[:40].lower().lstrip(), maxsplit=2)
-                if (word[0] or (word[1] if len(word) > 1 else "")) in self.first and (key := self.parts.get(normalise(s))):
-                    start = m.start() + len(s) - len(s.lstrip())
-                    out.append((no, key, start, m.start() + len(s.rstrip())))
+        pieces = [(m.start(), m.end()) for m in SENTENCE.finditer(text)]
+        no, at, end = 0, 0, None
+        while at < len(pieces):
+            a, b = pieces[at]
+            # a piece without a word is a blank line, whatever its comment marks
+            head = normalise(text[a : min(b, a + 40)])
+            soft = end is not None and bool(head) and SOFT.match(text, end, a) is not None
+            no += end is not None and not soft
+            end, step = b if head or normalise(text[a:b]) else None, 1
+            if end is None:
+                no += 1
+            else:
+                lead = LEAD.match(head).end()
+                for cut in {0, lead, MARK.match(head).end() if MARK.match(head) else 0}:
+                    if head[cut:].split(" ", 1)[0] in self.first and (hit := self._run(text, pieces, at, cut)):
+                        last, key = hit
+                        start = a + re.search(r"[^\s]", text[a:b]).start()
+                        stop = pieces[last][0] + len(text[slice(*pieces[last])].rstrip())
+                        out.append((no, key, start, stop))
+                        step, end = last - at + 1, pieces[last][1]
+                        break
+            at += step
         return out
 
+    def _run(self, text: str, pieces: list[tuple[int, int]], at: int, cut: int) -> tuple[int, str] | None:
+        """The last piece and the identifier of the longest known sentence that starts at a piece, ``cut`` letters in."""
+        words, hit = normalise(text[slice(*pieces[at])])[cut:], None
+        while True:
+            if key := self.parts.get(words):
+                hit = at, key
+            if not self._begins(words) or at + 1 == len(pieces) or not SOFT.match(text, pieces[at][1], pieces[at + 1][0]):
+                return hit
+            at += 1
+            more = normalise(text[slice(*pieces[at])])
+            if not more:
+                return hit
+            words += " " + (more[m.end() :] if (m := MARK.match(more)) else more)
+
     def match(self, found: list[tuple[int, str, int, int]]) -> list[tuple[str, int, int]]:
         """(licence, start, end) of the rules met; no sentence serves two rules."""
         out, used = [], set()
@@ -122,6 +214,13 @@ class Rules:
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
+def tagged(text: str) -> list[tuple[str, int, int]]:
+    """(licence, start, end) of the licences and exceptions that SPDX tags name."""
+    if "SPDX-License-Identifier:" not in text:
+        return []
+    return [(x.group(), *x.span()) for m in SPDX.finditer(text) for x in SPDX_ID.finditer(text, *m.span(1)) if x.group() not in ("AND", "OR", "WITH")]
+
+
 SCHEMA = "doc_id long, n_sentences long, sentence_ids string, n_matches long, licenses string, spans string"
 
 
@@ -138,6 +237,7 @@ def scan(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
             for t in b.column(1):
                 found = rules.sentences(t.as_py())
                 met = rules.match(found) if found else []
+                met = sorted(met + tagged(t.as_py()), key=lambda x: (x[1], x[2], x[0]))
                 for c, v in zip(cols, (len(found), ",".join(f[1] for f in found), len(met), ",".join(sorted({m[0] for m in met})), ",".join(f"{x}:{s}:{e}" for x, s, e in met))):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_sentences", "sentence_ids", "n_matches", "licenses", "spans"])

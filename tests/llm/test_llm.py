@@ -350,3 +350,33 @@ def test_source_mix_stage_with_null_and_repeated_ids(spark):
     assert all(n <= 3 * equal.get(t, 1) for (t, _), n in got.items()) and sum(n for (_, i), n in got.items() if i is None) > 100
     for r in mixing.mix(d).select("source", "target").distinct().collect():
         assert by[r["source"]] == pytest.approx(r["target"], rel=0.05)
+
+
+def test_license_wrapped_and_commented(spark):
+    import textwrap
+
+    s = license.SENTENCES
+    mit = ["MIT License", "Copyright (c) 2020 A. Body", s["mit-grant"], s["mit-keep"] + "."]
+    bsd = [s["bsd-conditions"], "1. " + s["bsd-source"] + ".", "2. " + s["bsd-binary"] + "."]
+    gpl = [s["gpl-redistribute"] + ".", s["gpl-hope"] + "; without even the implied warranty of FITNESS."]
+    lgpl, isc = [s["lgpl-21-redistribute"] + "."], [s["isc-grant"] + "."]
+    apache = ["Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", s["apache-terms"], "1. Definitions."]
+    texts, want = [], []
+    for mark in ("", "# ", "// ", " * ", ";; ", "! ", "dnl ", "REM "):
+        for eol in ("\n", "\r\n"):
+            for paras, spdx in ((mit, "MIT"), (bsd, "BSD-2-Clause"), (gpl, "GPL-3.0-or-later"), (lgpl, "LGPL-2.1-or-later"), (isc, "ISC"), (apache, "Apache-2.0")):
+                lines = [w for p in paras for one in p.split("\n") for w in [*textwrap.wrap(one, 60)]] if paras is bsd else "\n\n".join("\n".join(textwrap.wrap(one, 60)) if "\n" not in p else one for p in paras for one in [p]).split("\n")
+                texts.append("/* x\n\n" + eol.join((mark + x).rstrip() for x in lines) + eol + "end")
+                want.append(spdx)
+    got = {r["doc_id"]: r for r in license.scan(docs(spark, texts)).collect()}
+    for i, w in enumerate(want):
+        assert got[i]["licenses"] == w and got[i]["n_matches"] == 1, texts[i]
+        _, a, b = got[i]["spans"].rsplit(":", 2)
+        words = license.normalise(texts[i][int(a) : int(b)])
+        assert words.split()[-1] in "substantial software distribution warranty version copies".split() and a != b
+    rules = license.Rules()
+    found = lambda t: [m[0] for m in rules.match(rules.sentences(t))]
+    assert found("# Licensed under the MIT License\n# by A\nimport x") == ["MIT"]
+    half = s["isc-grant"].split(" and ", 1)
+    assert found(half[0] + "\n\nand " + half[1]) == [] and found(half[0] + ".\nand " + half[1]) == []
+    assert [m[0] for m in license.tagged("// SPDX-License-Identifier: (MIT OR Apache-2.0)\n# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */")] == ["MIT", "Apache-2.0", "GPL-2.0-only", "Classpath-exception-2.0"]
