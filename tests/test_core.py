@@ -14,6 +14,8 @@ from commitscope.operators import ingest as G
 from commitscope.operators import metrics as M
 from commitscope.operators import search as S
 from commitscope.operators.classify import classify, ecosystems_of
+from commitscope.plans import catalogue
+from commitscope.plans.history import history
 from commitscope.sources import gitlog as L
 
 #: The labelled paths of the classification golden set.
@@ -171,3 +173,27 @@ def test_stream_merges_batches(spark, tmp_path):
     spark.createDataFrame([("1", "z", 2), ("2", "b", 3)], schema).write.mode("append").parquet(src)
     index_stream(spark.readStream.schema(schema).parquet(src), table, str(tmp_path / "c")).awaitTermination()
     assert sorted(map(tuple, spark.read.schema(schema).parquet(f"{table}/generation=1").collect())) == [("1", "a", 2), ("2", "b", 3)]
+
+
+def test_identity_name_merge_over_the_whole_history(spark):
+    sf, year = "/root/testdata/sf0.001", 365 * 86400
+    rows = catalogue._renamed(history(spark, sf)).select("author_name", "author_email", "committed_at").collect()
+    assert {r["author_email"].lower() for r in rows} == {r[0].lower() for r in history(spark, sf).commits.select("author_email").collect()}
+
+    def identities(gap):
+        spans, group = {}, {r["author_email"].lower(): r["author_email"].lower() for r in rows}
+        for r in rows:
+            key = " ".join(r["author_name"].lower().split()), r["author_email"].lower()
+            lo, hi = spans.get(key, (r["committed_at"],) * 2)
+            spans[key] = min(lo, r["committed_at"]), max(hi, r["committed_at"])
+        for (n, a), (lo, hi) in spans.items():
+            for (m, b), (lo2, hi2) in spans.items():
+                if n == m and group[a] != group[b] and max(lo, lo2) - min(hi, hi2) <= gap:
+                    x, y = sorted((group[a], group[b]))
+                    group = {e: x if g == y else g for e, g in group.items()}
+        return group
+
+    got = {r["email"]: r["identity"] for r in catalogue.QUERIES["identity_name_merge_365d"](spark, sf).collect()}
+    assert got == identities(year)
+    none, every = identities(-(10**12)), identities(10**12)
+    assert len(set(every.values())) < len(set(got.values())) < len(set(none.values()))  # the gap decides
