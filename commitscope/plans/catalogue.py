@@ -206,10 +206,26 @@ def first_parent_generation(spark, d):
 def range_commits_between(spark, d):
     c = history(spark, d).commits
     a, b = c.sparkSession.range(1).select(F.sha1(F.lit("commit:180")), F.sha1(F.lit("commit:200"))).first()
-    from ..operators.graph import checkpointed
+    return G.range_between(c, a, b)
 
-    upper = checkpointed(G.ancestors(c, b, depth=20).select("sha"))
-    return upper.join(checkpointed(G.ancestors(c, a, depth=40).select("sha")), "sha", "left_anti")
+
+def _ends(c) -> tuple[str, str]:
+    """An old commit and the newest one, whatever the scale."""
+    return c.sparkSession.range(1).select(F.sha1(F.lit("commit:180"))).first()[0], c.agg(F.max_by("sha", "k")).first()[0]
+
+
+@query()
+def dag_reachability_full(spark, d):
+    """All ancestors of the newest commit, at any depth; a recursive query would walk one level a commit."""
+    c = history(spark, d).commits
+    return G.reachable(*G.chains(c), _ends(c)[1])
+
+
+@query()
+def range_commits_wide(spark, d):
+    """``A..B`` over almost the whole history."""
+    c = history(spark, d).commits
+    return G.range_between(c, *_ends(c))
 
 
 ALIAS = r"""x_alias as (select author_name, author_email, count(*) as commits, min(committed_at) as first_at, max(committed_at) as last_at,

@@ -197,3 +197,24 @@ def test_identity_name_merge_over_the_whole_history(spark):
     assert got == identities(year)
     none, every = identities(-(10**12)), identities(10**12)
     assert len(set(every.values())) < len(set(got.values())) < len(set(none.values()))  # the gap decides
+
+
+def test_reachability_has_no_depth(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = history(spark, sf).commits.select("k", "sha", "parents").collect()
+    up, of = {r["sha"]: r["parents"] for r in rows}, {r["k"]: r["sha"] for r in rows}
+
+    def reach(start):
+        seen, stack = set(), [start]
+        while stack:
+            at = stack.pop()
+            if at in up and at not in seen:
+                seen.add(at)
+                stack += up[at]
+        return seen
+
+    run = lambda name: sorted(r["sha"] for r in catalogue.QUERIES[name](spark, sf).collect())
+    last = of[max(of)]
+    assert run("dag_reachability_full") == sorted(reach(last)) and len(reach(last)) > 1000
+    assert run("range_commits_wide") == sorted(reach(last) - reach(of[180])) and len(reach(last) - reach(of[180])) > 1000
+    assert run("range_commits_between") == sorted(reach(of[200]) - reach(of[180]))
