@@ -67,8 +67,12 @@ def _absolute(target, url, host):
 
 
 def page_links(html):
-    """Targets of canonical links and of refreshes in a page: attributes in any order, quoted either way."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta)\b[^>]{0,4096}>)"), 1)
+    """Targets of canonical links and of refreshes in a page: attributes in any order, quoted either way, tags of any length.
+
+    A ``>`` within a value in quotes (after ``=``) ends no tag; a quote that nothing closes is a letter like any other. The
+    next such tag's begin ends a tag that is never closed, so no page is read over and over.
+    """
+    tags = F.regexp_extract_all(html, F.lit(r"""(?i)(<(?:link|meta)\b(?:[^<>=]++|<(?!(?:link|meta)\b)|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>)"""), 1)
     canonical = F.filter(tags, lambda t: t.rlike(r"(?i)^<link\b") & t.rlike(r"""(?i)\brel\s*=\s*["']?\s*canonical\b"""))
     refresh = F.filter(tags, lambda t: t.rlike(r"(?i)^<meta\b") & t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?\s*refresh\b"""))
     return F.filter(

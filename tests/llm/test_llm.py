@@ -380,3 +380,14 @@ def test_license_wrapped_and_commented(spark):
     half = s["isc-grant"].split(" and ", 1)
     assert found(half[0] + "\n\nand " + half[1]) == [] and found(half[0] + ".\nand " + half[1]) == []
     assert [m[0] for m in license.tagged("// SPDX-License-Identifier: (MIT OR Apache-2.0)\n# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */")] == ["MIT", "Apache-2.0", "GPL-2.0-only", "Classpath-exception-2.0"]
+
+
+def test_url_filter_long_tags_and_quoted_ends(spark):
+    far = "http://q.net/" + "z" * 20_000
+    rows = [
+        (1, far, None), (2, "http://q.net/a", f'<link rel="canonical" data-x="{"y" * 9000}" href="{far}">'), (3, "http://example.org/es/x", f"<link rel=canonical href='{far}'>"),
+        (4, "http://q.net/b", '<link title="a > b" rel="canonical" href="http://example.org/es/y">'), (5, "http://q.net/c", "<meta data-t='>' http-equiv=refresh content='0; url=http://example.org/es/z'>"),
+        (6, "http://q.net/d", 'x <link title="open> <link rel=canonical href=http://example.org/es/w>'), (7, "http://q.net/e", "<link " + "a=b " * 50_000 + " rel=canonical href=http://example.org/es/v>"),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "block" for i in range(1, 8)}
