@@ -1,18 +1,25 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
 Base patterns (e-mail addresses, IP addresses, payment cards, phone numbers) always stand. Wider patterns propose more
-candidate spans, on which labelers vote: the strict pattern, a checksum or shape test, gazetteers (mail providers and
-top-level domains, card issuers, calling codes, key words), the words before the span, and its boundary.
+candidate spans, on which labelers vote yes, no or not at all: the strict pattern, a shape test, gazetteers (top-level
+domains, card issuers, calling codes, placeholders), the words before the span, and its boundary.
 Expectation-maximisation over the counts of vote patterns, taken from all documents, estimates each labeler's
-reliability and the share of true spans per kind; its posteriors train a logistic span classifier, which decides
-about the candidates that are not base spans. Only the vote patterns' counts (at most kinds x 2^labelers rows) reach
-the driver.
+reliability and the share of true spans, kind by kind; an abstention is no evidence. Its posteriors train the final
+span classifier, a logistic regression per kind on the votes and on the span's own length, variety and characters,
+which decides about the candidates that are not base spans.
+
+Rates start from the documented priors ``PRIOR`` with the weight of ``STRENGTH`` candidates, and a kind's n candidates
+together weigh n * STRENGTH / (n + STRENGTH): a table of any size moves a rate at most halfway from its prior, so a
+text's spans do not hang on the size of the table it stands in. Only the counts of (kind, votes, features) reach the
+driver, at most kinds x 3^labelers x feature bins.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +28,17 @@ from .common import text_or_empty, written
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE = KINDS[:4]
 LABELERS = ["pattern", "shape", "gazetteer", "context", "boundary"]
+#: A vote is a digit of base three.
+NO, NONE, YES = 0, 1, 2
+PATTERNS = 3 ** len(LABELERS)
+#: Prior rates of a yes among the votes on true and on false candidates, by labeler; the share of true candidates is one half.
+PRIOR = {"pattern": (0.999, 0.30), "shape": (0.85, 0.30), "gazetteer": (0.80, 0.35), "context": (0.85, 0.25), "boundary": (0.90, 0.45)}
+#: Where a kind's labeler knows more: a secret is hardly ever a placeholder.
+PRIOR_OF = {("secret", "gazetteer"): (0.98, 0.35)}
+STRENGTH = 100.0
+#: Bins of a span's features: code points, distinct code points, and whether it has digits only, letters only or both.
+LENGTHS, VARIETY, CLASSES = (12, 20, 40), (6, 10), 3
+BINS = (len(LENGTHS) + 1) * (len(VARIETY) + 1) * CLASSES
 
 # The base patterns, written so that Java's matcher neither recurses per repetition nor rescans a run of characters:
 # possessive repetitions where nothing can be given back, and starts only after the last match or outside a run.
@@ -29,10 +47,11 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Whole chains of digits with single separators: 13 to 19 digits; the base kind keeps 16 to 19 that pass Luhn.
 CHAIN = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Wider patterns: spelled-out addresses, national phone numbers, assigned secrets.
-SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{1,63}+){1,4}+"
-NATIONAL = r"(?<![0-9+) .-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])"
-SECRET = r"""(?i)(?<=token|secret|password|passwd|api_key|apikey)\s{0,3}[:=]\s{0,3}["'][0-9A-Za-z+/_-]{16,128}["']"""
+#: Wider patterns: spelled-out addresses, national phone numbers, assigned secrets (the span is the value alone).
+SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?:(?: ?(?:\[dot\]|\(dot\)) ?|\.)[A-Za-z0-9-]++)++"
+NATIONAL = r"(?<![0-9+().-])(?<![0-9+)][ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])"
+SECRET = r"""(?i)(?<=token|secret|password|passwd|api_key|apikey)["']?\s*+[:=]\s*+["']?[0-9a-z+/_=-]{16,}+["']?"""
+VALUE = r"""["']?([0-9A-Za-z+/_=-]{16,})["']?$"""
 
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 OCTETS = rf"^(?:{PART}\.){{3}}{PART}$"
@@ -40,29 +59,38 @@ OCTETS = rf"^(?:{PART}\.){{3}}{PART}$"
 DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|io|info|biz|de|fr|es|it|uk|nl|eu|us|ca)$"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|35|36|38|6011|62|65)"
 CALLING = r"^(?:\+?(?:1|33|34|39|44|49|31|32|41|43|46|47|48|52|55|61|81|86|91)[^0-9]|\(?[2-9])"
-KEYS = r"(?i)(?:token|secret|password|passwd|api_?key)\s*$"
+PLACEHOLDER = r"(?i)(?:example|changeme|change_me|placeholder|your[_-]|dummy|sample|xxxx|0000000|1234567|abcdefg)"
+KNOWN = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35})$"
 CONTEXT = {
     "email": r"(?i)(?:e-?mail|contact|write|reach|@|correo|courriel)",
     "ip": r"(?i)(?:\bip\b|host|server|addr|login)",
     "card": r"(?i)(?:card|visa|master|credit|payment|karte|carte|tarjeta)",
     "phone": r"(?i)(?:phone|tel\b|call|mobile|fax|telefon|t[eé]l)",
-    "secret": r"(?i)(?:token|secret|password|passwd|key)",
+    "secret": r"(?i)(?:auth|bearer|access|private|client|credential|export|header|login)",
+}
+AGAINST = {
+    "email": r"(?i)(?:for example|e\.g\.|such as)\s*\S*\s*$",
+    "ip": r"(?i)(?:version|release|section|chapter|\bv)\.?\s*$",
+    "card": r"(?i)(?:isbn|order|invoice|serial|article|tracking|account)\W*(?:no\.?|number|#)?\W*$",
+    "phone": r"(?i)(?:isbn|order|invoice|serial|article|part|fig)\W*(?:no\.?|number|#)?\W*$",
+    "secret": r"(?i)(?:example|sample|placeholder|dummy|fake)\W*\w*$",
 }
 BEFORE = 24
-SPANS = "array<struct<kind:int,s:int,e:int,base:boolean,votes:int>>"
+SPANS = "array<struct<kind:int,s:int,e:int,base:boolean,votes:int,bin:int>>"
 
 
 def _found(text, pattern: str):
-    """Array of (s, e, v, before): code-point span, matched text and the code points before it, in order."""
+    """Array of (s, e, v, before, after): code-point span, matched text, the code points before it and the one after it, in order."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(gaps, hits, lambda g, m: F.struct(F.length(g).alias("n"), F.substring(g, -BEFORE, BEFORE).alias("before"), m.alias("m")))
-    kind = "array<struct<s:int,e:int,v:string,before:string>>"
+    ends = F.zip_with(gaps, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda g, h: F.struct(F.length(g).alias("n"), F.substring(g, -BEFORE, BEFORE).alias("before"), F.substring(F.coalesce(h, F.lit("")), 1, 1).alias("after")))
+    pairs = F.zip_with(ends, hits, lambda g, m: F.struct(g["n"].alias("n"), g["before"].alias("before"), g["after"].alias("after"), m.alias("m")))
+    kind = "array<struct<s:int,e:int,v:string,before:string,after:string>>"
     start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(kind).alias("out"))
 
     def step(acc, x):
         s = acc["at"] + x["n"]
         e = s + F.length(x["m"])
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v"), x["before"].alias("before")))
+        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v"), x["before"].alias("before"), x["after"].alias("after")))
         return F.when(x["m"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.when(acc["out"].isNull(), one).otherwise(F.concat(acc["out"], one)).alias("out")))
 
     return F.coalesce(F.aggregate(pairs, start, step, lambda acc: acc["out"]), F.array().cast(kind))
@@ -79,117 +107,183 @@ def _luhn(digits):
     return F.aggregate(value, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def _votes(kind: str, x, base):
-    """Votes of one candidate as a number of len(LABELERS) bits, and whether it is a base span."""
-    v, before = x["v"], x["before"]
+def _vote(yes, no):
+    return F.when(yes, F.lit(YES)).when(no, F.lit(NO)).otherwise(F.lit(NONE))
+
+
+def _rated(kind: str, x, base, strict):
+    """One candidate with the digits of its votes as a number, the bin of its features, and whether it is a base span.
+
+    ``strict``: the vote of the strict pattern.
+    """
+    v, before, s, e = x["v"], x["before"], x["s"], x["e"]
+    if kind == "secret":  # the assignment's sign and the quotes are no part of the secret
+        value = F.regexp_extract(v, VALUE, 1)
+        e = e - F.when(v.rlike("[\"']$"), 1).otherwise(0)
+        v, s = value, e - F.length(value)
     digits = _digits(v)
+    letters, figures = v.rlike("[A-Za-z]"), v.rlike("[0-9]")
     shape = {
-        "email": lambda: v.rlike(r"(?i)[.)\]] ?[a-z]{2,24}$"),
-        "ip": lambda: v.rlike(OCTETS),
-        "card": lambda: _luhn(digits) & F.length(digits).isin(15, 16),
-        "phone": lambda: F.length(digits).between(10, 12),
-        "secret": lambda: v.rlike(r"""(?i)["'](?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})["']$"""),
+        "email": lambda: _vote(v.rlike(r"(?i)[.)\]] ?[a-z]{2,24}$"), F.lit(True)),
+        "ip": lambda: _vote(~v.rlike(r"(?:^|\.)0[0-9]"), F.lit(True)),
+        "card": lambda: _vote(F.length(digits).isin(15, 16) & ~v.rlike("-.* | .*-"), F.lit(True)),
+        "phone": lambda: _vote(F.length(digits).between(10, 12), ~F.length(digits).between(8, 15)),
+        "secret": lambda: _vote(letters & figures, F.lit(True)),
     }[kind]()
     gazetteer = {
-        "email": lambda: v.rlike(DOMAINS),
-        "ip": lambda: v.rlike(r"^(?!0|127\.|255\.)"),
-        "card": lambda: digits.rlike(ISSUERS),
-        "phone": lambda: v.rlike(CALLING),
-        "secret": lambda: before.rlike(KEYS),
+        "email": lambda: _vote(v.rlike(DOMAINS), F.lit(False)),
+        "ip": lambda: _vote(v.rlike(r"^(?!0|127\.|255\.)"), F.lit(True)),
+        "card": lambda: _vote(digits.rlike(ISSUERS), F.lit(True)),
+        "phone": lambda: _vote(v.rlike(CALLING), F.lit(False)),
+        "secret": lambda: _vote(~v.rlike(PLACEHOLDER), F.lit(True)),
     }[kind]()
-    votes = [base, shape, gazetteer, before.rlike(CONTEXT[kind]), (before == "") | before.rlike(r"[^\p{L}\p{N}]$")]
-    mask = sum((F.when(b, F.lit(1 << i)).otherwise(F.lit(0)) for i, b in enumerate(votes[1:], 1)), F.when(base, F.lit(1)).otherwise(F.lit(0)))
-    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), base.alias("base"), mask.alias("votes"))
+    context = _vote(before.rlike(CONTEXT[kind]), before.rlike(AGAINST[kind]))
+    word = r"[\p{L}\p{N}]"
+    # a secret's value ends at a quote or where no more of its characters follow; its left end is the sign before it
+    joined = x["after"].rlike(word) if kind == "secret" else before.rlike(word + "$") | x["after"].rlike(word)
+    votes = [strict, shape, gazetteer, context, _vote(~joined, F.lit(True))]
+    number = sum((d * F.lit(3**i) for i, d in enumerate(votes[1:], 1)), votes[0])
+    length, many = F.length(v), F.size(F.array_distinct(F.split(v, "")))
+    bins = sum((F.when(length >= n, 1).otherwise(0) for n in LENGTHS), F.lit(0))
+    bins = bins * (len(VARIETY) + 1) + sum((F.when(many >= n, 1).otherwise(0) for n in VARIETY), F.lit(0))
+    bins = bins * CLASSES + F.when(letters & figures, 2).when(letters, 1).otherwise(0)
+    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), s.alias("s"), e.alias("e"), base.alias("base"), number.cast("int").alias("votes"), bins.cast("int").alias("bin"))
 
 
 def candidate_spans(text):
-    """Candidate spans of a text with kind (index into KINDS), s, e, base and votes, by kind, then start."""
+    """Candidate spans of a text with kind (index into KINDS), s, e, base, votes and feature bin, by kind, then start."""
     no, yes = F.lit(False), F.lit(True)
 
-    def gated(gate, pattern: str, votes):
+    def gated(gate, pattern: str, rate):
         # most texts have none of a kind: a plain search is far cheaper than the full pattern
-        return F.when(gate, F.transform(_found(text, pattern), votes)).otherwise(F.array().cast(SPANS))
+        return F.when(gate, F.transform(_found(text, pattern), rate)).otherwise(F.array().cast(SPANS))
 
+    def card(x):
+        digits = _digits(x["v"])
+        base = F.length(digits).between(16, 19) & _luhn(digits)
+        return _rated("card", x, base, _vote(base, ~_luhn(digits)))
+
+    def sure(kind, ok):
+        return lambda x: _rated(kind, x, ok(x["v"]), _vote(ok(x["v"]), F.lit(True)))
+
+    unsure = F.lit(NONE)
     sets = [
-        gated(F.contains(text, F.lit("@")), EMAIL, lambda x: _votes("email", x, yes)),
-        gated(F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")), SPELLED, lambda x: _votes("email", x, no)),
-        gated(text.rlike(r"[0-9]\.[0-9]"), IP, lambda x: _votes("ip", x, x["v"].rlike(OCTETS))),
-        gated(text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), CHAIN, lambda x: _votes("card", x, F.length(_digits(x["v"])).between(16, 19) & _luhn(_digits(x["v"])))),
-        gated(F.contains(text, F.lit("+")), PHONE, lambda x: _votes("phone", x, F.length(_digits(x["v"])).between(8, 15))),
-        gated(text.rlike(r"[0-9]{3}[-.][0-9]{4}"), NATIONAL, lambda x: _votes("phone", x, no)),
-        gated((F.contains(text, F.lit('"')) | F.contains(text, F.lit("'"))) & text.rlike(r"""[:=]\s{0,3}["'][0-9A-Za-z+/_-]{16}"""), SECRET, lambda x: _votes("secret", x, no)),
+        gated(F.contains(text, F.lit("@")), EMAIL, sure("email", lambda v: yes)),
+        gated(F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")), SPELLED, lambda x: _rated("email", x, no, unsure)),
+        gated(text.rlike(r"[0-9]\.[0-9]"), IP, sure("ip", lambda v: v.rlike(OCTETS))),
+        gated(text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), CHAIN, card),
+        gated(F.contains(text, F.lit("+")), PHONE, sure("phone", lambda v: F.length(_digits(v)).between(8, 15))),
+        gated(text.rlike(r"[0-9]{3}[-.][0-9]{4}"), NATIONAL, lambda x: _rated("phone", x, no, unsure)),
+        gated(text.rlike(r"""[:=]\s*+["']?[0-9A-Za-z+/_=-]{16}"""), SECRET, lambda x: _rated("secret", x, no, _vote(F.regexp_extract(x["v"], VALUE, 1).rlike(KNOWN), F.lit(False)))),
     ]
     return F.array_sort(F.concat(*sets))
 
 
+def _digits_of(votes: int) -> list[int]:
+    return [votes // 3**i % 3 for i in range(len(LABELERS))]
+
+
+def estimate(counts: list[tuple[int, int, int, bool, int]], rounds: int = 100) -> tuple[list[float], list[list[tuple[float, float]]]]:
+    """EM on (kind, votes, bin, base, count) rows: per kind the share of true spans and each labeler's rates of yes among its votes, on true and on false spans.
+
+    Base spans are true by definition. The share is that of the other candidates.
+    """
+    share, rates = [], []
+    for kind in range(len(KINDS)):
+        rows = [(_digits_of(v), base, n) for k, v, _bin, base, n in counts if k == kind]
+        total = sum(n for *_x, n in rows)
+        weight = STRENGTH / (total + STRENGTH)
+        prior = [PRIOR_OF.get((KINDS[kind], x), PRIOR[x]) for x in LABELERS]
+        pi, rate = 0.5, prior
+        for _ in range(rounds):
+            post = [1.0 if base else _sigmoid(_evidence(d, pi, rate)) for d, base, _n in rows]
+            open_ = [(p, n * weight) for p, (_d, base, n) in zip(post, rows) if not base]
+            pi = (sum(p * n for p, n in open_) + STRENGTH / 2) / (sum(n for _p, n in open_) + STRENGTH)
+            new = []
+            for i, name in enumerate(LABELERS):
+                cast = [(p, n * weight, d[i] == YES) for p, (d, _b, n) in zip(post, rows) if d[i] != NONE]
+                hit, alarm = prior[i]
+                if name != "pattern":  # what a true span of a kind looks like is the strict pattern's definition
+                    hit = (hit * STRENGTH + sum(p * n for p, n, yes in cast if yes)) / (STRENGTH + sum(p * n for p, n, _y in cast))
+                alarm = (alarm * STRENGTH + sum((1 - p) * n for p, n, yes in cast if yes)) / (STRENGTH + sum((1 - p) * n for p, n, _y in cast))
+                new.append((hit, min(alarm, hit)))  # a labeler is never worse than chance, so the classes cannot swap
+            rate = new
+        share.append(pi)
+        rates.append(rate)
+    return share, rates
+
+
 def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def estimate(counts: list[tuple[int, int, int]], rounds: int = 200) -> tuple[list[float], list[tuple[float, float]], dict[tuple[int, int], float]]:
-    """EM on (kind, votes, count) rows: share of true spans per kind, (hit rate, false alarm rate) per labeler, posterior per row.
+def _evidence(digits: list[int], pi: float, rate: list[tuple[float, float]]) -> float:
+    """Log odds that a candidate is true; an abstention adds nothing."""
+    z = math.log(pi / (1 - pi))
+    for d, (hit, alarm) in zip(digits, rate):
+        z += math.log(hit / alarm) if d == YES else math.log((1 - hit) / (1 - alarm)) if d == NO else 0.0
+    return z
+
+
+def _features(votes: int, bin_: int | None) -> list[float]:
+    """Bias, a yes and a no per labeler, then one of each group of feature bins (none of them for a vote pattern as such)."""
+    out = [1.0] + [float(d == want) for d in _digits_of(votes) for want in (YES, NO)]
+    sizes = (len(LENGTHS) + 1, len(VARIETY) + 1, CLASSES)
+    at = (-1, -1, -1) if bin_ is None else (bin_ // (sizes[1] * sizes[2]), bin_ // sizes[2] % sizes[1], bin_ % sizes[2])
+    return out + [float(i == a) for a, n in zip(at, sizes) for i in range(n)]
+
+
+def train(counts: list[tuple[int, int, int, bool, int]], share: list[float], rates: list[list[tuple[float, float]]], steps: int = 30) -> list[np.ndarray]:
+    """Weights of the span classifier per kind: a ridge logistic regression of the EM posteriors, by Newton's method.
 
-    Rates are smoothed, and a labeler's hit rate stays above its false alarms, so the classes cannot swap. The strict
-    pattern is by definition no false alarm generator: its false alarm rate stays below one half.
+    It is fitted on the kind's candidates and, with the weight ``STRENGTH``, on all vote patterns, so that patterns
+    which the table does not hold are judged by the estimated rates.
     """
-    n, k = len(KINDS), len(LABELERS)
-    prior = [0.5] * n
-    rate = [(0.8, 0.2)] * k
-    post: dict[tuple[int, int], float] = {}
-    for _ in range(rounds):
-        for kind, votes, _c in counts:
-            z = math.log(prior[kind] / (1 - prior[kind]))
-            for i, (hit, alarm) in enumerate(rate):
-                z += math.log(hit / alarm) if votes >> i & 1 else math.log((1 - hit) / (1 - alarm))
-            post[kind, votes] = _sigmoid(z)
-        for kind in range(n):
-            true = sum(post[a, v] * c for a, v, c in counts if a == kind)
-            total = sum(c for a, _v, c in counts if a == kind)
-            prior[kind] = (true + 1) / (total + 2)
-        true = sum(post[a, v] * c for a, v, c in counts)
-        false = sum((1 - post[a, v]) * c for a, v, c in counts)
-        for i in range(k):
-            hit = (sum(post[a, v] * c for a, v, c in counts if v >> i & 1) + 4) / (true + 5)
-            alarm = (sum((1 - post[a, v]) * c for a, v, c in counts if v >> i & 1) + 1) / (false + 5)
-            rate[i] = (max(hit, 0.5), min(alarm, 0.5, hit - 0.01 if hit > 0.5 else 0.49))
-    return prior, rate, post
-
-
-def train(counts: list[tuple[int, int, int]], post: dict[tuple[int, int], float], rounds: int = 300) -> tuple[float, list[float], list[float]]:
-    """Logistic regression of the posteriors on the votes and the kind: (bias, weight per vote, weight per kind)."""
-    w, b, by = [0.0] * len(LABELERS), 0.0, [0.0] * len(KINDS)
-    total = sum(c for _a, _v, c in counts) or 1
-    for _ in range(rounds):
-        gw, gb, gk = [0.0] * len(w), 0.0, [0.0] * len(by)
-        for kind, votes, c in counts:
-            z = b + by[kind] + sum(w[i] for i in range(len(w)) if votes >> i & 1)
-            d = (post[kind, votes] - _sigmoid(z)) * c / total
-            gb += d
-            gk[kind] += d
-            for i in range(len(w)):
-                if votes >> i & 1:
-                    gw[i] += d
-        b += 2 * gb
-        w = [x + 2 * (g - 1e-4 * x) for x, g in zip(w, gw)]
-        by = [x + 2 * (g - 1e-4 * x) for x, g in zip(by, gk)]
-    return b, w, by
-
-
-def learn(spans: DataFrame) -> list[float]:
-    """Score of each (kind, votes), from a column ``spans`` of candidates: EM, then the classifier."""
-    one = spans.select(F.explode("spans").alias("x")).groupBy("x.kind", "x.votes").agg(F.count(F.lit(1)).alias("n"))
-    counts = sorted((r["kind"], r["votes"], r["n"]) for r in one.collect())
-    _, _, post = estimate(counts)
-    bias, weight, by = train(counts, post)
-    return [_sigmoid(bias + by[k] + sum(weight[i] for i in range(len(weight)) if v >> i & 1)) for k in range(len(KINDS)) for v in range(1 << len(LABELERS))]
-
-
-def _accepted(df: DataFrame, scores: list[float], threshold: float) -> DataFrame:
+    out = []
+    for kind in range(len(KINDS)):
+        own = [(v, b, base, n) for k, v, b, base, n in counts if k == kind]
+        total = sum(r[3] for r in own)
+        x = [_features(v, b) for v, b, _base, _n in own] + [_features(v, None) for v in range(PATTERNS)]
+        y = [1.0 if base else _sigmoid(_evidence(_digits_of(v), share[kind], rates[kind])) for v, _b, base, _n in own] + [_sigmoid(_evidence(_digits_of(v), share[kind], rates[kind])) for v in range(PATTERNS)]
+        c = [n * STRENGTH / (total + STRENGTH) for *_x, n in own] + [STRENGTH / PATTERNS] * PATTERNS
+        x, y, c = np.array(x), np.array(y), np.array(c)
+        w = np.zeros(x.shape[1])
+        ridge = np.full(len(w), 1e-2)
+        ridge[1 + 2 * len(LABELERS) :] = 1.0  # features of the span weigh less than votes
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x.T * (c * p * (1 - p))) @ x + np.diag(ridge), x.T @ (c * (y - p)) - ridge * w)
+            w = w + step
+            if np.abs(step).max() < 1e-9:
+                break
+        out.append(w)
+    return out
+
+
+def learn(spans: DataFrame) -> list[np.ndarray]:
+    """The classifier's weights per kind, from a column ``spans`` of candidates: EM, then the regression."""
+    one = spans.select(F.explode("spans").alias("x")).groupBy("x.kind", "x.votes", "x.bin", "x.base").agg(F.count(F.lit(1)).alias("n"))
+    counts = sorted((r["kind"], r["votes"], r["bin"], r["base"], r["n"]) for r in one.collect())
+    return train(counts, *estimate(counts))
+
+
+def log_odds(weights: list[np.ndarray], kind: int, votes: int, bin_: int) -> float:
+    return float(np.dot(_features(votes, bin_), weights[kind]))
+
+
+def _constant(values) -> object:
+    """An array constant: one literal in the plan, folded once, looked up by position."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def _accepted(df: DataFrame, weights: list[np.ndarray], threshold: float) -> DataFrame:
     """``spans`` cut to the base spans and the accepted candidates: structs (kind, s, e, base, p)."""
-    score = F.array(*[F.lit(x) for x in scores])
-    rest = [c for c in df.columns if c not in ("spans", "rated", "sure")]
-    cols = [F.col(f"`{c}`") for c in rest]
-    rated = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"), F.get(score, x["kind"] * (1 << len(LABELERS)) + x["votes"]).alias("p")))
+    votes = _constant(np.dot(_features(v, None), w) for w, v in product(weights, range(PATTERNS)))
+    rest = _constant(np.dot(np.subtract(_features(0, b), _features(0, None)), w) for w, b in product(weights, range(BINS)))
+    others = [c for c in df.columns if c not in ("spans", "rated", "sure")]
+    cols = [F.col(f"`{c}`") for c in others]
+    z = lambda x: F.get(votes, x["kind"] * PATTERNS + x["votes"]) + F.get(rest, x["kind"] * BINS + x["bin"])
+    rated = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"), (1 / (1 + F.exp(-z(x)))).alias("p")))
     keep = F.filter("rated", lambda x: x["base"] | ((x["p"] >= threshold) & ~F.exists("sure", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))))
     return df.select(*cols, rated.alias("rated")).select(*cols, "rated", F.filter("rated", lambda x: x["base"]).alias("sure")).select(*cols, keep.alias("spans"))
 
@@ -229,9 +323,9 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     candidates are computed twice, for the counts and for the texts, rather than kept beside copies of all texts.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    scores = learn(docs.select(candidate_spans(text).alias("spans")))
+    weights = learn(docs.select(candidate_spans(text).alias("spans")))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), candidate_spans(text).alias("spans"))
-    spans = _accepted(own, scores, threshold)
+    spans = _accepted(own, weights, threshold)
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

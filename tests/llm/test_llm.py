@@ -391,3 +391,79 @@ def test_url_filter_long_tags_and_quoted_ends(spark):
     ]
     got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: "block" for i in range(1, 8)}
+
+
+def _added_by_hand(t, weights):
+    """Accepted spans beyond the base ones, by plain regular expressions and votes written out one by one."""
+    import regex
+
+    out = []
+    base = base_spans(t)
+    word = lambda c: bool(c) and c.isalnum()
+
+    def offer(kind, s, e, v, pattern, shape, gazetteer, joined):
+        before = t[max(0, s - pii.BEFORE) : s]
+        context = 2 if re.search(pii.CONTEXT[kind], before) else 0 if re.search(pii.AGAINST[kind], before) else 1
+        votes = [pattern, shape, gazetteer, context, 0 if joined else 2]
+        many, letters, figures = len(set(v)), bool(re.search("[A-Za-z]", v)), bool(re.search("[0-9]", v))
+        bins = (sum(len(v) >= n for n in pii.LENGTHS) * 3 + sum(many >= n for n in pii.VARIETY)) * 3 + (2 if letters and figures else 1 if letters else 0)
+        if pii.log_odds(weights, pii.KINDS.index(kind), sum(d * 3**i for i, d in enumerate(votes)), bins) >= 0 and not any(s < b and a < e for _k, a, b in base):
+            out.append((kind, s, e))
+
+    edges = lambda m: word(t[m.start() - 1 : m.start()]) or word(t[m.end() : m.end() + 1])
+    for m in regex.finditer(pii.SPELLED, t):
+        v = m.group()
+        offer("email", *m.span(), v, 1, 2 if re.search(r"(?i)[.)\]] ?[a-z]{2,24}$", v) else 0, 2 if re.search(pii.DOMAINS, v) else 1, edges(m))
+    for m in regex.finditer(pii.IP, t):
+        if not regex.search(pii.OCTETS, m.group()):
+            offer("ip", *m.span(), m.group(), 0, 0 if re.search(r"(?:^|\.)0[0-9]", m.group()) else 2, 2 if re.search(r"^(?!0|127\.|255\.)", m.group()) else 0, edges(m))
+    for m in regex.finditer(pii.CHAIN, t):
+        v, d = m.group(), re.sub("[^0-9]", "", m.group())
+        if not (16 <= len(d) <= 19 and luhn(d)):
+            offer("card", *m.span(), v, 1 if luhn(d) else 0, 2 if len(d) in (15, 16) and not ("-" in v and " " in v) else 0, 2 if re.search(pii.ISSUERS, d) else 0, edges(m))
+    for m in regex.finditer(pii.PHONE, t):
+        d = re.sub("[^0-9]", "", m.group())
+        if not 8 <= len(d) <= 15:
+            offer("phone", *m.span(), m.group(), 0, 0, 2 if re.search(pii.CALLING, m.group()) else 1, edges(m))
+    for m in regex.finditer(pii.NATIONAL, t):
+        offer("phone", *m.span(), m.group(), 1, 2, 2 if re.search(pii.CALLING, m.group()) else 1, edges(m))
+    for m in regex.finditer(pii.SECRET, t):
+        v = regex.search(pii.VALUE, m.group()).group(1)
+        e = m.end() - (m.group()[-1] in "\"'")
+        offer("secret", e - len(v), e, v, 2 if regex.search(pii.KNOWN, v) else 1, 2 if re.search("[A-Za-z]", v) and re.search("[0-9]", v) else 0, 0 if re.search(pii.PLACEHOLDER, v) else 2, word(t[m.end() : m.end() + 1]))
+    return sorted(out, key=lambda x: (pii.KINDS.index(x[0]), x[1]))
+
+
+PII_TEXTS = [
+    "write to jo.doe [at] mail [dot] example.org or jo(at)site.net.", "call (212) 555-0142 or 212-555-0142", "order no. 212-555-0142", "part 555-123.4567", "ip 300.1.2.3 and 1.2.3.400",
+    "378282246310005 amex", "4111 1111 1111 1112 not", "visa 4222222222222", 'token = "' + "0af3" * 10 + '"', "secret: " + "9Zx_" * 50, 'password = "changeme-changeme-1"', "api_key: your_api_key_goes_here", '"api_key": "Ab3dEf6hIj9kLm2n"',
+    "+12 3", "+1234567890123456789", "passwd='aaaaaaaaaaaaaaaaaaaa'", "token =\n\n\n   'q1w2e3r4t5y6u7i8o9p0'", "x" * 300 + "@", "\U0001f600 token = \"" + "7c" * 16 + "\"é",
+]
+
+
+def test_pii_added_spans_equal_brute_force(spark):
+    rng = random.Random(9)
+    texts = PII_TEXTS + [" ".join(rng.sample(PII_TEXTS, 3)) for _ in range(60)]
+    d = docs(spark, texts)
+    weights = pii.learn(d.select(pii.candidate_spans(F.coalesce("text", F.lit(""))).alias("spans")))
+    got = {r["doc_id"]: [(pii.KINDS[x["kind"]], x["s"], x["e"]) for x in r["spans"] if not x["base"]] for r in pii.find(d).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == _added_by_hand(t, weights), t
+    kinds = {k for spans in got.values() for k, _s, _e in spans}
+    assert kinds == {"email", "phone", "card", "secret"} and got[10] == [] and got[11] == [] and got[6] == []
+    value = got[9][0]
+    assert texts[9][value[1] : value[2]] == "9Zx_" * 50  # the value alone, of any length
+
+
+def test_pii_spans_do_not_depend_on_the_table(spark):
+    lines = lambda d: {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(d)).collect()}
+    own = docs(spark, PII_TEXTS).select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    alone = lines(own)
+    for i in (0, 8, 9, 12):
+        assert lines(own.where(F.col("doc_id") == -1 - i)) == {-1 - i: alone[-1 - i]}
+    for sf in ("0.001", "0.01", "0.1"):
+        d = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
+        found = lines(d.union(own))
+        assert {k: found[k] for k in alone} == alone
+        left = pii.redact(d).where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count()
+        assert left == 0
