@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,33 +14,64 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Folders of this process's own, where a local session names none, by application; and the tables written so far.
+_OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, a local master gets a temporary folder of its own (tests); any other master is an error, as a
-    machine-local folder would not be visible to the executors.
+    Where it is unset, a local master gets a temporary folder that goes when the process ends (tests); any other master
+    is an error, as a machine-local folder would not be visible to the executors. The session's settings stay as they are.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="commitscope-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if sc.applicationId not in _OWN:
+            own = tempfile.mkdtemp(prefix="commitscope-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _OWN[sc.applicationId] = "file://" + own
+        base = _OWN[sc.applicationId]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, noted for ``release``."""
+    _WRITTEN.append(f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back; cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def noted() -> int:
+    """How many tables are noted so far; give it to ``release`` to remove only later ones."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the intermediate tables written after ``since``; call it when the results that read them are written."""
+    while len(_WRITTEN) > since:
+        remove(spark, _WRITTEN.pop())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; Spark's cleaner drops it when it is no longer referenced."""
+    """Reliable checkpoint in the shared folder; it stays unless the session sets ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

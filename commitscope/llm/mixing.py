@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,19 +88,47 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> Data
     return _placed(docs, weights, cap, seed).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def settle(size: np.ndarray, taken: np.ndarray, start: float, cap: int = CAP) -> np.ndarray:
+    """Whole copies of a shard's documents that stand for the words taken of each; all sizes above 0, in ascending order.
+
+    Systematic sampling from ``start`` in [0, 1): along the documents the running sum of ``taken / size`` is cut to whole
+    numbers, so no document is favoured by its length. What the copies then miss, or have too much, is made up for by
+    single documents of about that size, the nearest first, as long as that helps.
+    """
+    share = taken / size
+    upto = np.floor(np.cumsum(share) + start + 1e-9)
+    times = np.clip(np.diff(upto, prepend=np.floor(start + 1e-9)), 0, cap).astype(np.int64)
+    for _ in range(16):
+        rest = int(taken.sum() - (times * size).sum())
+        may = np.flatnonzero((times < cap) if rest > 0 else (times > 0))
+        if rest == 0 or not len(may):
+            break
+        at = may[np.argmin(np.abs(size[may] - abs(rest)))]
+        if size[at] >= 2 * abs(rest):
+            break
+        times[at] += 1 if rest > 0 else -1
+    return times
+
+
 def copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
-    """``(doc_id, source, body, times)``, one row per document: whole copies in the mix, ``taken / size`` of them on average.
+    """``(doc_id, source, body, times)``, one row per document: whole copies in the mix, at most ``cap``.
 
-    Fractions are settled by systematic sampling with a seeded start in each shard: along its documents by size the
-    running sum of ``taken / size`` is cut to whole numbers. So no document is favoured by its length, and a shard's
-    words differ from those taken by about one of its longest documents. ``body``: hash of the text.
+    Each shard settles the fractions on its own (see ``settle``), so its words differ from those taken by at most half of
+    one of its shortest documents that can still be added or left out. Documents without words have none. ``body``: hash
+    of the text.
     """
-    one = 1 << 20
-    rows = _placed(docs, weights, cap, seed).withColumn("share", F.when(F.col("size") > 0, F.expr(f"taken * {one} div size")).otherwise(F.lit(0).cast("long")))
-    start = F.pmod(F.xxhash64(F.lit(seed + 3), "source", "shard"), F.lit(one))
-    line = Window.partitionBy("source", "shard").orderBy("size", "order", "doc_id", "taken").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("share").over(line) + start)
-    return rows.select("doc_id", "source", "body", F.expr(f"upto div {one} - (upto - share) div {one}").cast("int").alias("times"))
+    start = F.pmod(F.xxhash64(F.lit(seed + 3), "source", "shard"), F.lit(1 << 20)) / (1 << 20)
+    rows = _placed(docs, weights, cap, seed).withColumn("start", start)
+
+    def run(part: pa.Table) -> pa.Table:
+        size, taken = part["size"].to_numpy(), part["taken"].to_numpy()
+        order = np.lexsort((taken, part["order"].to_numpy(), size))
+        times = np.empty(len(size), np.int64)
+        times[order] = settle(size[order], taken[order], part["start"][0].as_py(), cap)
+        return part.select(["doc_id", "source", "body"]).append_column("times", pa.array(times, pa.int32()))
+
+    some = rows.where("size > 0").groupBy("source", "shard").applyInArrow(run, "doc_id long, source string, body long, times int")
+    return some.union(rows.where("size = 0").select("doc_id", "source", "body", F.lit(0)))
 
 
 def _placed(docs: DataFrame, weights, cap: int, seed: int) -> DataFrame:

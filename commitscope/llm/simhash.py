@@ -16,14 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, text_or_empty, written
+from . import nearcopies
+from .common import checkpointed, text_or_empty, written
 from .components import connected_components
+from .shingles import SEED, body_of, shingles
 
-SEED, BUDGET, BITS = 42, 2, 64
+BUDGET, BITS = 2, 64
 #: (rotation, width) of the bands that lead the three tries.
 BANDS = ((0, 22), (22, 21), (43, 21))
 #: Rows of a cell beyond which it is split, and trie levels taken per split.
@@ -31,23 +32,12 @@ CELL_ROWS, SPLIT_BITS = 2000, 8
 CHUNK_ROWS = 100_000
 
 
-def shingles(text: str, width: int, seed: int = SEED) -> np.ndarray:
-    """Hashes of a text's runs of ``width`` words, in order; a shorter text has one, a text without words none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes.lower and split know ASCII only
-    if not words:
-        return np.empty(0, np.uint64)
-    h = xxhash.xxh64_intdigest
-    n = len(words) - width + 1
-    line = b" ".join(words)
-    if n <= 1:
-        return np.array([h(line, seed)], np.uint64)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    return np.fromiter([h(line[s:e], seed) for s, e in zip((end - size)[:n].tolist(), end[width - 1 :].tolist())], np.uint64, n)
+def fingerprint(text: str, width: int = 3, seed: int = SEED) -> int:
+    return majority(shingles(text, width, seed))
 
 
-def fingerprint(text: str, width: int = 3, seed: int = SEED) -> int:
-    hashes = shingles(text, width, seed)
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
     n = len(hashes)
     if n <= 1:
         return int(hashes[0]) if n else 0
@@ -69,11 +59,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return text_or_empty(docs, "doc_id").withColumn("body", body_of("text")).mapInArrow(run, "doc_id long, fp long, body long")
 
 
-def body_of(text: str):
-    """Hash that tells the texts of rows with one id apart; a null text counts as empty."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-
-
 def _links(key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within ``budget`` bits; ``key`` sorted within [start, mid) and [mid, end) of each cell.
 
@@ -233,6 +218,37 @@ def _grouped(docs: DataFrame) -> DataFrame:
     return docs.join(labelled.join(least, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "fp", "body", "component", "component_id")
 
 
+def keep_one(docs: DataFrame, *columns: str, width: int = 5) -> DataFrame:
+    """The given columns of one row of each group of near copies: the smallest doc_id's, of equal ids the smallest text hash's.
+
+    Near copies have a Jaccard similarity of at least ``nearcopies.LEAST`` between their sets of ``width``-word shingles;
+    groups follow chains of them. The trie self-join over fingerprints of the same shingles links the closest copies, so
+    that large groups shrink to few components; at that similarity fingerprints may differ in 20 bits, so a second, wider
+    pass (see ``nearcopies``) finds the links between components. Every link of both passes is checked exactly.
+
+    A null doc_id comes last, so a row without an id stays only where no member of its group has one; rows without an
+    id and with different texts are told apart by these. Repeated rows leave one. Texts without words are one group.
+    An empty table gives an empty result.
+    """
+    texts = text_or_empty(docs, "doc_id").withColumn("body", body_of("text"))
+    distinct = written(texts.select("body", "text").dropDuplicates(["body"]), "near-texts")
+    marks = written(nearcopies.marks(distinct, width, majority), "near-marks")
+    # of texts with one fingerprint the smallest hash stands for the others; links of the tries join such texts
+    reps = marks.groupBy("fp").agg(F.min("body").alias("rep"))
+    tight = links(reps.select("fp")).join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b")), "b")
+    same = marks.select("fp", "body").join(reps, "fp").where("body <> rep")
+    pairs = tight.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).union(same.select(F.col("rep").alias("a"), F.col("body").alias("b")))
+    found = nearcopies.checked(pairs, distinct, width)
+    of = connected_components(nearcopies.links(distinct, marks, found, width)).withColumnRenamed("node", "body")
+    ids = texts.groupBy("body").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("i"))
+    first = F.struct(F.col("i.none").alias("none"), F.col("i.doc_id").alias("doc_id"), "body")
+    keep = ids.join(of, "body", "left").groupBy(F.coalesce("component", "body").alias("component")).agg(F.min(first).alias("k"))
+    keep = keep.select(F.col("k.doc_id").alias("keep_id"), F.col("k.body").alias("keep_body"))
+    rows = docs.select(*columns).withColumn("own_body", body_of("text"))
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own_body") == F.col("keep_body")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "own_body"]).drop("own_body")
+
+
 def hex_of(fp):
     """16 lowercase hex digits of a signed 64-bit integer column."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

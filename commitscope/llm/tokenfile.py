@@ -9,7 +9,6 @@ the part), doc_ids and n_tokens per document, and the coded payload.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, text_or_empty
+from .common import slices, table_path, text_or_empty
 from .idcoder import decode_block, encode_block
 from .wordbpe import WordTokenizer
 
@@ -107,7 +106,7 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
 def summary(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` as read back from the files; one row per document, an empty table gives none."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = table_path(spark, "tokens")
     write(docs, path, tokenizer, end_id)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
