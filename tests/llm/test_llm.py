@@ -216,18 +216,80 @@ def test_url_filter(spark):
     assert urlfilter.judge(df.where("false")).count() == 0
 
 
+def _leaves_by_hand(text):
+    """Leaves of a text, cut one character at a time."""
+    out = []
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        now = ""
+        for c in line:
+            now += c
+            if len(now) == merkle.MOST or (len(now) >= merkle.LEAST and 32 <= ord(c) < 0xD800 and (ord(c) * 668265263 & 0xFFFFFFFF) >> 29 == 0):
+                out.append(now)
+                now = ""
+        out += [now] if now else []
+    return out
+
+
+def _alike_by_hand(a, b):
+    if a == b:
+        return 1.0
+    x, y = _leaves_by_hand(a), _leaves_by_hand(b)
+    rest, shared = list(y), 0
+    for leaf in x:
+        if leaf in rest:
+            rest.remove(leaf)
+            shared += 1
+    return min(2 * shared / (len(x) + len(y)), 1 - 1 / (len(x) + len(y) + 1)) if x and y else 0.0
+
+
+def _check_edits(a, b, runs):
+    """Outside of the runs both texts are equal; there are none for equal texts and some for unequal ones."""
+    p = q = 0
+    for s, e, t, f in runs:
+        assert a[p:s] == b[q:t]
+        p, q = e, f
+    assert a[p:] == b[q:] and bool(runs) == (a != b)
+
+
 def test_merkle(spark):
-    texts = ["para one is here\npara two, somewhat longer than the first one is\n\nlast", "", "a", None, "same", "same", LONG]
+    rng = random.Random(2)
+    dense = ["".join(rng.choice(letters) for _ in range(1500)) for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "日本語文章東京都大阪市のがをには", "0123456789")]
+    texts = ["para one is here\npara two, somewhat longer than the first one is\n\nlast", "", "a", None, "same", "same", LONG[:9000], *dense, *(t[:700] + t[:700] for t in dense), "😀" * 300]
     got = {r["doc_id"]: r for r in merkle.compare_with_next(docs(spark, texts)).collect()}
     order = sorted(range(len(texts)), reverse=True)
     for i, k in enumerate(order):
         t, n = texts[k] or "", texts[order[(i + 1) % len(order)]] or ""
-        e = merkle.edited(t, n)
-        assert got[k]["n_chars"] == len(t) and got[k]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
-        assert got[k]["fingerprint"] == merkle.fingerprint(t) and 0 <= got[k]["near_next"] <= 1
+        half = len(t) // 2
+        e = t[: len(t) - half] + n[:half]
+        r = got[k]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        assert r["fingerprint"] == merkle.fingerprint(t) and r["edited_fingerprint"] == merkle.fingerprint(e)
+        assert r["near_edited"] == pytest.approx(_alike_by_hand(t, e)) and r["near_next"] == pytest.approx(_alike_by_hand(t, n))
+        _check_edits(t, e, [tuple(map(int, re.split("[:>]", x))) for x in r["edits"].split(",") if x])
     assert got[5]["near_next"] == 1.0
-    a = merkle.fingerprint(texts[0])
-    assert merkle.differences(a, a) == [] and len(merkle.differences(a, merkle.fingerprint(texts[0].replace("two", "2")))) == 1
+    for i in (7, 8, 9):  # half-equal texts without a blank
+        assert 0.3 < got[i]["near_edited"] < 0.7
+
+
+def test_merkle_differences():
+    rng = random.Random(3)
+    for _ in range(800):
+        x = "".join(rng.choice(["a ", "bc\n", "f", "\n\n", "Q9", "zz " * 9, "é", "once upon a time "]) for _ in range(rng.randint(0, 60)))
+        y = x
+        for _ in range(rng.randint(0, 3)):
+            i, kind = rng.randint(0, len(y)), rng.choice("ids")
+            y = y[:i] + "new text here\n"[: rng.randint(1, 14)] + y[i:] if kind == "i" else y[:i] + y[i + rng.randint(1, 30) :] if kind == "d" else y[i:] + y[:i]
+        a, b = merkle.fingerprint(x), merkle.fingerprint(y)
+        assert (a == b) == (x == y) == (merkle.likeness(a, b) == 1.0) and merkle.parsed(a) == (a[: merkle.NODE_HEX], merkle.tree(x))
+        _check_edits(x, y, merkle.edits(x, y, merkle.parsed(a), merkle.parsed(b)))
+    one, two = "first paragraph of a text\n", "the second one, quite another\n"
+    swapped = merkle.fingerprint(one + two), merkle.fingerprint(two + one)
+    assert merkle.differences(*swapped) and 0.5 < merkle.likeness(*swapped) < 1
+    assert merkle.differences(merkle.fingerprint(one + two), merkle.fingerprint(one)) == [(2, 4, 2, 2)]  # the second paragraph has two leaves
+    assert merkle.places(merkle.fingerprint(one + two))[-1] in ((0, 1), (1, 0))
+    # one changed word in a long text is one short run
+    changed = merkle.edits(LONG, LONG[:70_000] + "X" + LONG[70_001:], *(merkle.parsed(merkle.fingerprint(t)) for t in (LONG, LONG[:70_000] + "X" + LONG[70_001:])))
+    assert len(changed) == 1 and changed[0][0] <= 70_000 < changed[0][1] <= changed[0][0] + 4 * merkle.MOST
 
 
 def test_merkle_order_over_many_ranges(spark):
