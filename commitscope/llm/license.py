@@ -24,6 +24,8 @@ GAP = 3
 #: Pieces end at line ends, or at . ! ? ; before white space.
 SENTENCE = re.compile(r"[^\n.!?;]+(?:[.!?;](?!\s|\Z)[^\n.!?;]*)*")
 NOT_WORD = re.compile(r"[^a-z0-9]+")
+#: The first words of a piece, after whatever marks lead it.
+WORDS = re.compile(r"[^A-Za-z0-9]*+(?:[A-Za-z0-9]++[^A-Za-z0-9]*+){1,4}")
 #: Between pieces of one sentence: one line end, then marks of a comment that ends sentences elsewhere (; and !).
 SOFT = re.compile(r"\n[ \t]*[.!?;]*\Z")
 #: Before a line's text: comment words; before a sentence's: those, or a number or letter of a list.
@@ -111,6 +113,11 @@ RULES = [
     ("LGPL-2.1-only", ["lgpl-21-title", "gpl-everyone"]),
     ("LGPL-3.0-only", ["lgpl-3-title", "gpl-everyone"]),
     ("AGPL-3.0-only", ["agpl-3-title", "gpl-everyone"]),
+    ("GPL-2.0-only", ["gpl-2-title"]),
+    ("GPL-3.0-only", ["gpl-3-title"]),
+    ("LGPL-2.1-only", ["lgpl-21-title"]),
+    ("LGPL-3.0-only", ["lgpl-3-title"]),
+    ("AGPL-3.0-only", ["agpl-3-title"]),
     ("LGPL-2.1-or-later", ["lgpl-21-redistribute"]),
     ("LGPL-3.0-or-later", ["lgpl-3-redistribute"]),
     ("AGPL-3.0-or-later", ["agpl-3-redistribute"]),
@@ -120,6 +127,85 @@ RULES = [
     ("CC0-1.0", ["cc0-dedicated"]),
     ("Unlicense", ["unlicense"]),
 ]
+#: Further texts whose first sentences or titles name them.
+MORE = [
+    ("MPL-1.1", ["MOZILLA PUBLIC LICENSE Version 1.1"]),
+    ("MPL-1.1", ['The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License")']),
+    ("EPL-1.0", ["Eclipse Public License - v 1.0"]),
+    ("EPL-2.0", ["Eclipse Public License - v 2.0"]),
+    ("EPL-2.0", ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"]),
+    ("CDDL-1.0", ["COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0"]),
+    ("Artistic-1.0", ['The "Artistic License"', "Preamble"]),
+    ("Artistic-2.0", ["The Artistic License 2.0"]),
+    ("BSL-1.0", ["Boost Software License - Version 1.0 - August 17th, 2003"]),
+    ("BSL-1.0", ["Distributed under the Boost Software License, Version 1.0"]),
+    ("Zlib", ["This software is provided 'as-is', without any express or implied warranty", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"]),
+    ("WTFPL", ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004"]),
+    ("0BSD", ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"]),
+    ("ISC", ["Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"]),
+    ("MIT-0", ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so']),
+    ("OFL-1.1", ["This Font Software is licensed under the SIL Open Font License, Version 1.1"]),
+    ("OFL-1.1", ["SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007"]),
+    ("Python-2.0", ["PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2"]),
+    ("GFDL-1.2-only", ["GNU Free Documentation License Version 1.2, November 2002"]),
+    ("GFDL-1.2-only", ["GNU Free Documentation License Version 1.2, November 2002", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"]),
+    ("GFDL-1.3-only", ["GNU Free Documentation License Version 1.3, 3 November 2008"]),
+    ("GFDL-1.3-only", ["GNU Free Documentation License Version 1.3, 3 November 2008", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"]),
+    ("GPL-1.0-only", ["GNU GENERAL PUBLIC LICENSE Version 1, February 1989"]),
+    ("GPL-1.0-only", ["GNU GENERAL PUBLIC LICENSE Version 1, February 1989", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"]),
+    ("LGPL-2.0-only", ["GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"]),
+    ("LGPL-2.0-only", ["GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"]),
+    ("BSD-4-Clause", ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "All advertising materials mentioning features or use of this software must display the following acknowledgement:"]),
+]
+#: The names under which notices speak of a licence.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0", "Apache 2.0", "Apache Software License 2.0"],
+    "MIT": ["MIT License", "MIT license terms", "MIT"],
+    "ISC": ["ISC License", "ISC"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause"],
+    "MPL-1.1": ["Mozilla Public License 1.1", "Mozilla Public License, Version 1.1", "MPL 1.1"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0", "MPL-2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "EPL 2.0"],
+    "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0"],
+    "Unlicense": ["Unlicense"],
+    "Zlib": ["zlib License", "zlib"],
+    "CC0-1.0": ["CC0 1.0", "CC0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal Public Domain Dedication"],
+}
+#: How a notice begins, the GNU licences with their versions, and the parts of a Creative Commons licence.
+NOTICES = ["Licensed under", "Released under", "Distributed under", "Available under", "Published under", "This work is licensed under", "This project is licensed under", "This program is licensed under", "This software is licensed under", "This file is licensed under", "This code is licensed under", "This document is licensed under", "Except where otherwise noted, this work is licensed under"]
+GNU = {"GPL": ("General Public License", ["1", "2", "3"]), "LGPL": ("Lesser General Public License", ["2.1", "3"]), "AGPL": ("Affero General Public License", ["3"])}
+GNU_NOUNS = ["program", "library", "software", "file"]
+CC_PARTS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CC_VERSIONS = {"1.0": ["Generic"], "2.0": ["Generic"], "2.5": ["Generic"], "3.0": ["Unported"], "4.0": ["International"]}
+OWNERS = ["the copyright holder", "the copyright holders", "copyright holder", "the copyright owner", "the author", "the authors", "the organization", "the project", "the University", "the Regents"]
+
+
+def generated() -> list[tuple[str, list[str]]]:
+    """Rules as (licence, sentences) that follow from names and forms: notices, the GNU licences' headers, Creative Commons, the BSD endorsement clause."""
+    out, names = list(MORE), {k: list(v) for k, v in NAMES.items()}
+    for short, (name, versions) in GNU.items():
+        for v in versions:
+            spdx = f"{short}-{v if '.' in v else v + '.0'}"
+            names[spdx + "-only"] = [f"GNU {name}, version {v}", f"GNU {name} {v}", f"GNU {name} v{v}", f"GNU {name} v{v}.0", f"{short} {v}", f"{short}v{v}", f"GNU {short}v{v}", f"GNU {short} v{v}", f"{spdx}", f"{spdx}-only", f"GNU {name} version {v} only"]
+            names[spdx + "-or-later"] = [f"GNU {name}, version {v} or later", f"GNU {name} v{v} or later", f"GNU {name} v{v}+", f"{short}v{v} or later", f"{short} {v} or later", f"{spdx}-or-later", f"GNU {name}, version {v} or any later version"]
+            for noun in GNU_NOUNS:
+                for a in ";:":
+                    start = f"This {noun} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name}"
+                    out += [(spdx + "-or-later", [f"{start} as published by the Free Software Foundation{b} either version {v} of the License, or (at your option) any later version"]) for b in ";,"]
+                    out += [(spdx + "-only", [f"{start}{c}version {v}{d}as published by the Free Software Foundation"]) for c, d in ((" ", " "), (", ", ", "))]
+    for code, words in CC_PARTS.items():
+        for v, ports in CC_VERSIONS.items():
+            full = [f"Creative Commons {words} {v}{port} {end}".strip() for port in ["", *(" " + p for p in ports)] for end in ("License", "")]
+            names[f"CC-{code}-{v}"] = [f"CC {code} {v}", f"CC-{code}-{v}", f"CC-{code} {v}", *full, *("a " + n for n in full)]
+            out += [(f"CC-{code}-{v}", [f"{words} {v} {port}"]) for port in ports] + [(f"CC-{code}-{v}", [n]) for n in full if n.endswith("License")]
+    for spdx, every in names.items():
+        out += [(spdx, [f"{notice}{the}{name}"]) for name in every for notice in NOTICES for the in (" ", " the ")]
+    bsd = [SENTENCES[k] for k in ("bsd-conditions", "bsd-source", "bsd-binary")]
+    out += [("BSD-3-Clause", [*bsd, f"Neither the name of {owner} nor the names of {its}contributors may be used to endorse or promote products derived from this software without specific prior written permission"]) for owner in OWNERS for its in ("its ", "")]
+    return out
+
+
 #: An SPDX tag names its licence itself, as an expression up to the line's end.
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9][A-Za-z0-9.+-]*\)?(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*)*)")
 SPDX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
@@ -130,19 +216,29 @@ def normalise(sentence: str) -> str:
 
 
 class Rules:
+    """Known sentences by identifier, and ordered rules over identifiers; the built-in ones where none are given."""
+
     def __init__(self, sentences=None, rules=None, gap: int = GAP):
-        sentences, rules = sentences or SENTENCES, rules or RULES
+        named, wanted = dict(sentences or SENTENCES), [(spdx, list(keys)) for spdx, keys in (rules or RULES)]
+        if sentences is None and rules is None:
+            for spdx, texts in generated():
+                keys = []
+                for text in texts:
+                    name = "+".join(normalise(p).replace(" ", "-") for p in SENTENCE.findall(text))
+                    keys.append(name)
+                    named.setdefault(name, text)
+                wanted.append((spdx, keys))
         # a text's sentence may end where a licence's does not (before a line end), so known texts are cut alike
         self.parts: dict[str, str] = {}
-        self.whole = {}
-        for key, text in sentences.items():
+        of = {}
+        for key, text in named.items():
             cut = [p for p in map(normalise, SENTENCE.findall(text)) if p]
-            self.whole[key] = [f"{key}#{i}" if i else key for i in range(len(cut))]
-            for name, p in zip(self.whole[key], cut):
-                self.parts.setdefault(p, name)
-        self.name_of = {k: [self.parts[p] for p in map(normalise, SENTENCE.findall(t)) if p] for k, t in sentences.items()}
-        self.rules = [(spdx, [n for k in keys for n in self.name_of[k]]) for spdx, keys in rules]
-        self.rules.sort(key=lambda r: -len(r[1]))
+            of[key] = [self.parts.setdefault(p, f"{key}#{i}" if i else key) for i, p in enumerate(cut)]
+        found = {tuple(n for k in keys for n in of[k]): spdx for spdx, keys in reversed(wanted)}
+        #: Rules by their first sentence, the longest first; of rules with the same sentences the first.
+        self.by_first: dict[str, list[tuple[int, str, tuple[str, ...]]]] = {}
+        for no, (path, spdx) in enumerate(sorted(found.items(), key=lambda r: -len(r[0]))):
+            self.by_first.setdefault(path[0], []).append((no, spdx, path))
         self.first = {p.split(" ", 1)[0] for p in self.parts}
         self.sorted = sorted(self.parts)
         self.gap = gap
@@ -160,10 +256,11 @@ class Rules:
         while at < len(pieces):
             a, b = pieces[at]
             # a piece without a word is a blank line, whatever its comment marks
-            head = normalise(text[a : min(b, a + 40)])
+            few = WORDS.match(text, a, b)
+            head = normalise(few.group()) if few else ""
             soft = end is not None and bool(head) and SOFT.match(text, end, a) is not None
             no += end is not None and not soft
-            end, step = b if head or normalise(text[a:b]) else None, 1
+            end, step = b if head else None, 1
             if end is None:
                 no += 1
             else:
@@ -183,7 +280,8 @@ class Rules:
         """The last piece and the identifier of the longest known sentence that starts at a piece, ``cut`` letters in."""
         words, hit = normalise(text[slice(*pieces[at])])[cut:], None
         while True:
-            if key := self.parts.get(words):
+            # where lines were refilled, the next list item's number or letter stands at the sentence's end
+            if key := self.parts.get(words) or (words[-2:-1] == " " and self.parts.get(words[:-2])):
                 hit = at, key
             if not self._begins(words) or at + 1 == len(pieces) or not SOFT.match(text, pieces[at][1], pieces[at + 1][0]):
                 return hit
@@ -194,23 +292,23 @@ class Rules:
             words += " " + (more[m.end() :] if (m := MARK.match(more)) else more)
 
     def match(self, found: list[tuple[int, str, int, int]]) -> list[tuple[str, int, int]]:
-        """(licence, start, end) of the rules met; no sentence serves two rules."""
+        """(licence, start, end) of the rules met; no sentence serves two rules, and longer rules come first."""
         out, used = [], set()
-        for spdx, keys in self.rules:
-            for i, (no, key, start, _) in enumerate(found):
-                if key != keys[0] or i in used:
-                    continue
-                path, at, last = [i], i, no
-                for want in keys[1:]:
-                    near = takewhile(lambda j: found[j][0] - last <= self.gap, range(at + 1, len(found)))  # noqa: B023
-                    at = next((j for j in near if found[j][1] == want and j not in used), None)
-                    if at is None:
-                        break
-                    path.append(at)
-                    last = found[at][0]
-                if at is not None:
-                    used.update(path)
-                    out.append((spdx, start, found[path[-1]][3]))
+        tries = sorted((no, i, spdx, keys) for i, f in enumerate(found) for no, spdx, keys in self.by_first.get(f[1], ()))
+        for _no, i, spdx, keys in tries:
+            if i in used:
+                continue
+            path, at, last = [i], i, found[i][0]
+            for want in keys[1:]:
+                near = takewhile(lambda j: found[j][0] - last <= self.gap, range(at + 1, len(found)))  # noqa: B023
+                at = next((j for j in near if found[j][1] == want and j not in used), None)
+                if at is None:
+                    break
+                path.append(at)
+                last = found[at][0]
+            if at is not None:
+                used.update(path)
+                out.append((spdx, found[i][2], found[path[-1]][3]))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 

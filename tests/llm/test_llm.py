@@ -529,3 +529,47 @@ def test_pii_spans_do_not_depend_on_the_table(spark):
         assert {k: found[k] for k in alone} == alone
         left = pii.redact(d).where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count()
         assert left == 0
+
+
+#: Licence texts that systems keep, and what they and their appendices name.
+TEXT_FILES = {
+    "Apache-2.0": {"Apache-2.0"}, "Artistic": {"Artistic-1.0"}, "BSD": {"BSD-3-Clause"}, "CC0-1.0": {"CC0-1.0"}, "GFDL-1.3": {"GFDL-1.3-only"}, "GPL-2": {"GPL-2.0-only", "GPL-2.0-or-later"}, "GPL-3": {"GPL-3.0-only", "GPL-3.0-or-later"},
+    "LGPL-2.1": {"LGPL-2.1-only", "LGPL-2.1-or-later"}, "LGPL-3": {"LGPL-3.0-only"}, "MPL-1.1": {"MPL-1.1"}, "MPL-2.0": {"MPL-2.0"},
+}
+
+
+@pytest.mark.parametrize("name", TEXT_FILES)
+def test_license_whole_texts(name):
+    import os
+    import textwrap
+
+    path = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(path):
+        pytest.skip("no licence texts here")
+    with open(path, encoding="utf-8", errors="replace") as f:
+        text = f.read()
+    rules = license.Rules()
+    for width in (60, 72, 80):
+        paras = ["\n".join(textwrap.wrap(p, width)) for p in re.split(r"\n\s*\n", text)]
+        lines = "\n\n".join(paras).split("\n")
+        for mark in ("", " " * 41, "# ", "// ", " * ", "#" * 45 + " "):
+            assert {m[0] for m in rules.match(rules.sentences("\n".join(mark + x for x in lines)))} == TEXT_FILES[name], (width, mark)
+
+
+def test_license_notices_equal_brute_force():
+    import textwrap
+
+    rules, rng = license.Rules(), random.Random(4)
+    one = {}
+    for spdx, sentences in reversed(license.generated() + [(k, [license.SENTENCES[x] for x in v]) for k, v in license.RULES]):
+        if len(sentences) == 1 and len(license.SENTENCE.findall(sentences[0])) == 1:
+            one[license.normalise(sentences[0])] = spdx
+    first = {license.normalise(license.SENTENCES[v[0]]): k for k, v in license.RULES if len(v) == 1}
+    known = sorted(one)
+    assert len(known) > 2000
+    for _ in range(150):
+        paras = [rng.choice(known) if rng.random() < 0.6 else "some plain words, not " + " ".join(reversed(rng.choice(known).split())) for _ in range(8)]
+        want = [first.get(p, one[p]) for p in paras if p in one]
+        width, mark = rng.choice((30, 72, 1000)), rng.choice(("", "# ", "* ", "    "))
+        text = "\n\n".join("\n".join(mark + x for x in textwrap.wrap(p, width)) for p in paras)
+        assert [m[0] for m in rules.match(rules.sentences(text))] == want
