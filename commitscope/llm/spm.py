@@ -5,10 +5,11 @@ each distinct unit of a batch is encoded once. Units of equal length advance tog
 that end there are probed by polynomial hashes in the sorted piece keys, and a vectorised maximum over the candidates
 stores the backpointer.
 
-For unigram models the maximum is over summed scores. For BPE models the library's merges, not a sum, decide; there a
-step is allowed only if the two pieces are one another's neighbours in the merges' own result, so that the lattice has
-one complete path, the library's. Whether two pieces can stand side by side follows from their merge trees alone and is
-remembered per pair. Characters without a piece become byte pieces.
+The models read are BPE models with identity normalisation; any other file is refused. There the library's merges, not a
+sum of scores, decide, so a step is allowed only if the two pieces are one another's neighbours in the merges' own
+result, and the lattice has one complete path, the library's. Whether two pieces can stand side by side follows from
+their merge trees alone and is remembered per pair. Characters without a piece become byte pieces. Long units are first
+cut between characters that stand side by side in no piece, which no merge can join.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SPACE, CUT = "▁", "\x1f"
 #: Distinct units that a worker remembers, texts per step in bytes, positions of a chunk of units advanced together.
 MEMORY_UNITS, SLICE, CHUNK_CELLS = 150_000, 2 << 20, 1 << 20
 PAIR_SLOTS, SIEVE_BITS = 1 << 20, 20
+#: Units of more characters are cut first.
+LONG = 48
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,9 +72,9 @@ class Model:
 
     NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
-    def __init__(self, data: bytes, bpe: bool | None = None):
+    def __init__(self, data: bytes):
         self.pieces, self.scores, self.kinds = [], [], []
-        self.bpe, self.prefix = False, True
+        train, normal = {}, {}
         for no, value in _fields(data):
             if no == 1:
                 piece, score, kind = "", 0.0, 1
@@ -86,11 +89,17 @@ class Model:
                 self.scores.append(score)
                 self.kinds.append(kind)
             elif no == 2:
-                self.bpe = dict(_fields(value)).get(3, 1) == 2
+                train = dict(_fields(value))
             elif no == 3:
-                self.prefix = bool(dict(_fields(value)).get(3, 1))
-        if bpe is not None:
-            self.bpe = bpe
+                normal = dict(_fields(value))
+        self.prefix = bool(normal.get(3, 1))
+        # what a file may ask for beyond this reader would give other ids without an error
+        for odd, what in (
+            (train.get(3, 1) != 2, "a model that is not BPE"), (train.get(24, 0), "white space as a suffix"), (normal.get(2, b""), "a character map"), (normal.get(4, 1), "removal of extra white space"),
+            (not normal.get(5, 1), "white space that is not escaped"), (self.USER in self.kinds, "pieces that users define"),
+        ):
+            if odd:
+                raise ValueError(f"unsupported SentencePiece model: it has {what}")
         self.byte0 = next((i for i, k in enumerate(self.kinds) if k == self.BYTE), None)
         self.unk = next((i for i, k in enumerate(self.kinds) if k == self.UNK), 0)
         ids = [i for i, k in enumerate(self.kinds) if k in (self.NORMAL, self.USER)]
@@ -114,11 +123,10 @@ class Model:
         self.text_pool = None
         self.letters = set("".join(self.id_of))
         self.score = np.array(self.scores, np.float64)
-        self.unk_score = float(self.score[ids].min()) - 10.0 if ids else 0.0
+        self.beside = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         # remembered answers of neighbours(), one per slot; a later pair takes the slot over
         self.pair_keys, self.pair_ok = np.full(PAIR_SLOTS, -1), np.empty(PAIR_SLOTS, bool)
-        if self.bpe:
-            self._merge_trees()
+        self._merge_trees()
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -228,15 +236,12 @@ class Model:
                 gain = np.full(ids.shape, -np.inf)
                 k, at = np.nonzero(ids >= 0)
                 came = end - widths[k]
-                if not self.bpe:
-                    gain[k, at] = best[at, came] + self.score[ids[k, at]]
-                else:
-                    on = self.alone[ids[k, at]] & (best[at, came] == 0)
-                    k, at, came = k[on], at[on], came[on]
-                    # no piece comes before the first: -1 stands next to any
-                    gain[k, at] = np.where(self.neighbours(last[at, came], ids[k, at]), 0, -np.inf)
+                on = self.alone[ids[k, at]] & (best[at, came] == 0)
+                k, at, came = k[on], at[on], came[on]
+                # no piece comes before the first: -1 stands next to any
+                gain[k, at] = np.where(self.neighbours(last[at, came], ids[k, at]), 0, -np.inf)
                 bare = np.flatnonzero(ids[0] < 0)
-                gain[0, bare] = best[bare, end - 1] + (0 if self.bpe else self.unk_score)
+                gain[0, bare] = best[bare, end - 1]
                 pick = gain.argmax(axis=0)
                 rows = np.arange(n)
                 best[:, end], last[:, end], back[:, end] = gain[pick, rows], ids[pick, rows], pick + 1
@@ -245,8 +250,22 @@ class Model:
     def _bytes(self, char: str) -> list[int]:
         return [self.byte0 + b for b in char.encode("utf-8", "surrogatepass")] if self.byte0 is not None else [self.unk]
 
+    def _cut(self, unit: str) -> list[str]:
+        """A unit's parts that no merge can join."""
+        ends = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.beside]
+        return [unit[i:j] for i, j in zip([0, *ends], [*ends, len(unit)])]
+
     def encode_units(self, units: list[str]) -> list[np.ndarray]:
         """Ids of each unit; units of equal length advance together, in chunks of bounded size."""
+        long = [i for i, u in enumerate(units) if len(u) > LONG]
+        if not long:
+            return self._encode_units(units)
+        parts = {i: self._cut(units[i]) for i in long}
+        distinct = list(dict.fromkeys(p for i, u in enumerate(units) for p in parts.get(i, (u,))))
+        ids = dict(zip(distinct, self._encode_units(distinct)))
+        return [np.concatenate([ids[p] for p in parts[i]]) if i in parts else ids[u] for i, u in enumerate(units)]
+
+    def _encode_units(self, units: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(units)
         by: dict[int, list[int]] = {}
         for i, u in enumerate(units):

@@ -47,7 +47,7 @@ def node_of(url):
 def _rule(host, path, rules):
     """(rule, verdict) of the longest fitting rule; of equally long ones the first."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):  # the last that fits stays
+    for verdict, h, p in sorted(reversed(rules), key=lambda r: len(r[1]) + len(r[2])):  # the last that fits stays
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out

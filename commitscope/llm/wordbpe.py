@@ -3,11 +3,13 @@
 White space never enters a token of such a vocabulary, so a text's ids are its words' ids in order. Each distinct word
 is encoded once per worker and remembered (the memory is bounded; forgetting changes no result). Words of printable
 ASCII and Latin-1 letters, which normalisation only lower-cases, go straight to the library's BPE model piece by
-piece; every other word goes through the library's whole pipeline.
+piece; every other word goes through the library's whole pipeline. A file whose normaliser, pre-tokeniser or special
+tokens differ from those that these short cuts know (``KNOWN``) is encoded by the library text by text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -23,6 +25,19 @@ PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+#: The settings under which a text's ids are its words' ids.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -35,6 +50,9 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.vocab = self.tokenizer.get_vocab_size()
+        made = json.loads(self.tokenizer.to_str())
+        special = [t["content"] for t in made["added_tokens"]]
+        self.by_word = {k: made[k] for k in KNOWN} == KNOWN and made["model"]["type"] == "BPE" and all(re.fullmatch(r"<\|\w+\|>", t) for t in special)
         letters = _byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
         self.words: dict[str, bytes] = {"": b""}
@@ -60,6 +78,9 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; ids per text). Texts without nulls."""
+        if not self.by_word:
+            coded = [np.array([*e.ids, end_id], np.uint32) for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *coded]), np.array(list(map(len, coded)), np.int64)
         split = pc.ascii_split_whitespace(texts)
         flat = split.flatten().dictionary_encode()
         known = self.words

@@ -311,13 +311,93 @@ def test_sentencepiece_equals_the_library():
         model = spm.Model(f.read())
     rng = random.Random(1)
     letters = "abcde  théñ日本語\n\t.,!?0123Ελλ😀'\"-_/АБв "
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     texts = [t for t in TEXTS if t is not None] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += ["".join(rng.choice(kind) for _ in range(rng.randint(40, 3000))) for kind in (base64, "01", "日本語文章東京都", letters.replace(" ", ""), "=-_*", "aé", "a") for _ in range(6)]
     ids, n = model.encode_batch(texts)
     cut = np.split(ids, np.cumsum(n)[:-1])
     assert [c.tolist() for c in cut] == lib.encode(texts)
     assert [x.decode() for x in model.decode_batch(ids, n)] == texts
 
 
+def _message(fields):
+    out = b""
+    for no, v in fields:
+        raw = v if isinstance(v, bytes) else None
+        out += bytes([no << 3 | 2, len(raw)]) + raw if raw is not None else bytes([no << 3 & 127 | (128 if no > 15 else 0)] + ([no >> 4] if no > 15 else []) + [v])
+    return out
+
+
+def test_sentencepiece_refuses_other_models():
+    piece = _message([(1, b"a")])
+    plain = {3: 2}, {3: 1, 4: 0}
+    for train, normal in (({3: 1}, plain[1]), ({}, plain[1]), ({3: 2, 24: 1}, plain[1]), (plain[0], {4: 0, 2: b"map"}), (plain[0], {4: 1}), (plain[0], {}), (plain[0], {4: 0, 5: 0})):
+        with pytest.raises(ValueError, match="unsupported"):
+            spm.Model(_message([(1, piece), (2, _message(train.items())), (3, _message(normal.items()))]))
+    spm.Model(_message([(1, piece), (2, _message(plain[0].items())), (3, _message(plain[1].items()))]))
+
+
+def test_other_tokenizers_go_through_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["Hello  World\n", None, "", "é 1 x"]
+    got = sorted(map(tuple, tokenfile.summary(docs(spark, texts), path, end_id=7).collect()))
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 7]
+        assert got[i] == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def _link_graph(rng, n):
+    """Pages with chains, cycles and stars of canonical links and refreshes, and each page's target by hand."""
+    hosts = ["a.example.org", "q.net", "b.com", "x.com", "zcom"]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(['/es/', '/en/', '/fr/', '/de/', '/'])}{i}" for i in range(n)]
+    rows, edges = [], []
+    for i, u in enumerate(urls):
+        target, html = None, "<p>nothing</p>"
+        if rng.random() < 0.5:
+            target = urls[min(rng.randrange(n), rng.randrange(n))] if rng.random() < 0.9 else f"http://{rng.choice(hosts)}/de/gone{rng.randrange(5)}"
+            html = rng.choice([f'<link rel="canonical" href="{target}">', f"<link href='{target}?utm_source=z' rel=canonical>", f'<meta http-equiv="refresh" content="0; url={target}#top">'])
+            edges.append((u, target))
+        rows.append((i, u, html))
+    return rows, edges
+
+
+def test_url_filter_equals_brute_force_components(spark):
+    rng = random.Random(12)
+    rows, edges = _link_graph(rng, 400)
+    rows += [rows[3], (None, rows[5][1], rows[5][2])]
+
+    def own(url):
+        host, path = re.match(r"http://([^/]*)(.*)", url).groups()
+        fits = [(len(h) + len(p), v, h + p) for v, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    group = {u: u for e in edges for u in e} | {r[1]: r[1] for r in rows}
+    for a, b in edges:
+        x, y = group[a], group[b]
+        if x != y:
+            group = {u: x if g == y else g for u, g in group.items()}
+    says = {}
+    for u, g in group.items():
+        says.setdefault(g, set()).add(own(u)[0])
+    want = sorted((r[0] is None, r[0] or 0, own(r[1])[1], own(r[1])[0] or ("allow" if "allow" in says[group[r[1]]] else "block" if "block" in says[group[r[1]]] else "allow")) for r in rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = urlfilter.judge(df).collect()
+    assert sorted(((r["page_id"] is None, r["page_id"] or 0, r["rule"], r["verdict"]) for r in got), key=str) == sorted(want, key=str)
+    by_alias = [r for r in got if r["decided_by"] == "alias"]
+    assert {r["verdict"] for r in by_alias} == {"allow", "block"}
+    # of rules of one length the first counts
+    tie = [("block", "q.net", "/a"), ("allow", "q.net", "/a"), ("allow", ".net", "/ab")]
+    one = spark.createDataFrame([(1, "http://q.net/abc", None)], "page_id long, url string, html string")
+    assert urlfilter.judge(one, tie).first()["verdict"] == "block"
+    assert urlfilter.judge(one, tie[1::-1]).first()["verdict"] == "allow"
+
+
 def test_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
