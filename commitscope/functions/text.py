@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: The patterns of messages and hashes.
 PREFIX = r"^[a-z]+(\([^)]+\))?:\s+"
 REVERT_SUBJECT = r"^Revert\b"
 REVERT_BODY = r"(?i)This reverts commit ([0-9a-f]{7,64})"
@@ -17,16 +18,23 @@ SHA = r"^[0-9a-f]{4,40}$"
 
 def _folds() -> tuple[str, str]:
     """Latin letters with marks and their bare letters, from Unicode's own decompositions."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(unicodedata.normalize("NFD", chr(c))) > 1]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 MARKED, BARE = _folds()
+#: Marks that stand after their letter in decomposed texts.
+COMBINING = "[\u0300-\u036f]"
 
 
 def fold(col):
-    """Lower case without diacritics of Latin letters."""
-    return F.translate(F.lower(col), MARKED, BARE)
+    """Lower case without diacritics of Latin letters, composed or not."""
+    return F.translate(F.regexp_replace(F.lower(col), COMBINING, ""), MARKED, BARE)
+
+
+def folded(text: str) -> str:
+    """``fold`` for the words of a query."""
+    return re.sub(COMBINING, "", text.lower()).translate(str.maketrans(MARKED, BARE))
 
 
 def tokens(col):
@@ -66,22 +74,46 @@ def words(identifier):
 def case_variants(identifier):
     """camelCase, snake_case and kebab-case of an identifier, without those that are its lower-case form."""
     w = words(identifier)
-    camel = F.concat(F.get(w, F.lit(0)), F.array_join(F.transform(F.slice(w, 2, 1000), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 10_000))), ""))
+    rest = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x))))
+    camel = F.concat(F.get(w, F.lit(0)), F.array_join(rest, ""))
     return F.filter(F.array(camel, F.array_join(w, "_"), F.array_join(w, "-")), lambda v: (v != F.lower(identifier)) & (v != ""))
 
 
-def code_tokens(text, cap: int = 4096):
-    """Case variants and path parts of the identifiers of a text; as many, in order, as fit into ``cap`` characters."""
+def code_items(text):
+    """Of each identifier of a text, of three letters or more: its case variants, then its parts of that length."""
     found = F.filter(F.regexp_extract_all(text, F.lit("([a-zA-Z][a-zA-Z0-9_-]*)")), lambda i: F.length(i) >= 3)
-    parts = lambda i: F.filter(F.split(i, r"[/\\._-]"), lambda p: (F.length(p) >= 3) & (p != i))
-    every = F.flatten(F.transform(found, lambda i: F.concat(case_variants(i), parts(i))))
-    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
+    return F.flatten(F.transform(found, lambda i: F.concat(case_variants(i), F.filter(F.split(i, "[_-]"), lambda p: F.length(p) >= 3))))
+
+
+def expanded(subject, body, dirs, cap: int = 4096):
+    """Subject, body and directories, then the code items of each in turn, as long as the whole stays below ``cap`` bytes.
+
+    Items that do not fit are left out and shorter ones after them may still fit; a text that is too long by itself
+    gets none and is not cut.
+    """
+    body = F.coalesce(body, F.lit(""))
+    whole = F.concat(subject, F.when(body != "", F.concat(F.lit("\n"), body)).otherwise(""), F.array_join(F.transform(dirs, lambda d: F.concat(F.lit(" "), d)), ""))
+    items = F.concat(code_items(subject), code_items(body), F.flatten(F.transform(dirs, code_items)))
+    start = F.struct(F.octet_length(whole).alias("n"), F.array().cast("array<string>").alias("out"))
 
     def add(acc, x):
-        n = acc["n"] + F.length(x) + 1
-        return F.when(n <= cap, F.struct(n.alias("n"), F.concat_ws(" ", F.nullif(acc["out"], F.lit("")), x).alias("out"))).otherwise(acc)
+        n = acc["n"] + F.length(x) + 1  # items are ASCII
+        return F.when(n < cap, F.struct(n.alias("n"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
+
+    more = F.aggregate(items, start, add, lambda acc: F.array_join(acc["out"], " "))
+    return F.when(F.octet_length(whole) >= cap, whole).otherwise(F.concat_ws(" ", whole, F.nullif(more, F.lit(""))))
+
+
+def cut_bytes(text, cap: int, mark: str = "…"):
+    """A text of more than ``cap`` bytes cut to whole characters within them, and marked."""
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
+
+    def add(acc, c):
+        n = acc["n"] + F.octet_length(c)
+        return F.struct(n.alias("n"), F.when(n <= cap, F.concat(acc["out"], c)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(every, start, add, lambda acc: acc["out"])
+    kept = F.aggregate(F.split(F.substring(text, 1, cap), ""), start, add, lambda acc: acc["out"])
+    return F.when(F.octet_length(text) > cap, F.concat(kept, F.lit(mark))).otherwise(text)
 
 
 @F.pandas_udf(StringType())
@@ -95,8 +127,11 @@ def normal_name(name):
     return F.lower(F.trim(F.regexp_replace(compatible_form(name), r"\s+", " ")))
 
 
-def is_bot(name, email):
-    return F.lower(email).endswith("[bot]@users.noreply.github.com") | F.trim(name).endswith("[bot]")
+def is_bot(name, email, listed=()):
+    """A bot by the form of its e-mail or name, or by being listed (names or e-mails)."""
+    by_form = F.lower(email).endswith("[bot]@users.noreply.github.com") | F.trim(name).endswith("[bot]")
+    known = [x.lower() for x in listed]
+    return by_form | F.lower(F.trim(name)).isin(known) | F.lower(email).isin(known) if known else by_form
 
 
 def is_noreply(email):
@@ -183,3 +218,19 @@ def clean_query(text: str) -> str:
     if len(q) >= 2 and q[0] == q[-1] == '"':
         return '"' + q[1:-1].replace('"', '""') + '"'
     return q.replace('"', '""')
+
+
+def hash_name(value: str) -> str:
+    """A commit hash, whole or abbreviated, in lower case."""
+    from ..errors import EngineError
+
+    if not re.fullmatch(r"[0-9a-fA-F]{1,64}", value):
+        raise EngineError("invalid_ref", f"not a hash: {value}")
+    return value.lower()
+
+
+def digest_path(path: str) -> str:
+    """A short stable name for a path, for folders outside of it."""
+    import hashlib
+
+    return hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()

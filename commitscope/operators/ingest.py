@@ -30,9 +30,9 @@ def totals(commits: DataFrame, files: DataFrame) -> DataFrame:
     return commits.select("sha").join(per, "sha", "left").select("sha", zero("insertions"), zero("deletions"), zero("file_count"), F.array_join(dirs, ",").alias("dirs_touched"), F.size(dirs).cast("long").alias("dir_count"))
 
 
-def category_counters(files: DataFrame, ecosystems=()) -> DataFrame:
+def category_counters(files: DataFrame, ecosystems=(), extra=None) -> DataFrame:
     """Each distinct path is classified once, then joined back to its changes."""
-    kinds = files.select("path").distinct().withColumn("category", classify(F.col("path"), ecosystems))
+    kinds = files.select("path").distinct().withColumn("category", classify(F.col("path"), ecosystems, extra))
     return files.select("sha", "path").join(kinds, "path").groupBy("sha").agg(*counters(files))
 
 
@@ -40,12 +40,11 @@ def search_documents(commits: DataFrame, files: DataFrame, path_cap: int = 2048)
     """``sha, subject, body, expanded, paths`` as the full-text index sees them; one builder for all ways of indexing."""
     per = files.groupBy("sha").agg(F.array_sort(F.collect_list("path")).alias("p"), F.sort_array(F.collect_set(T.top_dir(F.col("path")))).alias("dirs"))
     joined = commits.select("sha", "subject", "body").join(per, "sha", "left")
-    paths, dirs = F.array_join("p", " "), F.array_join("dirs", " ")
-    whole = F.concat_ws("\n", "subject", F.nullif("body", F.lit("")))
+    dirs = F.coalesce("dirs", F.array().cast("array<string>"))
+    joined = joined.select("sha", F.coalesce("subject", F.lit("")).alias("subject"), F.coalesce("body", F.lit("")).alias("body"), dirs.alias("dirs"), F.coalesce(F.array_join("p", " "), F.lit("")).alias("paths"))
     return joined.select(
-        "sha", T.strip_prefix(F.col("subject")).alias("subject"), "body",
-        F.concat_ws(" ", whole, dirs, T.code_tokens(F.concat_ws(" ", whole, dirs))).alias("expanded"),
-        F.coalesce(F.when(F.length(paths) > path_cap, F.concat(F.substring(paths, 1, path_cap), F.lit("…"))).otherwise(paths), F.lit("")).alias("paths"),
+        "sha", T.strip_prefix(F.col("subject")).alias("subject"), "body", T.expanded(F.col("subject"), F.col("body"), F.col("dirs")).alias("expanded"),
+        T.cut_bytes(F.col("paths"), path_cap).alias("paths"),
     )
 
 
@@ -57,7 +56,10 @@ def included_refs(refs: DataFrame) -> DataFrame:
 
 
 def tags(refs: DataFrame, commits: DataFrame) -> DataFrame:
-    return refs.where(F.col("name").startswith("refs/tags/")).join(commits.select("sha", "committed_at"), "sha").select("name", "sha", F.col("committed_at").alias("tagged_at"))
+    """Tags of indexed commits, tagged at their commit's time; whether they are annotated and their message where the source says so."""
+    extra = [F.col(c) if c in refs.columns else F.lit(v).alias(c) for c, v in (("annotated", False), ("message", ""))]
+    own = refs.where(F.col("name").startswith("refs/tags/")).select("name", "sha", *extra)
+    return own.join(commits.select("sha", "committed_at"), "sha").select("name", "sha", F.col("committed_at").alias("tagged_at"), "annotated", "message")
 
 
 def reverts(commits: DataFrame, window: int = REVERT_WINDOW) -> DataFrame:
@@ -72,9 +74,15 @@ def reverts(commits: DataFrame, window: int = REVERT_WINDOW) -> DataFrame:
     return hit.groupBy("sha").agg(F.max_by("by", F.struct("at", "by")).alias("reverted_by"))
 
 
+def one_each(rows: DataFrame, key: str = "sha") -> DataFrame:
+    """One row a key: of several the smallest, column by column in order."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*").select(*rows.columns) if rest else rows.distinct()
+
+
 def merge_commits(old: DataFrame, new: DataFrame) -> DataFrame:
     """Keyed upsert: new rows win, but columns in ``KEPT`` keep an old row's values; new rows are deduplicated first."""
-    fresh = new.dropDuplicates(["sha"])
+    fresh = one_each(new)
     o, n = old.alias("o"), fresh.alias("n")
     cols = [(F.when(F.col("o.sha").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")) if c in KEPT else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))).alias(c) for c in old.columns]
     return o.join(n, F.col("o.sha") == F.col("n.sha"), "full").select(*cols)
@@ -89,19 +97,6 @@ def unreachable(commits: DataFrame, refs: DataFrame) -> DataFrame:
     return commits.join(refs.select("sha"), "sha", "left_anti")
 
 
-def ancestors(commits: DataFrame, sha, depth: int | None = None) -> DataFrame:
-    """Commits reachable from ``sha`` (itself included), level by level; ``depth`` bounds the levels.
-
-    A long linear history has as many levels as commits, so whole-history membership belongs to ingestion
-    (``commit_refs``); this walk serves bounded ranges and explanations.
-    """
-    spark = commits.sparkSession
-    commits.select("sha", F.explode("parents").alias("parent")).createOrReplaceTempView("_edges")
-    spark.createDataFrame([(sha,)], "sha string").createOrReplaceTempView("_start")
-    stop = f" where d < {int(depth)}" if depth is not None else ""
-    return spark.sql(f"with recursive r(sha, d) as (select sha, 0 from _start union all select e.parent, d + 1 from r join _edges e on e.sha = r.sha{stop}) select sha, min(d) as depth from r group by sha")
-
-
 def first_parent_line(commits: DataFrame) -> DataFrame:
     """``(sha, generation)``: distance to the root along first parents, by pointer doubling in log2(n) self joins."""
     from .graph import checkpointed
@@ -118,11 +113,12 @@ def first_parent_line(commits: DataFrame) -> DataFrame:
 MOST_LINKS = 1_000_000
 
 
-def chains(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def chains(commits: DataFrame, cuts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """History cut into linear chains: ``(sha, top, pos)`` with the distance to the chain's oldest commit, and links (a, b) between tops.
 
     A commit continues its parent's chain if it has no other parent and the parent no other child. The tops are found
-    by pointer doubling, so a long linear history takes log2(n) joins. Parents outside the table are ignored.
+    by pointer doubling, so a long linear history takes log2(n) joins. Parents outside the table are ignored. No chain
+    goes on beyond a commit of ``cuts`` (sha), so what starts at one of these reaches whole chains only.
     """
     from .graph import checkpointed
 
@@ -130,6 +126,8 @@ def chains(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     ups = edges.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent")).where("n = 1")
     downs = edges.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
     inner = ups.join(downs.select("parent"), "parent").select("sha", "parent")
+    if cuts is not None:
+        inner = inner.join(cuts.select(F.col("sha").alias("parent")).distinct(), "parent", "left_anti")
     line = checkpointed(commits.select("sha").join(inner, "sha", "left").select("sha", F.coalesce("parent", "sha").alias("top"), F.col("parent").isNotNull().cast("long").alias("pos")))
     moved = True
     while moved:
@@ -178,3 +176,58 @@ def range_between(commits: DataFrame, a: str, b: str) -> DataFrame:
     """``(sha)`` of the commits that ``b`` reaches and ``a`` does not."""
     line, links = chains(commits)
     return reachable(line, links, b).join(reachable(line, links, a), "sha", "left_anti")
+
+
+def membership(commits: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which references reach which commits, as ``(sha, ref_set)`` and the sets' members ``(ref_set, name, ref_type)``.
+
+    Commits with the same references share a set, so the first table has one row a commit and the second is small; their
+    join is the many-to-many table (see ``commit_refs``). Commits that no reference reaches have no row. The walk runs
+    over chains: on the driver, with the references as bits of one number a chain, as long as there are at most
+    ``MOST_LINKS`` links and references; beyond that level by level.
+    """
+    from .graph import checkpointed
+
+    spark = commits.sparkSession
+    tips = checkpointed(refs.select("name", "sha", "ref_type").distinct().join(commits.select("sha"), "sha", "left_semi"))
+    line, links = chains(commits, tips)
+    starts = checkpointed(tips.join(line.select("sha", "top"), "sha").select("top", "name", "ref_type"))
+    if links.count() + starts.count() <= MOST_LINKS:
+        up: dict[str, list[str]] = {}
+        waits: dict[str, int] = {}
+        for r in links.collect():  # size checked
+            up.setdefault(r["a"], []).append(r["b"])
+            waits[r["b"]] = waits.get(r["b"], 0) + 1
+        found = sorted((r["name"], r["ref_type"], r["top"]) for r in starts.collect())  # size checked
+        bits: dict[str, int] = {}
+        for i, (_name, _type, top) in enumerate(found):
+            bits[top] = bits.get(top, 0) | 1 << i
+        ready = [t for t in {*up, *bits} if not waits.get(t)]
+        while ready:  # children before parents
+            top = ready.pop()
+            own = bits.get(top, 0)
+            for b in up.get(top, ()):
+                if own:
+                    bits[b] = bits.get(b, 0) | own
+                waits[b] -= 1
+                if not waits[b]:
+                    ready.append(b)
+        number = {own: i for i, own in enumerate(sorted(set(bits.values())))}
+        of_top = spark.createDataFrame([(top, number[own]) for top, own in sorted(bits.items())], "top string, ref_set long")
+        sets = spark.createDataFrame([(i, *found[j][:2]) for own, i in number.items() for j in range(own.bit_length()) if own >> j & 1], "ref_set long, name string, ref_type string")
+    else:
+        every, front = starts, starts
+        while not front.isEmpty():
+            ahead = front.join(links, front["top"] == links["a"]).select(F.col("b").alias("top"), "name", "ref_type").distinct()
+            front = checkpointed(ahead.join(every, ["top", "name", "ref_type"], "left_anti"))
+            every = checkpointed(every.union(front))
+        groups = every.groupBy("top").agg(F.sort_array(F.collect_set(F.struct("name", "ref_type"))).alias("r")).withColumn("ref_set", F.xxhash64("r"))
+        of_top = checkpointed(groups.select("top", "ref_set", "r"))
+        sets = of_top.dropDuplicates(["ref_set"]).select("ref_set", F.explode("r").alias("r")).select("ref_set", "r.name", "r.ref_type")
+        of_top = of_top.select("top", "ref_set")
+    return line.join(of_top, "top").select("sha", "ref_set"), sets
+
+
+def commit_refs(member: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(sha, name, ref_type)``: every reference of every commit; a filter on the name reaches the small table of sets."""
+    return member.join(sets, "ref_set").select("sha", "name", "ref_type")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..functions import text as T
 from .graph import checkpointed
+from .identity import authors_of
 
 WEIGHTS = {"subject": 4.0, "body": 1.0, "expanded": 1.5, "paths": 2.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -22,12 +23,32 @@ MOST = 10_000
 
 @dataclass
 class Filters:
+    """Conditions on commits; ``identity``, ``story``, ``risk_label`` and the times of authorship are the older, exact ones."""
+
     path: str | None = None
     author: str | None = None
     since: int | None = None
     until: int | None = None
     branch: str | None = None
     author_contains: str | None = None
+    identity: str | None = None
+    story: str | None = None
+    risk_label: str | None = None
+    authored_since: int | None = None
+    authored_until: int | None = None
+
+
+@dataclass
+class Index:
+    """What filters look at beside the commits: ``refs`` (sha, name) by membership, ``aliases`` and ``identities``, ``stories`` (sha, story), ``risk`` (sha, risk_label)."""
+
+    commits: DataFrame
+    files: DataFrame
+    refs: DataFrame
+    aliases: DataFrame | None = None
+    identities: DataFrame | None = None
+    stories: DataFrame | None = None
+    risk: DataFrame | None = None
 
 
 @dataclass
@@ -48,11 +69,10 @@ class Query:
 
 def parse(text: str) -> list[Term]:
     """Terms that must all match: words, "phrases", prefix*, column:term; punctuation only separates words."""
+    T.clean_query(text)  # an error where nothing is asked
     out = []
     for column, phrase, bare in re.findall(r'(?:(subject|body|expanded|paths):)?(?:"([^"]*)"|([^\s"]+))', text.replace("\0", "").lower()):
-        source = phrase or bare
-        folded = source.translate(str.maketrans(T.MARKED, T.BARE))
-        words = re.findall(r"[^\W_]+", folded)
+        words = re.findall(r"[^\W_]+", T.folded(phrase or bare))
         if words:
             out.append(Term(words, bare.endswith("*"), column or None))
     if not out:
@@ -124,13 +144,72 @@ def score(tokens: DataFrame, key: str, terms: list[Term], weights: dict[str, flo
     size = sum((F.size(c) for c in weights), F.lit(0)).cast("long")
     rows = checkpointed(tokens.select(key, size.alias("d"), *[f.alias(f"f{i}") for i, f in enumerate(freq)]))
     n, avg, *df = rows.agg(F.count(F.lit(1)), F.avg("d"), *[F.count_if(F.col(f"f{i}") > 0) for i in range(len(terms))]).first()
+    return _bm25_of(rows, key, n, avg or 0.0, df)
+
+
+def inverted(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``(term, key, size, hits)``: one row per term and document, hits = (col, positions) of its columns, size = the document's tokens in all columns.
+
+    Sorted by term within ranges of terms when written (see ``write_postings``), so a query reads the row groups of its
+    terms only. Grouping is within a document, on both sides of no shuffle that a hot term could fill.
+    """
+    toks = [T.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns]
+    rows = docs.select(key, *[t.alias(c) for t, c in zip(toks, columns)])
+    each = F.concat(*[F.transform(c, _entry(c)) for c in columns])
+    one = rows.select(key, sum((F.size(c) for c in columns), F.lit(0)).alias("size"), F.explode(each).alias("t"))
+    per = one.groupBy(key, "size", "t.term", "t.col").agg(F.sort_array(F.collect_list("t.pos")).alias("positions"))
+    return per.groupBy("term", key, "size").agg(F.sort_array(F.collect_list(F.struct("col", "positions"))).alias("hits"))
+
+
+def corpus(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: number of documents and their tokens."""
+    size = sum((F.size(T.tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0)).cast("long")
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(size), F.lit(0)).alias("tokens"))
+
+
+def write_postings(post: DataFrame, path: str, key: str) -> None:
+    """The postings in ranges of (term, key), sorted: a hot term spans several files, and statistics of files and row groups skip the others."""
+    post.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").option("parquet.block.size", 8 << 20).option("parquet.page.size", 128 << 10).parquet(path)
+
+
+def looked_up(post: DataFrame, key: str, terms: list[Term], weights: dict[str, float], documents: int, tokens: int) -> DataFrame:
+    """``(key, bm25)`` over stored postings: reads the query's terms only; document frequencies are counted before any filter."""
+    words = sorted({w for t in terms for w in (t.words[:-1] if t.prefix else t.words)})
+    wanted = F.col("term").isin(words) if words else F.lit(False)
+    for t in terms:
+        if t.prefix:
+            wanted = wanted | F.col("term").startswith(t.words[-1])
+    rows = post.where(wanted).groupBy(key).agg(F.first("size").alias("d"), F.flatten(F.collect_list(F.transform("hits", lambda h: F.struct(h["col"].alias("col"), F.col("term").alias("term"), h["positions"].alias("positions"))))).alias("h"))
+
+    def places(i, term, column):
+        # positions of a phrase's i-th word in a column
+        last = term.prefix and i == len(term.words) - 1
+        hit = lambda x: (x["col"] == column) & (x["term"].startswith(term.words[i]) if last else x["term"] == term.words[i])
+        return F.flatten(F.transform(F.filter("h", hit), lambda x: x["positions"]))
+
+    freq = []
+    for term in terms:
+        total = F.lit(0.0)
+        for column in [c for c in weights if term.column in (None, c)]:
+            at = places(0, term, column)
+            for i in range(1, len(term.words)):
+                more = places(i, term, column)
+                at = F.array_intersect(F.transform(at, lambda p: p + 1), more)
+            total = total + F.lit(float(weights[column])) * F.size(at)
+        freq.append(total)
+    rows = rows.select(key, "d", *[f.alias(f"f{i}") for i, f in enumerate(freq)])
+    df = rows.agg(*[F.count_if(F.col(f"f{i}") > 0) for i in range(len(terms))]).first()
+    return _bm25_of(rows, key, documents, tokens / documents if documents else 0.0, list(df))
+
+
+def _bm25_of(rows: DataFrame, key: str, n: int, average: float, df: list[int]) -> DataFrame:
+    """``(key, bm25)`` of the rows (key, d, f0, f1, ...) in which every term occurs."""
     total = F.lit(0.0)
     for i, m in enumerate(df):
         raw = math.log((n - m + 0.5) / (m + 0.5))
         f = F.col(f"f{i}")
-        total = total + F.lit(raw if raw > 0 else LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.lit(avg or 1.0)))
-    every = " and ".join(f"f{i} > 0" for i in range(len(terms)))
-    return rows.where(every).select(key, (-total).alias("bm25"))
+        total = total + F.lit(raw if raw > 0 else LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.lit(average or 1.0)))
+    return rows.where(" and ".join(f"f{i} > 0" for i in range(len(df)))).select(key, (-total).alias("bm25"))
 
 
 def lexical_factor(bm25_col, monotone: bool = False):
@@ -139,47 +218,92 @@ def lexical_factor(bm25_col, monotone: bool = False):
     return a / (1 + a) if monotone else 1 / (1 + a)
 
 
-def filtered(commits: DataFrame, files: DataFrame, refs: DataFrame, f: Filters) -> DataFrame:
-    """Commits that pass the filters, before any scoring; each is a semi join or a pushed-down predicate."""
+def filtered(index: Index, f: Filters) -> DataFrame:
+    """Commits that pass the filters, before any scoring; each is a semi join or a pushed-down predicate.
+
+    An author is an e-mail; it stands for the identities that have it as canonical or alias e-mail, so for commits
+    under all of their names. A branch keeps every commit that it reaches.
+    """
+    commits = index.commits
     if f.since is not None:
         commits = commits.where(F.col("committed_at") >= f.since)
     if f.until is not None:
         commits = commits.where(F.col("committed_at") <= f.until)
+    if f.authored_since is not None:
+        commits = commits.where(F.col("authored_at") >= f.authored_since)
+    if f.authored_until is not None:
+        commits = commits.where(F.col("authored_at") <= f.authored_until)
+    own = [F.col("name").alias("author_name"), F.col("email").alias("author_email")]
     if f.author:
-        commits = commits.where(F.lower("author_email") == f.author.lower())
+        commits = commits.join(authors_of(index.aliases, index.identities, f.author).select(*own), ["author_name", "author_email"], "left_semi")
+    if f.identity:
+        commits = commits.join(index.aliases.where(F.col("identity") == f.identity).select(*own), ["author_name", "author_email"], "left_semi")
     if f.author_contains:
         part = F.lit(f.author_contains.lower())
         commits = commits.where(F.contains(F.lower("author_email"), part) | F.contains(F.lower("author_name"), part))
     if f.path:
-        commits = commits.join(files.where(F.lower("path").startswith(f.path.lower())).select("sha"), "sha", "left_semi")
+        commits = commits.join(index.files.where(F.lower("path").startswith(f.path.lower())).select("sha"), "sha", "left_semi")
     if f.branch:
-        commits = commits.join(refs.where(F.col("name") == T.branch_ref(f.branch)).select("sha"), "sha", "left_semi")
+        commits = commits.join(index.refs.where(F.col("name") == T.branch_ref(f.branch)).select("sha"), "sha", "left_semi")
+    if f.story:
+        commits = commits.join(index.stories.where(F.col("story") == f.story).select("sha"), "sha", "left_semi")
+    if f.risk_label:
+        commits = commits.join(index.risk.where(F.col("risk_label") == f.risk_label).select("sha"), "sha", "left_semi")
     return commits
 
 
-def search(docs: DataFrame, commits: DataFrame, files: DataFrame, refs: DataFrame, q: Query, now: int, monotone: bool = False, half_life: float = 180.0) -> DataFrame:
+def search(docs: DataFrame, index: Index, q: Query, now: int, monotone: bool = False, half_life: float = 180.0) -> DataFrame:
     """Hits with all factors, best first, ``total_available`` before the limit on every row."""
-    return ranked(bm25(docs, "sha", parse(q.text), WEIGHTS), commits, files, refs, q, now, monotone, half_life)
+    return ranked(bm25(docs, "sha", parse(q.text), WEIGHTS), index, q, now, monotone, half_life)
 
 
-def ranked(scored: DataFrame, commits: DataFrame, files: DataFrame, refs: DataFrame, q: Query, now: int, monotone: bool = False, half_life: float = 180.0) -> DataFrame:
+def ranked(scored: DataFrame, index: Index, q: Query, now: int, monotone: bool = False, half_life: float = 180.0) -> DataFrame:
     """The blend of scored commits with path relevance and recency; see ``search``."""
     if not 0 < q.limit <= MOST:
         raise EngineError("limit_too_large", f"limit must be 1 to {MOST}")
-    hits = filtered(commits, files, refs, q.filters).join(scored, "sha")
+    hits = _factors(filtered(index, q.filters).join(scored, "sha"), scored, index, q, now, monotone, half_life)
+    hits = hits.withColumn("score", blend(BLEND, lexical="lexical", path="path_relevance", recency="recency"))
+    return _best(hits, q)
+
+
+def ranked_hybrid(scored: DataFrame, near: DataFrame, index: Index, q: Query, now: int, monotone: bool = False, half_life: float = 180.0) -> DataFrame:
+    """As ``ranked``, over the commits of either side: scored ones and ``near`` (sha, semantic); a side that lacks a commit counts 0."""
+    if not 0 < q.limit <= MOST:
+        raise EngineError("limit_too_large", f"limit must be 1 to {MOST}")
+    both = scored.join(near, "sha", "full")
+    hits = filtered(index, q.filters).join(both, "sha")
+    hits = _factors(hits, both, index, q, now, monotone, half_life, F.coalesce("semantic", F.lit(0.0)).alias("semantic"))
+    return _best(hits.withColumn("score", blend(HYBRID, semantic="semantic", lexical="lexical", path="path_relevance", recency="recency")), q)
+
+
+def _factors(hits: DataFrame, found: DataFrame, index: Index, q: Query, now: int, monotone: bool, half_life: float, *more) -> DataFrame:
     if q.filters.path:
-        dirs = files.join(scored.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.collect_set(T.full_dir(F.col("path"))).alias("dirs"))
+        dirs = index.files.join(found.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.collect_set(T.full_dir(F.col("path"))).alias("dirs"))
         hits = hits.join(dirs, "sha", "left")
     else:
         hits = hits.withColumn("dirs", F.lit(None).cast("array<string>"))
-    lexical, path = lexical_factor(F.col("bm25"), monotone), T.path_relevance(F.coalesce("dirs", F.array().cast("array<string>")), q.filters.path)
+    lexical, path = F.coalesce(lexical_factor(F.col("bm25"), monotone), F.lit(0.0)), T.path_relevance(F.coalesce("dirs", F.array().cast("array<string>")), q.filters.path)
     recent = T.recency(F.col("committed_at"), now, half_life)
-    hits = hits.select("sha", "subject", F.col("author_name").alias("author"), "committed_at", lexical.alias("lexical"), path.alias("path_relevance"), recent.alias("recency"))
-    blend = BLEND["lexical"] * F.col("lexical") + BLEND["path"] * F.col("path_relevance") + BLEND["recency"] * F.col("recency")
-    hits = checkpointed(hits.withColumn("score", blend))
+    return hits.select("sha", "subject", F.col("author_name").alias("author"), "committed_at", lexical.alias("lexical"), path.alias("path_relevance"), recent.alias("recency"), *more)
+
+
+def _best(hits: DataFrame, q: Query) -> DataFrame:
+    # the number of hits needs neither the factors nor a sort: Spark leaves both out of this count
     return hits.orderBy(F.desc("score"), F.desc("committed_at"), "sha").limit(q.limit).withColumn("total_available", F.lit(hits.count()).cast("long"))
 
 
+def blend(weights: dict[str, float], **columns: str):
+    """Weighted sum of factor columns."""
+    return sum((F.lit(w) * F.col(columns[k]) for k, w in weights.items()), F.lit(0.0))
+
+
+def hybrid(lexical: DataFrame, semantic: DataFrame, key: str) -> DataFrame:
+    """Rows of either side with the ``score`` that is the blend of ``lexical`` (key, lexical, path_relevance, recency) and ``semantic`` (key, semantic); what a side lacks is 0."""
+    both = lexical.join(semantic, key, "full")
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("semantic", "lexical", "path_relevance", "recency")]
+    return both.select(key, *zero).withColumn("score", blend(HYBRID, semantic="semantic", lexical="lexical", path="path_relevance", recency="recency"))
+
+
 def sha_lookup(commits: DataFrame, prefix: str) -> DataFrame:
     """The one commit whose hash starts with ``prefix``; none or several are errors with the true count."""
     prefix = prefix.lower()

@@ -13,8 +13,10 @@ from ..operators import identity as I
 from ..operators import ingest as G
 from ..operators import metrics as M
 from ..operators import search as S
+from ..operators import stories as R
 from ..operators.classify import COUNTERS as CATEGORY_COUNTERS
 from ..operators.classify import classify, patterns
+from ..sources import gitlog as L
 from ..streaming import incremental as X
 from .history import SQL as H
 from .history import history
@@ -121,7 +123,23 @@ def code_token_words(spark, d):
     return p.select("p", F.array_join(T.words(F.col("p")), " ").alias("words"))
 
 
-@query()
+def _items_sql(text):
+    words = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(i, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[_-]'), lambda w: lower(w)), lambda w: w <> '')"
+    camel = f"{words}[1] || array_to_string(list_transform({words}[2:], lambda w: upper(w[1]) || w[2:]), '')"
+    variants = f"list_filter([{camel}, array_to_string({words}, '_'), array_to_string({words}, '-')], lambda v: v <> lower(i) and v <> '')"
+    parts = "list_filter(regexp_split_to_array(i, '[_-]'), lambda p: len(p) >= 3)"
+    return f"flatten(list_transform(list_filter(regexp_extract_all({text}, '[a-zA-Z][a-zA-Z0-9_-]*'), lambda i: len(i) >= 3), lambda i: list_concat({variants}, {parts})))"
+
+
+#: The commits' search documents. None of these texts comes near the bounds of 4096 and 2048 bytes, which unit tests cover.
+DOCS = rf"""x_per as (select sha, list_sort(list(distinct {TOP})) as dirs, array_to_string(list_sort(list(path)), ' ') as paths from files group by sha),
+x_in as (select sha, subject, body, coalesce(dirs, []) as dirs, coalesce(paths, '') as paths from commits left join x_per using (sha)),
+x_it as (select *, list_concat({_items_sql('subject')}, {_items_sql('body')}, flatten(list_transform(dirs, lambda d: {_items_sql('d')}))) as items from x_in),
+x_search as (select sha, regexp_replace(subject, '^[a-z]+(\([^)]+\))?:\s+', '') as subject, body,
+  subject || case when body <> '' then chr(10) || body else '' end || array_to_string(list_transform(dirs, lambda d: ' ' || d), '') || case when len(items) > 0 then ' ' || array_to_string(items, ' ') else '' end as expanded, paths from x_it)"""
+
+
+@query(DOCS + " select * from x_search")
 def search_documents(spark, d):
     h = history(spark, d)
     return G.search_documents(h.commits, h.files)
@@ -149,9 +167,12 @@ def refs_included(spark, d):
     return G.included_refs(history(spark, d).refs).groupBy("name", "ref_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _index(h):
+    return S.Index(h.commits, h.files, h.refs)
+
+
 def _filtered(spark, d, f):
-    h = history(spark, d)
-    return S.filtered(h.commits, h.files, h.refs, f).select("sha")
+    return S.filtered(_index(history(spark, d)), f).select("sha")
 
 
 @query("select sha from commits where sha in (select sha from refs where name = 'refs/heads/f')")
@@ -159,9 +180,38 @@ def branch_filter_semi(spark, d):
     return _filtered(spark, d, S.Filters(branch="f"))
 
 
-@query("select sha from commits where lower(author_email) = 'dev7@nation_17.example'")
+def _renamed(h):
+    """Names that a few e-mails share, each for one year of its own, so that gaps between them last days or years.
+
+    Four neighbours of a nation (``dev0`` to ``dev3`` and so on) sign as their team in the year 1992 + 3 n mod 7 of
+    their number n, and with their own names in all others.
+    """
+    n = F.regexp_extract("author_email", r"^dev(\d+)@", 1).cast("int")
+    team = F.concat(F.lit("Team "), F.floor(n / 4).cast("string"), F.lit(" "), F.regexp_extract("author_email", r"@(.*)$", 1))
+    own = F.year(F.timestamp_seconds("committed_at")) == 1992 + n * 3 % 7
+    return h.commits.withColumn("author_name", F.when(own, team).otherwise(F.col("author_name")))
+
+
+#: The same names, the links by name within a year of the last sight, and the components of these links.
+MERGED = r"""x_n as (select sha, lower(author_email) as email, author_name, committed_at as t, cast(regexp_extract(author_email, '^dev(\d+)@', 1) as integer) as n, regexp_extract(author_email, '@(.*)$', 1) as domain from commits),
+x_named as (select sha, email, t, lower(trim(regexp_replace(case when year(make_timestamp(t * 1000000)) = 1992 + n * 3 % 7 then 'Team ' || n // 4 || ' ' || domain else author_name end, '\s+', ' ', 'g'))) as name from x_n),
+x_seen as (select distinct name, email, t from x_named),
+x_first as (select name, email, min(t) as t from x_seen group by 1, 2),
+x_lag as (select name, email, t, lag(t) over w as last_at, lag(email) over w as last_email from x_seen window w as (partition by name order by t, email)),
+x_link as (select email as a, last_email as b from x_lag semi join x_first using (name, email, t) where t - last_at <= 365 * 86400 and last_email <> email),
+x_both as (select a, b from x_link union select b, a from x_link),
+x_reach(email, other) as (select distinct email, email from x_seen union select r.email, b from x_reach r join x_both on a = r.other),
+x_identity as (select email, min(other) as identity from x_reach group by email)"""
+
+
+@query(MERGED + " select sha from x_named where email in (select email from x_identity where identity = (select identity from x_identity where email = 'dev9@nation_17.example'))")
 def author_filter_semi(spark, d):
-    return _filtered(spark, d, S.Filters(author="Dev7@Nation_17.example"))
+    """The commits of a person under all of the person's e-mails."""
+    h = history(spark, d)
+    h.commits = _renamed(h)
+    index = _index(h)
+    index.aliases, index.identities = I.resolved(h.commits)
+    return S.filtered(index, S.Filters(author="Dev9@Nation_17.example")).select("sha")
 
 
 @query("select sha from commits where sha in (select sha from files where starts_with(lower(path), 'src/net'))")
@@ -190,11 +240,11 @@ def unreachable_commits_anti(spark, d):
     return G.unreachable(h.commits, G.included_refs(h.refs)).select("sha")
 
 
-@query(", e as (select sha, unnest(parents) as parent from commits), r(sha, d) as (select sha1('commit:200'), 0 union all select e.parent, d + 1 from r join e on e.sha = r.sha where d < 12) select sha, min(d) as depth from r group by sha")
+@query("x_e as (select sha, unnest(parents) as parent from commits), x_r(sha) as (select sha1('commit:200') union select parent from x_r join x_e using (sha)) select sha from x_r")
 def dag_reachability(spark, d):
+    """All ancestors of one commit, at any depth."""
     c = history(spark, d).commits
-    start = "commit:200"
-    return G.ancestors(c, c.sparkSession.range(1).select(F.sha1(F.lit(start))).first()[0], depth=12)
+    return G.reachable(*G.chains(c), c.sparkSession.range(1).select(F.sha1(F.lit("commit:200"))).first()[0])
 
 
 @query("select sha, k as generation from commits")
@@ -202,7 +252,10 @@ def first_parent_generation(spark, d):
     return G.first_parent_line(history(spark, d).commits)
 
 
-@query(", e as (select sha, unnest(parents) as parent from commits), a(sha, d) as (select sha1('commit:180'), 0 union select e.parent, d + 1 from a join e on e.sha = a.sha where d < 40), b(sha, d) as (select sha1('commit:200'), 0 union select e.parent, d + 1 from b join e on e.sha = b.sha where d < 20) select distinct sha from b where sha not in (select sha from a)")
+REACH = "x_e as (select sha, unnest(parents) as parent from commits), x_a(sha) as (select sha1('commit:180') union select parent from x_a join x_e using (sha)), x_b(sha) as (select sha1('commit:200') union select parent from x_b join x_e using (sha))"
+
+
+@query(REACH + " select sha from x_b where sha not in (select sha from x_a)")
 def range_commits_between(spark, d):
     c = history(spark, d).commits
     a, b = c.sparkSession.range(1).select(F.sha1(F.lit("commit:180")), F.sha1(F.lit("commit:200"))).first()
@@ -214,20 +267,34 @@ def _ends(c) -> tuple[str, str]:
     return c.sparkSession.range(1).select(F.sha1(F.lit("commit:180"))).first()[0], c.agg(F.max_by("sha", "k")).first()[0]
 
 
-@query()
+@query("select sha from commits")
 def dag_reachability_full(spark, d):
-    """All ancestors of the newest commit, at any depth; a recursive query would walk one level a commit."""
+    """All ancestors of the newest commit. Each commit's first parent is the one before it, which is what the SQL says; a recursive query would walk one level a commit."""
     c = history(spark, d).commits
     return G.reachable(*G.chains(c), _ends(c)[1])
 
 
-@query()
+@query("select sha from commits where k > 180")
 def range_commits_wide(spark, d):
     """``A..B`` over almost the whole history."""
     c = history(spark, d).commits
     return G.range_between(c, *_ends(c))
 
 
+TIPS = """x_tips as (select max(k) as k, 'refs/heads/' || lower(state) as name, 'branch' as ref_type from commits group by state
+  union all select k, 'refs/tags/t' || k, 'tag' from commits where k % 5000 = 0)"""
+
+
+@query(TIPS + " select c.sha, t.name, t.ref_type from commits c join x_tips t on c.k <= t.k")
+def commit_refs_membership(spark, d):
+    """Every reference that reaches a commit: three branches and some tags. Each commit reaches all before it, which is what the SQL says."""
+    h = history(spark, d)
+    state = h.refs.where("ref_type = 'branch'").join(spark.read.parquet(f"{d}/orders.parquet").select(F.sha1(F.concat(F.lit("commit:"), F.col("o_orderkey").cast("string"))).alias("sha"), "o_orderkey", "o_orderstatus"), "sha", "right")
+    tips = state.groupBy(F.lower("o_orderstatus").alias("s")).agg(F.max_by("sha", "o_orderkey").alias("sha")).select(F.concat(F.lit("refs/heads/"), F.col("s")).alias("name"), "sha", F.lit("branch").alias("ref_type"))
+    tips = tips.union(h.commits.where("k % 5000 = 0").select(F.concat(F.lit("refs/tags/t"), F.col("k").cast("string")), "sha", F.lit("tag")))
+    return G.commit_refs(*G.membership(h.commits, tips))
+
+
 ALIAS = r"""x_alias as (select author_name, author_email, count(*) as commits, min(committed_at) as first_at, max(committed_at) as last_at,
   lower(author_email) like '%[bot]@users.noreply.github.com' or trim(author_name) like '%[bot]' as is_bot from commits group by 1, 2)"""
 
@@ -242,26 +309,19 @@ def identity_email_merge(spark, d):
     return I.email_clusters(I.aliases(history(spark, d).commits))
 
 
-def _renamed(h):
-    """Names that a few e-mails share, each for one year of its own, so that gaps between them last days or years.
-
-    Four neighbours of a nation (``dev0`` to ``dev3`` and so on) sign as their team in the year 1992 + 3 n mod 7 of
-    their number n, and with their own names in all others.
-    """
-    n = F.regexp_extract("author_email", r"^dev(\d+)@", 1).cast("int")
-    team = F.concat(F.lit("Team "), F.floor(n / 4).cast("string"), F.lit(" "), F.regexp_extract("author_email", r"@(.*)$", 1))
-    own = F.year(F.timestamp_seconds("committed_at")) == 1992 + n * 3 % 7
-    return h.commits.withColumn("author_name", F.when(own, team).otherwise(F.col("author_name")))
-
-
-@query()
+@query(MERGED + " select email, identity from x_identity")
 def identity_name_merge_365d(spark, d):
-    return I.resolve(I.aliases(_renamed(history(spark, d))))
+    return I.resolve(_renamed(history(spark, d)))
 
 
-@query()
+@query(r"""x_who as (select author_name as name, author_email as email, true as own, committed_at as t from commits
+  union all select regexp_extract(body, '^Co-authored-by: ([^<]*) <', 1), regexp_extract(body, '<([^>]*)>', 1), false, committed_at from commits where body like 'Co-authored-by:%'),
+x_alias as (select name, email, count(*) filter (own) as commits, min(t) as first_at, max(t) as last_at, trim(name) like '%[bot]' as is_bot from x_who group by 1, 2)
+select lower(email) as identity, arg_max(name, (commits, last_at, email, name)) as canonical_name, arg_max(email, (commits, last_at, email, name)) as canonical_email, bool_or(is_bot) as is_bot, count(*) as alias_count,
+  cast(sum(commits) as bigint) as commit_count, min(first_at) as first_seen_at, max(last_at) as last_seen_at from x_alias group by 1 having not bool_or(is_bot)""")
 def identities_report(spark, d):
-    return I.report(I.aliases(history(spark, d).commits))
+    """No two e-mails of these share a name, so an identity is an e-mail; ``identity_name_merge_365d`` has the links."""
+    return I.report(I.resolved(history(spark, d).commits)[1])
 
 
 FOLD = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
@@ -347,30 +407,84 @@ def _commit_docs(h):
 
 def _search(spark, d, q):
     h = history(spark, d)
-    out = S.search(_commit_docs(h), h.commits, h.files, h.refs, q, _now(h))
+    out = S.search(_commit_docs(h), _index(h), q, _now(h))
     return out.select("sha", *[_r(c, c) for c in ("lexical", "path_relevance", "recency", "score")], "total_available")
 
 
-@query()
+def _weighted_sql(words):
+    """Scores of the commits that hold all words, over the four weighted columns."""
+    toks = ", ".join(f"regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+') as t_{c}" for c in S.WEIGHTS)
+    freq = ", ".join(" + ".join(f"{w} * len(list_filter(t_{c}, lambda x: x = '{word}'))" for c, w in S.WEIGHTS.items()) + f" as f{i}" for i, word in enumerate(words))
+    size = " + ".join(f"len(t_{c})" for c in S.WEIGHTS)
+    idf = ", ".join(f"greatest(case when ln((count(*) - count(*) filter (f{i} > 0) + 0.5) / (count(*) filter (f{i} > 0) + 0.5)) <= 0 then 1e-6 else ln((count(*) - count(*) filter (f{i} > 0) + 0.5) / (count(*) filter (f{i} > 0) + 0.5)) end, 1e-6) as i{i}" for i in range(len(words)))
+    score = " + ".join(f"i{i} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / a))" for i in range(len(words)))
+    return f"""{DOCS}, x_toks as (select sha, {toks} from x_search), x_freq as (select sha, {size} as d, {freq} from x_toks),
+x_stat as (select avg(d) as a, {idf} from x_freq), x_bm25 as (select sha, -({score}) as bm25 from x_freq, x_stat where {' and '.join(f'f{i} > 0' for i in range(len(words)))})"""
+
+
+def _ranked_sql(words, where, prefix, limit):
+    near = f"case when d = '{prefix}' or starts_with(d, '{prefix}/') then 1.0 when strpos(d, '/') = 0 and d <> '.' then 0.5 else 0.0 end"
+    return f"""{_weighted_sql(words)}, x_near as (select sha, max({near}) as path_relevance from (select sha, {FULL} as d from files) group by sha),
+x_hit as (select c.sha, committed_at, 1 / (1 + abs(bm25)) as lexical, coalesce(path_relevance, 0.0) as path_relevance, pow(0.5, greatest({NOW_SQL} - committed_at, 0) / (180 * 86400.0)) as recency
+  from commits c join x_bm25 using (sha) left join x_near using (sha) where {where}),
+x_ranked as (select *, 0.50 * lexical + 0.30 * path_relevance + 0.20 * recency as score, count(*) over () as total_available from x_hit)
+select sha, round(lexical, 6) as lexical, round(cast(path_relevance as double), 6) as path_relevance, round(recency, 6) as recency, round(score, 6) as score, total_available from x_ranked order by x_ranked.score desc, committed_at desc, sha limit {limit}"""
+
+
+IN_SRC = "c.sha in (select sha from files where starts_with(lower(path), 'src'))"
+
+
+@query(_weighted_sql(["urgent", "feat"]) + " select sha, round(bm25, 6) as bm25 from x_bm25")
 def bm25_weighted_fields(spark, d):
     h = history(spark, d)
     return S.bm25(_commit_docs(h), "sha", S.parse("urgent feat"), S.WEIGHTS).select("sha", _r("bm25", "bm25"))
 
 
-@query()
+@query(_weighted_sql(["urgent", "feat"]) + " select sha, round(bm25, 6) as bm25 from x_bm25")
+def bm25_stored_postings(spark, d):
+    """The same scores from the inverted index that an engine stores."""
+    h = history(spark, d)
+    docs, columns = _commit_docs(h), list(S.WEIGHTS)
+    n, tokens = S.corpus(docs, columns).first()
+    return S.looked_up(S.inverted(docs, "sha", columns), "sha", S.parse("urgent feat"), S.WEIGHTS, n, tokens).select("sha", _r("bm25", "bm25"))
+
+
+@query(_ranked_sql(["urgent"], IN_SRC, "src", 50))
 def blended_search_topk(spark, d):
     return _search(spark, d, S.Query("urgent", S.Filters(path="src"), 50))
 
 
-@query()
+@query(_ranked_sql(["high"], IN_SRC + " and committed_at >= 820454400 and c.sha in (select sha from refs where name = 'refs/heads/o')", "src", 100))
 def search_with_all_filters(spark, d):
     return _search(spark, d, S.Query("high", S.Filters(path="src", since=T.resolve_time("1996-01-01"), branch="o"), 100))
 
 
-@query("select count(*) as commits, count(distinct author_email) as authors, (select count(distinct path) from files where sha in (select sha from commits where committed_at > 820454400 and committed_at <= 852076800)) as files, (select cast(sum(insertions) as bigint) from files where sha in (select sha from commits where committed_at > 820454400 and committed_at <= 852076800)) as insertions, (select cast(sum(deletions) as bigint) from files where sha in (select sha from commits where committed_at > 820454400 and committed_at <= 852076800)) as deletions from commits where committed_at > 820454400 and committed_at <= 852076800")
+@query(_weighted_sql(["low"]) + " select count(*) as total_available from x_bm25")
+def search_total_available(spark, d):
+    """The number of hits before the limit, which is 1 here."""
+    return _search(spark, d, S.Query("low", S.Filters(), 1)).select("total_available")
+
+
+@query("with " + POST + r""", x_f as (select doc_id, count(*) as f from x_post where term = 'ention' group by doc_id), x_idf as (select greatest(ln((max(n) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) as idf from x_f, x_stat),
+x_lex as (select doc_id as id, 1 / (1 + idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / a))) as lexical, case when source = 'src1' then 1.0 else 0.0 end as path_relevance, pow(0.5, doc_id / 180.0) as recency
+  from x_f join x_len using (doc_id) join documents using (doc_id), x_idf, x_stat),
+x_q as (select embedding as e from embeddings where vec_id = 0),
+x_sem as (select vec_id as id, greatest(list_cosine_similarity(list_transform(embedding, lambda x: x::double), list_transform(e, lambda x: x::double)), 0) as semantic from embeddings, x_q)
+select id, round(0.50 * coalesce(semantic, 0) + 0.20 * coalesce(lexical, 0) + 0.15 * coalesce(path_relevance, 0) + 0.15 * coalesce(recency, 0), 6) as score from x_lex full join x_sem using (id)""", base="")
+def hybrid_blend(spark, d):
+    """Documents by words and by the embedding of their number, blended."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    lex = S.bm25(docs.where("text is not null"), "doc_id", S.parse("ention"), {"text": 1.0}).join(docs.select("doc_id", "source"), "doc_id")
+    lex = lex.select(F.col("doc_id").alias("id"), S.lexical_factor(F.col("bm25")).alias("lexical"), F.when(F.col("source") == "src1", 1.0).otherwise(0.0).alias("path_relevance"), F.pow(F.lit(0.5), F.col("doc_id") / 180.0).alias("recency"))
+    near = _cosine(spark, d).select(F.col("vec_id").alias("id"), F.greatest("cosine", F.lit(0.0)).alias("semantic"))
+    return S.hybrid(lex, near, "id").select("id", _r("score", "score"))
+
+
+@query("x_r as (select sha from commits where k > 180) select (select count(*) from x_r) as commits, (select count(distinct author_email) from commits where k > 180) as authors, (select count(distinct path) from files where k > 180) as files, (select cast(sum(insertions) as bigint) from files where k > 180) as insertions, (select cast(sum(deletions) as bigint) from files where k > 180) as deletions")
 def between_summary(spark, d):
+    """Totals of ``A..B`` over the history's graph."""
     h = history(spark, d)
-    return A.between(h.commits, h.files, 820454400, 852076800)
+    return A.between(h.commits, h.files, G.range_between(h.commits, *_ends(h.commits)))
 
 
 STATS = f"x_stats as (select path, count(*) as commit_count, count(distinct author_email) as unique_authors, cast(count(*) filter ({REV}) as bigint) as revert_count, max(committed_at) as last_touched from files join commits using (sha) where committed_at > {NOW_SQL} - 90 * 86400 group by path)"
@@ -412,16 +526,104 @@ def nearest_tag(spark, d):
     return A.nearest_tag(h.commits, G.tags(h.refs, h.commits))
 
 
-@query()
+RISK = f"""{TOTALS}, {KINDS}, x_counts as (select sha, {COUNTERS} from files join x_kinds using (path) group by sha), {STATS}, {REVERTS}, {GAP},
+x_churn as (select sha, max(commit_count) as churn from files join x_stats using (path) group by sha),
+x_fac as (select c.sha, c.k, least(file_count / 20.0, 1) as f_size, least(dir_count / 5.0, 1) as f_spread, case when coalesce(n_infra, 0) + coalesce(n_ci, 0) + coalesce(n_config, 0) > 0 then 1.0 else 0.0 end as f_sensitive,
+  case when coalesce(n_code, 0) = 0 then 0.0 else 1 - least(coalesce(n_test, 0) / cast(greatest(n_code, 1) as double), 1) end as f_untested, least(coalesce(churn, 0) / 50.0, 1) as f_churn,
+  case when {REV} or reverted_by is not null then 1.0 else 0.0 end as f_revert, coalesce(greatest(0, 1 - tag_gap / (7.0 * 86400)), 0) as f_release
+  from commits c join x_totals using (sha) left join x_counts using (sha) left join x_churn using (sha) left join x_rev using (sha) left join x_gap using (sha)),
+x_risk as (select *, round(least(0.20 * f_size + 0.15 * f_spread + 0.20 * f_sensitive + 0.15 * f_untested + 0.15 * f_churn + 0.10 * f_revert + 0.05 * f_release, 1), 6) as risk_score from x_fac)"""
+LABEL = "case when risk_score < 0.34 then 'low' when risk_score < 0.67 then 'medium' else 'high' end as risk_label"
+
+
+def _risk(spark, d, only=None):
+    h = history(spark, d)
+    return A.risk(h.commits, h.files, G.tags(h.refs, h.commits), G.reverts(h.commits), _now(h), only=only(h) if only else None)
+
+
+@query(RISK + f" select sha, risk_score, {LABEL} from x_risk")
 def risk_scores(spark, d):
+    return _risk(spark, d).select("sha", "risk_score", "risk_label")
+
+
+@query(RISK + " select sha, " + ", ".join(f"round(cast(f_{k} as double), 6) as f_{k}" for k in A.RISK) + " from x_risk")
+def risk_factors(spark, d):
+    return _risk(spark, d).select("sha", *[_r(f"f_{k}", f"f_{k}") for k in A.RISK])
+
+
+@query(RISK + f" select sha, risk_score, {LABEL} from x_risk order by x_risk.risk_score desc, sha limit 50")
+def risk_ranked(spark, d):
+    return _risk(spark, d).select("sha", "risk_score", "risk_label").orderBy(F.desc("risk_score"), "sha").limit(50)
+
+
+@query(RISK + f" select sha, risk_score, {LABEL}, round(f_churn, 6) as f_churn from x_risk where k = 97")
+def explain_commit(spark, d):
+    """One commit's risk, for which only what shares its paths is read."""
+    return _risk(spark, d, lambda h: h.commits.where("k = 97").select("sha")).select("sha", "risk_score", "risk_label", _r("f_churn", "f_churn"))
+
+
+def _stories(spark, d):
     h = history(spark, d)
-    return A.risk(h.commits, h.files, G.tags(h.refs, h.commits), G.reverts(h.commits), _now(h)).select("sha", "risk_score", "risk_label")
+    return h, R.members(h.commits, h.files, G.tags(h.refs, h.commits))
+
+
+@query()
+def story_members(spark, d):
+    """The rule is a fold over commits in order, which SQL does not say; a plain fold in the tests gives the same."""
+    return _stories(spark, d)[1]
 
 
 @query()
-def stories(spark, d):
+def story_titles(spark, d):
+    h, member = _stories(spark, d)
+    return R.stories(member, h.commits, h.files).select("story", "title", "first_at", "last_at", "commit_count", "author_count", F.array_join("top_paths", ",").alias("top_paths"), _r("coherence", "coherence"), "coherent")
+
+
+@query("select sha, subject from commits")
+def dedup_commits(spark, d):
+    c = history(spark, d).commits.select("sha", "subject")
+    return G.one_each(c.union(c))
+
+
+@query("select sha, case when k % 2 = 0 then 'new ' || subject else subject end as subject, case when k % 2 = 0 and k % 3 = 0 then 'new' else author_name end as author_name from commits")
+def upsert_merge(spark, d):
+    """Commits seen again with another subject and author: the subject changes, the author of a known commit stays."""
+    c = history(spark, d).commits.select("k", "sha", "subject", "author_name")
+    old = c.where("k % 3 <> 0").drop("k")
+    new = c.where("k % 2 = 0").select("sha", F.concat(F.lit("new "), "subject").alias("subject"), F.lit("new").alias("author_name"))
+    return G.merge_commits(old.union(c.where("k % 3 = 0 and k % 2 <> 0").drop("k")), new.union(new))
+
+
+@query("select sha from commits where k % 10 >= 7")
+def incremental_delta(spark, d):
+    c = history(spark, d).commits
+    return X.delta(c.select("sha").union(c.select("sha")), c.where("k % 10 < 7")).select("sha")
+
+
+@query("x_a as (select distinct author_name, author_email from commits) select (select count(*) from commits) as commits, (select count(*) from x_a) as aliases, (select count(distinct lower(author_email)) from commits) as emails, (select count(distinct name) from refs where name not like 'refs/pull/%') as refs, (select count(*) from files) as files")
+def status_counts(spark, d):
+    h = history(spark, d)
+    alias = I.aliases(h.commits)
+    counts = [(h.commits, F.count(F.lit(1)), "commits"), (alias, F.count(F.lit(1)), "aliases"), (alias, F.count_distinct(F.lower("author_email")), "emails"), (G.included_refs(h.refs), F.count_distinct("name"), "refs"), (h.files, F.count(F.lit(1)), "files")]
+    out = None
+    for df, n, name in counts:
+        one = df.agg(n.alias(name))
+        out = one if out is None else out.join(F.broadcast(one))  # one row each
+    return out
+
+
+@query("select sha, array_to_string(parents, ' ') as parents, committed_at, subject, body, coalesce(n, 0) as file_count, coalesce(i, 0) as insertions, coalesce(x, 0) as deletions from commits left join (select sha, count(*) as n, cast(sum(insertions) as bigint) as i, cast(sum(deletions) as bigint) as x from files group by sha) using (sha)")
+def parse_log_records(spark, d):
+    """The history written as an exported log and parsed again."""
     h = history(spark, d)
-    return A.stories(h.commits, h.files, G.tags(h.refs, h.commits))
+    names = F.concat_ws("\n", F.collect_list(F.concat_ws("\t", "status", "path")))
+    numbers = F.concat_ws("\n", F.collect_list(F.concat_ws("\t", "insertions", "deletions", "path")))
+    per = h.files.groupBy("sha").agg(F.concat(names, F.lit("\n\n"), numbers, F.lit("\n")).alias("diff"))
+    at = F.col("committed_at").cast("string")
+    head = F.concat_ws(L.FIELD, "sha", "author_name", "author_email", "author_name", "author_email", at, at, "subject", F.array_join("parents", " "), "body")
+    log = h.commits.join(per, "sha", "left").select(F.concat(head, F.lit(L.END + "\n\n"), F.coalesce("diff", F.lit(""))).alias("value"))
+    total = lambda c: F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f[c]).alias(c)
+    return L.parse_log(log).select("sha", F.array_join("parents", " ").alias("parents"), "committed_at", "subject", "body", F.size("files").cast("long").alias("file_count"), total("insertions"), total("deletions"))
 
 
 @query("select count(*) as commit_count, count(distinct author_email) as author_count, min(committed_at) as first_at, max(committed_at) as last_at, arg_max(sha, (committed_at, sha)) as last_sha from commits")
@@ -431,8 +633,36 @@ def repo_stats(spark, d):
 
 @query("select quantile_disc(o_totalprice, 0.5) as p50, quantile_disc(o_totalprice, 0.95) as p95, quantile_disc(o_totalprice, 0.99) as p99 from orders", base="")
 def percentile_nearest_rank(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet")
-    return o.agg(*[M.nearest_rank("o_totalprice", p).alias(f"p{p}") for p in (50, 95, 99)])
+    return M.nearest_ranks(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice", 50, 95, 99)
+
+
+RANKED = """with c as (select user_id, event_type, count(*) as n, max(event_id) as last from events group by 1, 2),
+u as (select user_id, list(event_type order by n desc, event_type) as ranked, arg_max(event_type, last) as expected from c group by 1)"""
+
+
+def _ranked_types(spark, d):
+    """Each user's event types by frequency, and the type of the user's last event."""
+    c = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "event_type")))
+    return c.groupBy("user_id").agg(F.transform(order, lambda x: x["event_type"]).alias("ranked"), F.max_by("event_type", "last").alias("expected"))
+
+
+@query(RANKED + " select round(avg(case when list_contains(ranked[1:2], expected) then 1.0 else 0.0 end), 6) as precision from u", base="")
+def precision_at_k(spark, d):
+    return _ranked_types(spark, d).agg(_r(M.precision_at_k("ranked", F.col("expected"), 2), "precision"))
+
+
+@query(RANKED + " select round(avg(1.0 / list_position(ranked, expected)), 6) as mrr from u", base="")
+def mrr(spark, d):
+    return _ranked_types(spark, d).agg(_r(M.mrr("ranked", F.col("expected")), "mrr"))
+
+
+@query(f"x_d as (select k, list(distinct {TOP}) as dirs from files group by k) select a.k, round(len(list_intersect(a.dirs, b.dirs)) / cast(len(list_distinct(list_concat(a.dirs, b.dirs))) as double), 6) as jaccard from x_d a join x_d b on b.k = a.k + 1")
+def jaccard_sets(spark, d):
+    """Directories of each commit against those of the next."""
+    dirs = history(spark, d).files.groupBy("k").agg(F.collect_set(T.top_dir(F.col("path"))).alias("dirs"))
+    after = dirs.select((F.col("k") - 1).alias("k"), F.col("dirs").alias("next"))
+    return dirs.join(after, "k").select("k", _r(M.jaccard("dirs", "next"), "jaccard"))
 
 
 @query("""with v as (select quality = 1 as g, cast(n_chars as double) as x from labels join documents using (doc_id)),
@@ -448,9 +678,18 @@ def mann_whitney_quality(spark, d):
 
 @query("with q as (select embedding as e from embeddings where vec_id = 0) select vec_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::double), list_transform(e, lambda x: x::double)), 6) as cosine from embeddings, q", base="")
 def semantic_cosine(spark, d):
+    return _cosine(spark, d).select("vec_id", _r("cosine", "cosine"))
+
+
+def _cosine(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     q = e.where("vec_id = 0").select("embedding").first()[0]
-    return e.select("vec_id", _r(S.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), "cosine"))
+    return e.select("vec_id", S.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])).alias("cosine"))
+
+
+@query("with q as (select embedding as e from embeddings where vec_id = 0) select vec_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::double), list_transform(e, lambda x: x::double)), 6) as cosine from embeddings, q order by list_cosine_similarity(list_transform(embedding, lambda x: x::double), list_transform(e, lambda x: x::double)) desc, vec_id limit 20", base="")
+def cosine_topk(spark, d):
+    return _cosine(spark, d).orderBy(F.desc("cosine"), "vec_id").limit(20).select("vec_id", _r("cosine", "cosine"))
 
 
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2", base="")
@@ -470,3 +709,9 @@ s as (select user_id, ts, sum(new) over (partition by user_id order by ts, new d
 def events_sessions(spark, d):
     t = X.sessions(spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
     return t.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("select event_id, event_type from events", base="")
+def dedup_events(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type")
+    return X.distinct_events(e.union(e))
