@@ -172,8 +172,11 @@ def write_postings(post: DataFrame, path: str, key: str) -> None:
     post.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").option("parquet.block.size", 8 << 20).option("parquet.page.size", 128 << 10).parquet(path)
 
 
-def looked_up(post: DataFrame, key: str, terms: list[Term], weights: dict[str, float], documents: int, tokens: int) -> DataFrame:
-    """``(key, bm25)`` over stored postings: reads the query's terms only; document frequencies are counted before any filter."""
+def looked_up(post: DataFrame, key: str, terms: list[Term], weights: dict[str, float], documents: int, tokens: int, keep=None) -> DataFrame:
+    """``(key, bm25)`` over stored postings: reads the query's terms only; document frequencies are counted before any filter.
+
+    ``keep`` may hold the terms' frequencies by document, which the count and the scores share.
+    """
     words = sorted({w for t in terms for w in (t.words[:-1] if t.prefix else t.words)})
     wanted = F.col("term").isin(words) if words else F.lit(False)
     for t in terms:
@@ -198,6 +201,7 @@ def looked_up(post: DataFrame, key: str, terms: list[Term], weights: dict[str, f
             total = total + F.lit(float(weights[column])) * F.size(at)
         freq.append(total)
     rows = rows.select(key, "d", *[f.alias(f"f{i}") for i, f in enumerate(freq)])
+    rows = keep(rows) if keep else rows
     df = rows.agg(*[F.count_if(F.col(f"f{i}") > 0) for i in range(len(terms))]).first()
     return _bm25_of(rows, key, documents, tokens / documents if documents else 0.0, list(df))
 
