@@ -239,7 +239,7 @@ def keep_one(docs: DataFrame, *columns: str, width: int = 5) -> DataFrame:
     same = marks.select("fp", "body").join(reps, "fp").where("body <> rep")
     pairs = tight.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).union(same.select(F.col("rep").alias("a"), F.col("body").alias("b")))
     found = nearcopies.checked(pairs, marks, distinct, width)
-    of = connected_components(nearcopies.links(distinct, marks, found, width)).withColumnRenamed("node", "body")
+    of = nearcopies.groups(distinct, marks, found, width).withColumnRenamed("node", "body")
     ids = texts.groupBy("body").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("i"))
     first = F.struct(F.col("i.none").alias("none"), F.col("i.doc_id").alias("doc_id"), "body")
     keep = ids.join(of, "body", "left").groupBy(F.coalesce("component", "body").alias("component")).agg(F.min(first).alias("k"))
