@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +101,30 @@ def worker_cache(name: str) -> dict:
     import sys
 
     return sys.__dict__.setdefault("_commitscope_caches", {}).setdefault(name, {})
+
+
+def _give_back() -> None:
+    """Return a worker's unused memory to the system; Arrow and the C library would keep it for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def frugal(name: str, run):
+    """``run`` for a Python worker that other operators use too: what theirs remember goes first, and unused memory is given back after each task."""
+
+    def wrapped(*batches):
+        import sys
+
+        caches = sys.__dict__.get("_commitscope_caches", {})
+        if others := [k for k in caches if not k.startswith(name)]:
+            for k in others:
+                del caches[k]
+            _give_back()
+        yield from run(*batches)
+        _give_back()
+
+    return wrapped

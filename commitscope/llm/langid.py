@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import frugal, slices, text_or_empty
 
 #: Distinct labelled texts per language that training uses at most.
 SAMPLE_PER_LANG = 400
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
             raw = [pa.array([x[k].astype(kind).tobytes() for x in found], pa.binary()) for k, kind in enumerate(("<u2", "<i8"))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *raw], ["lang", "h", "at", "n"])
 
-    sample = few.select("lang", "h", "text").mapInArrow(count, "lang string, h long, at binary, n binary").collect()
+    sample = few.select("lang", "h", "text").mapInArrow(frugal("langid", count), "lang string, h long, at binary, n binary").collect()
     sample.sort(key=lambda r: (r["lang"], r["h"]))
     x = features([(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<i8")) for r in sample])
     return LanguageModel(langs, x, np.array([langs.index(r["lang"]) for r in sample]))
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: LanguageModel, *keys: str, text: bool = Fals
 
     rows = text_or_empty(docs, *keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (rows.schema if text else rows.schema[:-1]))
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(frugal("langid", run), f"{schema}, lang_pred string, score double")
 
 
 def held_out(doc_id="doc_id"):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nearcopies
-from .common import checkpointed, text_or_empty, written
+from .common import checkpointed, frugal, text_or_empty, written
 from .components import connected_components
 from .shingles import SEED, body_of, shingles
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], ["doc_id", "fp", "body"])
 
-    return text_or_empty(docs, "doc_id").withColumn("body", body_of("text")).mapInArrow(run, "doc_id long, fp long, body long")
+    return text_or_empty(docs, "doc_id").withColumn("body", body_of("text")).mapInArrow(frugal("simhash", run), "doc_id long, fp long, body long")
 
 
 def _links(key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +195,7 @@ def links(fps: DataFrame) -> DataFrame:
         hot = hot.withColumn("m", F.explode(F.filter(masks, lambda x: F.bit_count(x) + F.col("spent") <= BUDGET)))
         rows = checkpointed(hot.select(F.xxhash64("cell", left, right).alias("cell"), side.alias("side"), "key", "fp", (F.col("spent") + F.bit_count(m)).cast("int").alias("spent")))
         bit += SPLIT_BITS
-    return done.repartition("cell").sortWithinPartitions("cell").mapInArrow(_join_cells, "a long, b long")
+    return done.repartition("cell").sortWithinPartitions("cell").mapInArrow(frugal("simhash", _join_cells), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, worker_cache
+from .common import frugal, text_or_empty, worker_cache
 
 SPACE, CUT = "▁", "\x1f"
 #: Distinct units that a worker remembers, texts per step in bytes, positions of a chunk of units advanced together.
@@ -406,7 +406,7 @@ def encode(docs: DataFrame, path: str, *keys: str) -> DataFrame:
 
     rows = text_or_empty(docs, *keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{schema}, ids binary, n_ids long, ids_crc32 long, exact boolean")
+    return rows.mapInArrow(frugal("sentencepiece", run), f"{schema}, ids binary, n_ids long, ids_crc32 long, exact boolean")
 
 
 def decode(coded: DataFrame, path: str, *keys: str) -> DataFrame:
@@ -423,4 +423,4 @@ def decode(coded: DataFrame, path: str, *keys: str) -> DataFrame:
 
     rows = coded.select(*[F.col(f"`{k}`") for k in keys], "ids")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{schema}{', ' if nk else ''}text string")
+    return rows.mapInArrow(frugal("sentencepiece", run), f"{schema}{', ' if nk else ''}text string")
