@@ -24,11 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, text_or_empty, worker_cache
+from .common import frugal, slices, text_or_empty, worker_cache
 
 SPACE, CUT = "▁", "\x1f"
 #: Distinct units that a worker remembers, texts per step in bytes, positions of a chunk of units advanced together.
-MEMORY_UNITS, SLICE, CHUNK_CELLS = 150_000, 2 << 20, 1 << 20
+MEMORY_UNITS, SLICE, CHUNK_CELLS = 100_000, 1 << 20, 1 << 19
 PAIR_SLOTS, SIEVE_BITS = 1 << 20, 20
 #: Units of more characters are cut first.
 LONG = 48
@@ -385,24 +385,19 @@ def encode(docs: DataFrame, path: str, *keys: str) -> DataFrame:
         model = _model(path)
         memory = worker_cache("sentencepiece units " + path)
         for b in batches:
-            texts = b.column(nk).to_pylist()
-            i = 0
-            while i < len(texts):
-                j, n = i, 0
-                while j < len(texts) and (j == i or n + len(texts[j]) <= SLICE):
-                    n += len(texts[j])
-                    j += 1
+            # only a slice of the texts at a time becomes Python strings
+            for i, j in slices([range(n) for n in pc.binary_length(b.column(nk)).to_pylist()], SLICE):
+                texts = b.column(nk).slice(i, j - i).to_pylist()
                 if len(memory) > MEMORY_UNITS:
                     memory.clear()
-                ids, n = model.encode_batch(texts[i:j], memory)
+                ids, n = model.encode_batch(texts, memory)
                 data, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(n)
                 raw = [data[e - 4 * k : e] for e, k in zip(ends.tolist(), n.tolist())]
-                exact = [x == t.encode("utf-8", "surrogatepass").replace(b"\xe2\x96\x81", b" ") for x, t in zip(model.decode_batch(ids, n), texts[i:j])]
+                exact = [x == t.encode("utf-8", "surrogatepass").replace(b"\xe2\x96\x81", b" ") for x, t in zip(model.decode_batch(ids, n), texts)]
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(i, j - i) for c in b.columns[:nk]), pa.array(raw, pa.binary()), pa.array(n), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(exact)],
                     [*keys, "ids", "n_ids", "ids_crc32", "exact"],
                 )
-                i = j
 
     rows = text_or_empty(docs, *keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
