@@ -28,7 +28,7 @@ from .common import frugal, slices, text_or_empty, worker_cache
 
 SPACE, CUT = "▁", "\x1f"
 #: Distinct units that a worker remembers, texts per step in bytes, positions of a chunk of units advanced together.
-MEMORY_UNITS, SLICE, CHUNK_CELLS = 80_000, 1 << 20, 1 << 18
+MEMORY_UNITS, SLICE, CHUNK_CELLS = 150_000, 2 << 20, 1 << 20
 PAIR_SLOTS, SIEVE_BITS = 1 << 20, 20
 #: Units of more characters are cut first.
 LONG = 48
@@ -120,7 +120,7 @@ class Model:
         with np.errstate(over="ignore"):
             for i in range(1, len(self.power)):
                 self.power[i] = self.power[i - 1] * BASE
-        self.text_pool = None
+        self.text_pool, self.chunk = None, CHUNK_CELLS
         self.letters = set("".join(self.id_of))
         self.score = np.array(self.scores, np.float64)
         self.beside = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
@@ -275,7 +275,7 @@ class Model:
                 for i in members:
                     out[i] = np.empty(0, np.int32)
                 continue
-            step = max(1, CHUNK_CELLS // (length * 24))
+            step = max(1, self.chunk // (length * 24))
             for s in range(0, len(members), step):
                 part = members[s : s + step]
                 codes = np.frombuffer("".join(units[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
@@ -372,23 +372,25 @@ def _model(path: str) -> Model:
     return cache[path]
 
 
-def encode(docs: DataFrame, path: str, *keys: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, *keys: str, units: int = MEMORY_UNITS, most: int = SLICE, cells: int = CHUNK_CELLS) -> DataFrame:
     """Key columns, ``ids`` (little-endian uint32 in a binary), ``n_ids``, ``ids_crc32`` and ``exact``.
 
     ``exact``: decoding gives the text back (white-space marks U+2581 in a text come back as spaces). ``path`` must be
     readable on the executors. A null text is empty and has no ids; repeated rows keep their number; an empty table
-    gives an empty result. Long texts are encoded whole.
+    gives an empty result. Long texts are encoded whole. ``units``, ``most`` and ``cells`` trade a worker's memory for time
+    and change no result.
     """
     nk = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
+        model.chunk = cells
         memory = worker_cache("sentencepiece units " + path)
         for b in batches:
             # only a slice of the texts at a time becomes Python strings
-            for i, j in slices([range(n) for n in pc.binary_length(b.column(nk)).to_pylist()], SLICE):
+            for i, j in slices([range(n) for n in pc.binary_length(b.column(nk)).to_pylist()], most):
                 texts = b.column(nk).slice(i, j - i).to_pylist()
-                if len(memory) > MEMORY_UNITS:
+                if len(memory) > units:
                     memory.clear()
                 ids, n = model.encode_batch(texts, memory)
                 data, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(n)
