@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, langid, license, merkle, mixing, pii, simhash, spm, tokenfile, urlfilter
+from . import bitcodes, codebooks, kdtree, langid, license, merkle, mixing, pii, prefixtrie, simhash, spm, tokenfile, urlfilter
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -58,8 +58,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode(_table(spark, sf_dir, "documents"), PIECES, "doc_id").select("doc_id", "n_ids", "ids_crc32", "exact")
 
 
+def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitcodes.nearest(_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), 10)
+
+
+def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.build(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_pii, op2_simhash, op3_topk, op4_tokens, op5_langid, op6_mixing, op7_license, op8_urlfilter, op9_merkle, op10_sentencepiece]
+    ops = [op1_pii, op2_simhash, op3_topk, op4_tokens, op5_langid, op6_mixing, op7_license, op8_urlfilter, op9_merkle, op10_sentencepiece, op11_ann, op12_codebooks, op13_prefixtrie]
     return {f.__name__: f for f in ops}
 
 
