@@ -13,7 +13,7 @@ which loses nothing; rows are passed over by their codes alone. Queries of a cel
 (shard, block) pair is one group of a cogrouped equi-join.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows without an id, take no
-part. Shorter vectors count as zero-padded. Rows with the query's id are no candidates of it; repeated query ids give
+part. Shorter vectors count as zero-padded. Vectors so long that squares overflow are reranked every time. Rows with the query's id are no candidates of it; repeated query ids give
 one set of results, the k best of what each of their distinct vectors finds; repeated rows each count. Ties go to the
 smaller id. An empty table gives an empty result. Only vec_id and embedding are read.
 """
@@ -51,16 +51,16 @@ def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     unit = (x / np.where(size > 0, size, 1)[:, None]) @ turn
     signs = unit >= 0
     scalar = np.abs(unit).sum(axis=1) / np.sqrt(x.shape[1])
-    return np.packbits(signs, axis=1), np.where(size > 0, scalar, 1.0), size
+    return np.packbits(signs, axis=1), np.where((size > 0) & np.isfinite(size), scalar, 1.0), size
 
 
-def squared(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Squared distances of paired rows, added up component by component, so that any engine gets the same doubles."""
+def distance(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of the rows from ``q``, added up component by component, so that any engine gets the same doubles."""
     total = np.zeros(len(x))
     for j in range(x.shape[1]):
-        off = x[:, j] - q[:, j]
+        off = x[:, j] - q[j]
         total += off * off
-    return total
+    return np.sqrt(total)
 
 
 def _rows(data, width: int) -> np.ndarray:
@@ -68,9 +68,9 @@ def _rows(data, width: int) -> np.ndarray:
 
 
 def search_shard(ids, x, codes, scalar, size, centre, turn, asked, q, kth, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, id, squared distance): the rows of a shard that can be among a query's k nearest, k at most.
+    """(query index, id, distance): the rows of a shard that can be among a query's k nearest, k at most.
 
-    kth: a squared distance within which k other rows are known to lie, or infinity. Rows are bounded by their codes
+    kth: a distance within which k other rows are known to lie, or infinity. Rows are bounded by their codes
     first; what may lie within the kth distance is reranked, nearest estimates first, and lowers it.
     """
     width, out = x.shape[1], []
@@ -84,17 +84,18 @@ def search_shard(ids, x, codes, scalar, size, centre, turn, asked, q, kth, k: in
         base = far[:, None] ** 2 + size[None, :] ** 2
         about = base - 2 * size[None, :] * inner / scalar[None, :]
         least = about - 2 * size[None, :] * far[:, None] * slack[None, :] - 1e-5 * base
-        least[asked[i : i + step][:, None] == ids[None, :]] = np.inf
+        least[np.isnan(least)] = -np.inf
+        other = asked[i : i + step][:, None] != ids[None, :]
         for a in range(len(off)):
             bound = kth[i + a]
-            hit = np.flatnonzero((least[a] <= bound) & (least[a] < np.inf))
+            hit = np.flatnonzero((least[a] <= bound * bound) & other[a])
             if not len(hit):
                 continue
             if len(hit) > 4 * k:  # the nearest estimates lower the bound for the others
                 near = hit[np.argpartition(about[a, hit], 2 * k)[: 2 * k]]
-                bound = min(bound, np.partition(squared(x[near], np.broadcast_to(q[i + a], (len(near), width))), k - 1)[k - 1])
-                hit = hit[least[a, hit] <= bound]
-            d = squared(x[hit], np.broadcast_to(q[i + a], (len(hit), width)))
+                bound = min(bound, np.partition(distance(x[near], q[i + a]), k - 1)[k - 1])
+                hit = hit[least[a, hit] <= bound * bound]
+            d = distance(x[hit], q[i + a])
             best = np.lexsort((ids[hit], d))[:k]
             best = best[d[best] <= bound]
             out.append((np.full(len(best), i + a), ids[hit[best]], d[best]))
@@ -149,7 +150,8 @@ def build(embeddings: DataFrame, cells: int | None = None) -> Index | None:
     sample = np.zeros((len(picked), width))
     for i, r in enumerate(picked):
         sample[i, : len(r["embedding"])] = r["embedding"]
-    centres = _centres(sample, min(cells, len(sample)))
+    sample = sample[np.abs(sample).max(axis=1) < 1e100]
+    centres = _centres(sample, min(cells, len(sample))) if len(sample) else np.zeros((1, width))
     shared = spark.sparkContext.broadcast(centres)  # at most MOST_CELLS vectors
 
     def run(batches):
@@ -158,8 +160,9 @@ def build(embeddings: DataFrame, cells: int | None = None) -> Index | None:
             at, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False)
             x, long = np.zeros((batch.num_rows, width)), np.diff(at)
             x[np.arange(width)[None, :] < long[:, None]] = values[at[0] : at[-1]]
-            cell = _nearest(x, shared.value)
-            code, scalar, size = encode(x - shared.value[cell], turn)
+            with np.errstate(all="ignore"):
+                cell = _nearest(x, shared.value)
+                code, scalar, size = encode(x - shared.value[cell], turn)
             raw = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cell.astype(np.int32)), raw(x), raw(code), pa.array(scalar), pa.array(size)], names=["vec_id", "deal", "cell", "x", "code", "scalar", "size"])
 
@@ -193,7 +196,8 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
         x, q = _rows(data["x"], width), _rows(asked["x"], width)
         codes = np.frombuffer(b"".join(data["code"]), np.uint8).reshape(len(x), -1)
         own = asked["query_id"].to_numpy()
-        who, ids, d = search_shard(data["vec_id"].to_numpy(), x, codes, data["scalar"].to_numpy(), data["size"].to_numpy(), shared.value[data["cell"].iat[0]], rotation(width), own, q, asked["kth"].to_numpy(), k)
+        with np.errstate(all="ignore"):
+            who, ids, d = search_shard(data["vec_id"].to_numpy(), x, codes, data["scalar"].to_numpy(), data["size"].to_numpy(), shared.value[data["cell"].iat[0]], rotation(width), own, q, asked["kth"].to_numpy(), k)
         return pd.DataFrame({"query_id": own[who], "vec_id": ids, "d": d})
 
     def run(data: DataFrame, asked: DataFrame) -> DataFrame:
@@ -212,8 +216,9 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
         """The cells that the triangle inequality doesn't put beyond a query's kth distance."""
         for batch in batches:
             q = _rows(batch.column(1).to_pylist(), width)
-            far = np.sqrt(np.maximum(0, (q * q).sum(axis=1)[:, None] - 2 * q @ shared.value.T + (shared.value**2).sum(axis=1)[None, :]))
-            who, cell = np.nonzero((far - reach[None, :]) * (1 - 1e-9) - 1e-6 <= np.sqrt(batch.column(2).to_numpy())[:, None])
+            with np.errstate(all="ignore"):
+                far = np.sqrt(np.maximum(0, (q * q).sum(axis=1)[:, None] - 2 * q @ shared.value.T + (shared.value**2).sum(axis=1)[None, :]))
+            who, cell = np.nonzero(~((far - reach[None, :]) * (1 - 1e-9) - 1e-6 > batch.column(2).to_numpy()[:, None]) & (reach >= 0))
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(who)) for i in range(5)] + [pa.array(cell.astype(np.int32))], names=["query_id", "x", "kth", "home", "own", "cell"])
 
     near = known.select("query_id", "x", "kth", F.col("cell").alias("home"), F.col("shard").alias("own")).mapInArrow(spread, "query_id long, x binary, kth double, home int, own int, cell int")
@@ -229,7 +234,7 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     away = run(spots, sent.select("query_id", "x", "kth", "cell", "shard", "block"))
     found = home.unionByName(away)
     # every shard gives a query at most k rows
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.sqrt("d").alias("score"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("d").alias("score"))
 
 
 def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, cells: int | None = None) -> DataFrame:

@@ -75,6 +75,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops}
 
 
+def _codebooks_sql(parts: int = codebooks.PARTS, entries: int = codebooks.ENTRIES, rounds: int = codebooks.ROUNDS) -> str:
+    """One pair of steps a round: assignment of every part, then floored means."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (
+              select rid, part, entry, d from (
+                select rid, part, entry, d, row_number() over (partition by rid, part order by d, entry) as r
+                from (select x.rid, x.part, b.entry, sum((x.c - b.c) * (x.c - b.c)) as d from x join b{i} b on b.part = x.part and b.pos = x.pos group by x.rid, x.part, b.entry)
+              ) where r = 1)""")
+        if i < rounds:
+            steps.append(f"""b{i + 1} as materialized (
+              select b.part, b.entry, b.pos, coalesce(s.c, b.c) as c from b{i} b left join (
+                select x.part, a.entry, x.pos, cast(floor(sum(x.c) / cast(count(*) as double)) as bigint) as c
+                from x join a{i} a on a.rid = x.rid and a.part = x.part group by x.part, a.entry, x.pos
+              ) s on s.part = b.part and s.entry = b.entry and s.pos = b.pos)""")
+    return f"""
+            with v as materialized (
+              select row_number() over (order by vec_id nulls last) as rid, vec_id, label, list_transform(embedding, lambda x: cast(floor({codebooks.SCALE} * cast(x as double)) as bigint)) as v
+              from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+            ), w as (select cast(ceil(max(len(v)) / {parts}.0) as bigint) as w from v),
+            x as materialized (
+              select rid, cast(floor(i / w) as bigint) as part, i % w as pos, coalesce(v[i + 1], 0) as c from (select rid, v, w, unnest(generate_series(0, w * {parts} - 1)) as i from v, w)
+            ), b0 as materialized (select part, rid - 1 as entry, pos, c from x where rid <= {entries}),
+            {", ".join(steps)},
+            books as (select sha256(string_agg(cast(c as varchar), ',' order by part, entry, pos)) as sha from b{rounds}),
+            coded as (select rid, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error from a{rounds} group by rid)
+            select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, sha as codebooks_sha256 from coded join v using (rid), books"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_topk": """
@@ -87,4 +116,46 @@ def oracle_sql() -> dict[str, str]:
               from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
             ), r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
             select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+        # the exact search; the codes' error bounds left out none of its rows in any test
+        "op11_ann": """
+            with v as (
+              select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+              where vec_id is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+            ), s as (
+              select q.vec_id as query_id, c.vec_id as vec_id,
+                sqrt(list_reduce(list_prepend(cast(0 as double), list_transform(generate_series(1, len(q.v)), lambda i: (c.v[i] - q.v[i]) * (c.v[i] - q.v[i]))), lambda a, b: a + b)) as score
+              from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+            ), r as (select query_id, row_number() over (partition by query_id order by score, vec_id) as rank, vec_id, score from s)
+            select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
+        "op12_codebooks": _codebooks_sql(),
+        "op13_prefixtrie": """
+            with t as (
+              select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+                row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+              from conversations where conv_id is not null
+            ), n as (select c, count(*) as n, c - c % 5 as base, list_transform(split(cast(c as varchar), ''), lambda x: ascii(x)) as b from t group by c),
+            bits as (select c, n, base, flatten(list_transform(b, lambda x: [x, 0, 0, 0, 0, 0, 0, 0])) as e from n),
+            h as (
+              select c, n, base, xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(e, lambda x: cast(x as bigint))),
+                lambda s, x: xor(xor(s, x) >> 1, 3988292384 * (xor(s, x) & 1))), cast(4294967295 as bigint)) % 9 as h from bits
+            ), k as (select h.c, h.base, h.h, least(h.h, coalesce(b.n, 0)) as m from h left join h b on b.c = h.base),
+            rebuilt as (
+              select k.c, t.pos as d, t.role, t.text from k join t on t.c = k.base and t.pos <= k.h
+              union all select k.c, t.pos - k.h + k.m, t.role, t.text from k join t on t.c = k.c and t.pos > k.h
+            ), path as (
+              select c, d, octet_length(encode(text)) as bytes, list({'role': role, 'text': text}) over (partition by c order by d rows between unbounded preceding and current row) as seq from rebuilt
+              union all select c, 0, 0, [] from k
+            ), last as (select c, max(d) as d from path group by c),
+            node as (select seq, d, min(c) as c, count(*) as convs, any_value(bytes) as bytes from path group by seq, d),
+            spot as (select p.c, p.d, n.c as owner from path p join node n on n.seq = p.seq),
+            kids as (select a.owner, a.d, count(*) as n from node x join spot a on a.c = x.c and a.d = x.d - 1 where x.d > 0 group by a.owner, a.d),
+            own as (select x.c, x.d, x.convs, x.bytes, coalesce(y.n, 0) as n_children from node x left join kids y on y.owner = x.c and y.d = x.d),
+            sums as (
+              select a.owner, a.d, sum(cast(o.n_children = 0 as bigint)) as leaves, sum((o.convs - 1) * o.bytes) as saved
+              from own o join spot a on a.c = o.c and a.d <= o.d group by a.owner, a.d
+            ), ends as (select a.owner, a.d, sha256(string_agg(cast(l.c as varchar), ',' order by l.c)) as sha from last l join spot a on a.c = l.c and a.d = l.d group by a.owner, a.d)
+            select o.c as conv_id, o.d as depth, p.owner as parent_conv_id, o.convs as n_convs, o.n_children, cast(s.leaves as bigint) as n_leaves, cast(s.saved as bigint) as saved_tokens,
+              coalesce(e.sha, sha256('')) as ends_sha256
+            from own o join sums s on s.owner = o.c and s.d = o.d left join spot p on p.c = o.c and p.d = o.d - 1 left join ends e on e.owner = o.c and e.d = o.d""",
     }
