@@ -12,7 +12,7 @@ REVERT_WINDOW = 30 * 86400
 BLOCK = 7
 EXCLUDED_REFS = r"^refs/(?:stash$|notes/|keep/|replace/|pull/)"
 #: Columns that a later sight of a commit does not change.
-KEPT = ["author_name", "author_email", "authored_at", "committed_at", "is_revert", "reverted_by_sha"]
+KEPT = ["author_name", "author_email", "committer_name", "committer_email", "authored_at", "committed_at", "is_revert", "reverted_by_sha"]
 
 
 def topology(commits: DataFrame) -> DataFrame:
@@ -68,7 +68,17 @@ def reverts(commits: DataFrame, window: int = REVERT_WINDOW) -> DataFrame:
     The prefixes have at least seven digits, so seven digits are the join's key; the rest is a residual condition.
     Of several reverts the latest counts, then the larger hash.
     """
-    by = commits.select(F.col("sha").alias("by"), F.col("committed_at").alias("at"), T.reverted_prefix(F.col("body")).alias("prefix")).where("prefix is not null")
+    return reverts_of(revert_marks(commits), commits, window)
+
+
+def revert_marks(commits: DataFrame, *keep: str) -> DataFrame:
+    """``(sha, at, prefix)`` of the commits whose message reverts another."""
+    return commits.select("sha", F.col("committed_at").alias("at"), T.reverted_prefix(F.col("body")).alias("prefix"), *keep).where("prefix is not null")
+
+
+def reverts_of(marks: DataFrame, commits: DataFrame, window: int = REVERT_WINDOW) -> DataFrame:
+    """As ``reverts``, from the marks and the hashes and times of all commits."""
+    by = marks.select(F.col("sha").alias("by"), "at", "prefix")
     target = commits.select("sha", "committed_at", F.substring("sha", 1, BLOCK).alias("block"))
     hit = by.withColumn("block", F.substring("prefix", 1, BLOCK)).join(target, "block").where(F.col("sha").startswith(F.col("prefix")) & (F.col("sha") != F.col("by")) & (F.abs(F.col("committed_at") - F.col("at")) <= window))
     return hit.groupBy("sha").agg(F.max_by("by", F.struct("at", "by")).alias("reverted_by"))
@@ -80,9 +90,9 @@ def one_each(rows: DataFrame, key: str = "sha") -> DataFrame:
     return rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*").select(*rows.columns) if rest else rows.distinct()
 
 
-def merge_commits(old: DataFrame, new: DataFrame) -> DataFrame:
+def merge_commits(old: DataFrame, new: DataFrame, deduplicated: bool = False) -> DataFrame:
     """Keyed upsert: new rows win, but columns in ``KEPT`` keep an old row's values; new rows are deduplicated first."""
-    fresh = one_each(new)
+    fresh = new if deduplicated else one_each(new)
     o, n = old.alias("o"), fresh.alias("n")
     cols = [(F.when(F.col("o.sha").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")) if c in KEPT else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))).alias(c) for c in old.columns]
     return o.join(n, F.col("o.sha") == F.col("n.sha"), "full").select(*cols)

@@ -167,9 +167,18 @@ def corpus(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(size), F.lit(0)).alias("tokens"))
 
 
+#: Small row groups and pages, so that a query reads little beside its terms.
+POSTINGS = {"parquet.block.size": 8 << 20, "parquet.page.size": 128 << 10}
+
+
+def live(post: DataFrame, stale: DataFrame, key: str) -> DataFrame:
+    """The postings of segments (column ``part``) without those that a later segment replaced: of a document in ``stale`` (key, upto), all before ``upto``."""
+    return post.join(stale.withColumnRenamed("upto", "_upto"), key, "left").where(F.col("_upto").isNull() | (F.col("part") >= F.col("_upto"))).drop("_upto")
+
+
 def write_postings(post: DataFrame, path: str, key: str) -> None:
     """The postings in ranges of (term, key), sorted: a hot term spans several files, and statistics of files and row groups skip the others."""
-    post.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").option("parquet.block.size", 8 << 20).option("parquet.page.size", 128 << 10).parquet(path)
+    post.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").options(**POSTINGS).parquet(path)
 
 
 def looked_up(post: DataFrame, key: str, terms: list[Term], weights: dict[str, float], documents: int, tokens: int, keep=None) -> DataFrame:
