@@ -186,58 +186,3 @@ def range_between(commits: DataFrame, a: str, b: str) -> DataFrame:
     """``(sha)`` of the commits that ``b`` reaches and ``a`` does not."""
     line, links = chains(commits)
     return reachable(line, links, b).join(reachable(line, links, a), "sha", "left_anti")
-
-
-def membership(commits: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Which references reach which commits, as ``(sha, ref_set)`` and the sets' members ``(ref_set, name, ref_type)``.
-
-    Commits with the same references share a set, so the first table has one row a commit and the second is small; their
-    join is the many-to-many table (see ``commit_refs``). Commits that no reference reaches have no row. The walk runs
-    over chains: on the driver, with the references as bits of one number a chain, as long as there are at most
-    ``MOST_LINKS`` links and references; beyond that level by level.
-    """
-    from .graph import checkpointed
-
-    spark = commits.sparkSession
-    tips = checkpointed(refs.select("name", "sha", "ref_type").distinct().join(commits.select("sha"), "sha", "left_semi"))
-    line, links = chains(commits, tips)
-    starts = checkpointed(tips.join(line.select("sha", "top"), "sha").select("top", "name", "ref_type"))
-    if links.count() + starts.count() <= MOST_LINKS:
-        up: dict[str, list[str]] = {}
-        waits: dict[str, int] = {}
-        for r in links.collect():  # size checked
-            up.setdefault(r["a"], []).append(r["b"])
-            waits[r["b"]] = waits.get(r["b"], 0) + 1
-        found = sorted((r["name"], r["ref_type"], r["top"]) for r in starts.collect())  # size checked
-        bits: dict[str, int] = {}
-        for i, (_name, _type, top) in enumerate(found):
-            bits[top] = bits.get(top, 0) | 1 << i
-        ready = [t for t in {*up, *bits} if not waits.get(t)]
-        while ready:  # children before parents
-            top = ready.pop()
-            own = bits.get(top, 0)
-            for b in up.get(top, ()):
-                if own:
-                    bits[b] = bits.get(b, 0) | own
-                waits[b] -= 1
-                if not waits[b]:
-                    ready.append(b)
-        number = {own: i for i, own in enumerate(sorted(set(bits.values())))}
-        of_top = spark.createDataFrame([(top, number[own]) for top, own in sorted(bits.items())], "top string, ref_set long")
-        sets = spark.createDataFrame([(i, *found[j][:2]) for own, i in number.items() for j in range(own.bit_length()) if own >> j & 1], "ref_set long, name string, ref_type string")
-    else:
-        every, front = starts, starts
-        while not front.isEmpty():
-            ahead = front.join(links, front["top"] == links["a"]).select(F.col("b").alias("top"), "name", "ref_type").distinct()
-            front = checkpointed(ahead.join(every, ["top", "name", "ref_type"], "left_anti"))
-            every = checkpointed(every.union(front))
-        groups = every.groupBy("top").agg(F.sort_array(F.collect_set(F.struct("name", "ref_type"))).alias("r")).withColumn("ref_set", F.xxhash64("r"))
-        of_top = checkpointed(groups.select("top", "ref_set", "r"))
-        sets = of_top.dropDuplicates(["ref_set"]).select("ref_set", F.explode("r").alias("r")).select("ref_set", "r.name", "r.ref_type")
-        of_top = of_top.select("top", "ref_set")
-    return line.join(of_top, "top").select("sha", "ref_set"), sets
-
-
-def commit_refs(member: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(sha, name, ref_type)``: every reference of every commit; a filter on the name reaches the small table of sets."""
-    return member.join(sets, "ref_set").select("sha", "name", "ref_type")

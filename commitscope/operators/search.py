@@ -6,7 +6,7 @@ import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
@@ -215,6 +215,43 @@ def looked_up(post: DataFrame, key: str, terms: list[Term], weights: dict[str, f
     return _bm25_of(rows, key, documents, tokens / documents if documents else 0.0, list(df))
 
 
+def looked_up_many(post: DataFrame, key: str, asked: dict[int, list[Term]], weights: dict[str, float], documents: int, tokens: int) -> DataFrame:
+    """``(query, key, bm25)`` of many queries at once: each posting is read once, whatever number of them want it.
+
+    The queries' words (broadcast: the caller's list) meet the postings; prefixes meet them by their first letters. A
+    query's frequencies by term give its document frequencies and, where all its terms occur, its scores.
+    """
+    spark = post.sparkSession
+    words = [(q, i, j, len(t.words), w, t.prefix and j == len(t.words) - 1, t.column) for q, terms in asked.items() for i, t in enumerate(terms) for j, w in enumerate(t.words)]
+    wanted = F.broadcast(spark.createDataFrame(words, "query int, no int, place int, words int, word string, prefix boolean, only string"))
+    plain, starts = sorted({w[4] for w in words if not w[5]}), sorted({w[4] for w in words if w[5]})
+    hits = post.where(F.col("term").isin(plain)).join(wanted.where("not prefix"), F.col("term") == F.col("word"))
+    if starts:
+        firsts = F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sorted({len(w) for w in starts})])
+        begun = post.withColumn("first", F.explode(F.filter(firsts, lambda x: x.isin(starts)))).join(wanted.where("prefix"), F.col("first") == F.col("word")).drop("first")
+        hits = hits.unionByName(begun)
+    hits = hits.withColumn("hits", F.filter("hits", lambda h: F.col("only").isNull() | (h["col"] == F.col("only"))))
+    per = ["query", "no", key]
+    count = lambda c: F.aggregate(F.filter("hits", lambda h: h["col"] == c), F.lit(0), lambda a, h: a + F.size(h["positions"]))
+    one = [F.sum(count(c)).alias(f"n_{c}") for c in weights]
+    freq = hits.where("words = 1").groupBy(*per).agg(F.first("size").alias("d"), *one)
+    if any(len(t.words) > 1 for terms in asked.values() for t in terms):
+        spots = hits.where("words > 1").select(*per, "size", "place", "words", F.explode("hits").alias("h")).select(*per, "size", "place", "words", "h.col", F.explode("h.positions").alias("pos"))
+        rows = spots.groupBy(*per, "size", "words", "col", (F.col("pos") - F.col("place")).alias("start")).agg(F.count_distinct("place").alias("met")).where("met = words")
+        freq = freq.unionByName(rows.groupBy(*per).agg(F.first("size").alias("d"), *[F.count_if(F.col("col") == c).alias(f"n_{c}") for c in weights]))
+    f = sum((F.lit(float(w)) * F.col(f"n_{c}") for c, w in weights.items()), F.lit(0.0))
+    freq = checkpointed(freq.select(*per, "d", f.alias("f")).where("f > 0"))
+    raw = F.log((F.lit(float(documents)) - F.col("m") + 0.5) / (F.col("m") + 0.5))
+    idf = freq.groupBy("query", "no").agg(F.count(F.lit(1)).alias("m")).select("query", "no", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
+    average = tokens / documents if documents and tokens else 1.0
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.lit(average)))
+    # one row a term of a query; its parts are added up in the query's order
+    scored = freq.join(F.broadcast(idf), ["query", "no"]).groupBy("query", key).agg(F.sort_array(F.collect_list(F.struct("no", part.alias("part")))).alias("parts"))
+    sizes = F.broadcast(spark.createDataFrame([(q, len(terms)) for q, terms in asked.items()], "query int, terms int"))
+    total = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["part"])
+    return scored.join(sizes, "query").where(F.size("parts") == F.col("terms")).select("query", key, (-total).alias("bm25"))
+
+
 def _bm25_of(rows: DataFrame, key: str, n: int, average: float, df: list[int]) -> DataFrame:
     """``(key, bm25)`` of the rows (key, d, f0, f1, ...) in which every term occurs."""
     total = F.lit(0.0)
@@ -279,6 +316,18 @@ def ranked(scored: DataFrame, index: Index, q: Query, now: int, monotone: bool =
     return _best(hits, q)
 
 
+def ranked_many(scored: DataFrame, index: Index, q: Query, now: int, monotone: bool = False, half_life: float = 180.0) -> DataFrame:
+    """``ranked`` for many queries (query, sha, bm25) with the same filters and limit: each one's best by ``rank``, and its ``total_available``."""
+    if not 0 < q.limit <= MOST:
+        raise EngineError("limit_too_large", f"limit must be 1 to {MOST}")
+    hits = _factors(filtered(index, q.filters).join(scored, "sha"), scored, index, q, now, monotone, half_life, "query")
+    hits = hits.withColumn("score", blend(BLEND, lexical="lexical", path="path_relevance", recency="recency"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("committed_at"), "sha")
+    total = hits.groupBy("query").agg(F.count(F.lit(1)).alias("total_available"))
+    # Spark keeps each task's first rows of a query before they meet, so no task sees all hits of one
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= q.limit).join(F.broadcast(total), "query")
+
+
 def ranked_hybrid(scored: DataFrame, near: DataFrame, index: Index, q: Query, now: int, monotone: bool = False, half_life: float = 180.0) -> DataFrame:
     """As ``ranked``, over the commits of either side: scored ones and ``near`` (sha, semantic); a side that lacks a commit counts 0."""
     if not 0 < q.limit <= MOST:

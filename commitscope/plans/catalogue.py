@@ -12,6 +12,7 @@ from ..operators import analytics as A
 from ..operators import identity as I
 from ..operators import ingest as G
 from ..operators import metrics as M
+from ..operators import reach as C
 from ..operators import search as S
 from ..operators import stories as R
 from ..operators.classify import COUNTERS as CATEGORY_COUNTERS
@@ -292,7 +293,7 @@ def commit_refs_membership(spark, d):
     state = h.refs.where("ref_type = 'branch'").join(spark.read.parquet(f"{d}/orders.parquet").select(F.sha1(F.concat(F.lit("commit:"), F.col("o_orderkey").cast("string"))).alias("sha"), "o_orderkey", "o_orderstatus"), "sha", "right")
     tips = state.groupBy(F.lower("o_orderstatus").alias("s")).agg(F.max_by("sha", "o_orderkey").alias("sha")).select(F.concat(F.lit("refs/heads/"), F.col("s")).alias("name"), "sha", F.lit("branch").alias("ref_type"))
     tips = tips.union(h.commits.where("k % 5000 = 0").select(F.concat(F.lit("refs/tags/t"), F.col("k").cast("string")), "sha", F.lit("tag")))
-    return G.commit_refs(*G.membership(h.commits, tips))
+    return C.membership(h.commits, tips)
 
 
 ALIAS = r"""x_alias as (select author_name, author_email, count(*) as commits, min(committed_at) as first_at, max(committed_at) as last_at,
