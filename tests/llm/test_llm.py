@@ -451,6 +451,65 @@ def test_near_duplicates_stage_equals_brute_force(spark, monkeypatch, all_pairs)
     assert len(more) == len(got) + 2
 
 
+def _template(rng, n, share, words=100):
+    """Pages of one template with words of their own, so that any two share ``share`` of their shingles or so."""
+    base = [f"t{i}" for i in range(words)]
+    own = round((1 - share) / (1 + share) * (words - 4) / 5)
+    pages = []
+    for p in range(n):
+        t = list(base)
+        for k in range(own):
+            t[2 + 5 * (k + 1) + 5 * ((words // 5 - own) // 2)] = f"p{p}w{k}"
+        pages.append(t)
+    return pages
+
+
+@pytest.mark.parametrize("small_blocks", [False, True])
+def test_near_duplicates_in_dense_clouds_equal_brute_force(spark, monkeypatch, small_blocks):
+    """Templated pages just below the threshold, all of them candidates of each other, with planted pairs just above it."""
+    if small_blocks:
+        monkeypatch.setattr(nearcopies, "BLOCK_TEXTS", 37)
+    rng = random.Random(3)
+    texts = []
+    for share, n in ((0.75, 120), (0.78, 240), (0.82, 60)):
+        pages = _template(rng, n, share, 130 if share < 0.8 else 90)
+        near = [list(p) for p in pages[:30]]
+        for t in near:
+            t[0] = f"x{rng.random()}"  # at the very edge one shingle differs
+        texts += [f"{'' if share < 0.8 else 'c '}" + " ".join(p) for p in pages + near]
+    texts += ["", " ", " \n", "one", "ONE", "two"] + ["w " * 40 + f"end{i}" for i in range(40)]
+    group = _groups(texts)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs(spark, texts), "").collect())
+    assert got == sorted(set(group))
+    assert len(texts) - len(got) > 100
+
+
+def test_forest_joins_all_that_alike_sets_join():
+    rng = np.random.default_rng(4)
+    sets = []
+    for g in range(12):
+        base = rng.choice(10**6, 60, replace=False).astype(np.uint64)
+        for _ in range(8):
+            t = base.copy()
+            t[rng.choice(60, rng.integers(0, 9), replace=False)] = rng.choice(10**6, 1).astype(np.uint64)
+            sets.append(np.unique(t))
+    sets += [np.empty(0, np.uint64)] * 3
+    order = rng.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    for first in (None, 40):
+        comp = np.arange(len(sets))
+        comp[:20] = comp[0]
+        want, got = comp.copy(), comp.copy()
+        pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if (i < j if first is None else i < first <= j)]
+        for i, j in pairs:
+            if nearcopies.alike(sets[i], sets[j]):
+                want[want == want[j]] = want[i]
+        for i, j in nearcopies.forest(sets, comp, first):
+            assert nearcopies.alike(sets[i], sets[j])
+            got[got == got[j]] = got[i]
+        assert all((want[i] == want[j]) == (got[i] == got[j]) for i in range(len(sets)) for j in range(i))
+
+
 def _lengths(spark):
     """Three sources of uneven size; most words stand in documents far longer than a block."""
     rng = random.Random(8)
