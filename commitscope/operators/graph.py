@@ -5,24 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A table written in the checkpoint folder that the session names, and read back: it cuts lineage, survives lost executors and is computed once.
-
-    A temporary folder takes its place only for a local master without one.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the checkpoint folder that the session names, which all executors share; a temporary folder takes its place only for a local master without one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="commitscope-")
         sc.setCheckpointDir(folder)
-    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A table written in the shared folder and read back: it cuts lineage, survives lost executors and is computed once."""
+    path = shared_path(df.sparkSession, "tables")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -181,10 +181,11 @@ def write_postings(post: DataFrame, path: str, key: str) -> None:
     post.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").options(**POSTINGS).parquet(path)
 
 
-def looked_up(post: DataFrame, key: str, terms: list[Term], weights: dict[str, float], documents: int, tokens: int, keep=None) -> DataFrame:
+def looked_up(post: DataFrame, key: str, terms: list[Term], weights: dict[str, float], documents: int, tokens: int, keep=None, matched: list | None = None) -> DataFrame:
     """``(key, bm25)`` over stored postings: reads the query's terms only; document frequencies are counted before any filter.
 
-    ``keep`` may hold the terms' frequencies by document, which the count and the scores share.
+    ``keep`` may hold the terms' frequencies by document, which the count and the scores share. ``matched`` is given the
+    number of documents in which all terms occur, from the same count.
     """
     words = sorted({w for t in terms for w in (t.words[:-1] if t.prefix else t.words)})
     wanted = F.col("term").isin(words) if words else F.lit(False)
@@ -211,8 +212,11 @@ def looked_up(post: DataFrame, key: str, terms: list[Term], weights: dict[str, f
         freq.append(total)
     rows = rows.select(key, "d", *[f.alias(f"f{i}") for i, f in enumerate(freq)])
     rows = keep(rows) if keep else rows
-    df = rows.agg(*[F.count_if(F.col(f"f{i}") > 0) for i in range(len(terms))]).first()
-    return _bm25_of(rows, key, documents, tokens / documents if documents else 0.0, list(df))
+    every = F.expr(" and ".join(f"f{i} > 0" for i in range(len(terms))))
+    *df, both = rows.agg(*[F.count_if(F.col(f"f{i}") > 0) for i in range(len(terms))], F.count_if(every)).first()
+    if matched is not None:
+        matched.append(both)
+    return _bm25_of(rows, key, documents, tokens / documents if documents else 0.0, df)
 
 
 def looked_up_many(post: DataFrame, key: str, asked: dict[int, list[Term]], weights: dict[str, float], documents: int, tokens: int) -> DataFrame:
@@ -307,13 +311,13 @@ def search(docs: DataFrame, index: Index, q: Query, now: int, monotone: bool = F
     return ranked(bm25(docs, "sha", parse(q.text), WEIGHTS), index, q, now, monotone, half_life)
 
 
-def ranked(scored: DataFrame, index: Index, q: Query, now: int, monotone: bool = False, half_life: float = 180.0) -> DataFrame:
-    """The blend of scored commits with path relevance and recency; see ``search``."""
+def ranked(scored: DataFrame, index: Index, q: Query, now: int, monotone: bool = False, half_life: float = 180.0, total: int | None = None) -> DataFrame:
+    """The blend of scored commits with path relevance and recency; see ``search``. ``total``: the number of hits, where it is known."""
     if not 0 < q.limit <= MOST:
         raise EngineError("limit_too_large", f"limit must be 1 to {MOST}")
     hits = _factors(filtered(index, q.filters).join(scored, "sha"), scored, index, q, now, monotone, half_life)
     hits = hits.withColumn("score", blend(BLEND, lexical="lexical", path="path_relevance", recency="recency"))
-    return _best(hits, q)
+    return _best(hits, q, total)
 
 
 def ranked_many(scored: DataFrame, index: Index, q: Query, now: int, monotone: bool = False, half_life: float = 180.0) -> DataFrame:
@@ -349,9 +353,10 @@ def _factors(hits: DataFrame, found: DataFrame, index: Index, q: Query, now: int
     return hits.select("sha", "subject", F.col("author_name").alias("author"), "committed_at", lexical.alias("lexical"), path.alias("path_relevance"), recent.alias("recency"), *more)
 
 
-def _best(hits: DataFrame, q: Query) -> DataFrame:
+def _best(hits: DataFrame, q: Query, total: int | None = None) -> DataFrame:
     # the number of hits needs neither the factors nor a sort: Spark leaves both out of this count
-    return hits.orderBy(F.desc("score"), F.desc("committed_at"), "sha").limit(q.limit).withColumn("total_available", F.lit(hits.count()).cast("long"))
+    total = hits.count() if total is None else total
+    return hits.orderBy(F.desc("score"), F.desc("committed_at"), "sha").limit(q.limit).withColumn("total_available", F.lit(total).cast("long"))
 
 
 def blend(weights: dict[str, float], **columns: str):

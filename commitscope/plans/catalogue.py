@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import identity as I
@@ -17,6 +18,7 @@ from ..operators import search as S
 from ..operators import stories as R
 from ..operators.classify import COUNTERS as CATEGORY_COUNTERS
 from ..operators.classify import classify, patterns
+from ..operators.graph import shared_path
 from ..sources import gitlog as L
 from ..streaming import incremental as X
 from .history import SQL as H
@@ -450,6 +452,32 @@ def bm25_stored_postings(spark, d):
     return S.looked_up(S.inverted(docs, "sha", columns), "sha", S.parse("urgent feat"), S.WEIGHTS, n, tokens).select("sha", _r("bm25", "bm25"))
 
 
+BATCH = ["urgent feat", "high", "low docs src"]
+
+
+def _batch_sql():
+    """One set of scores a query, over the same documents."""
+    each = [_weighted_sql(q.split()).removeprefix(DOCS + ", ") for q in BATCH]
+    for i, sql in enumerate(each):
+        for name in ("x_toks", "x_freq", "x_stat", "x_bm25"):
+            sql = sql.replace(name, f"{name}{i}")
+        each[i] = sql
+    ranked = " union all ".join(f"select {i} as query, sha, bm25 from x_bm25{i}" for i in range(len(BATCH)))
+    return f"""{DOCS}, {", ".join(each)}, x_all as ({ranked}), x_scored as (
+  select query, c.sha, committed_at, 0.50 / (1 + abs(bm25)) + 0.20 * pow(0.5, greatest({NOW_SQL} - committed_at, 0) / (180 * 86400.0)) as score, count(*) over (partition by query) as total_available from x_all join commits c using (sha))
+select query, rank, sha, round(score, 6) as score, total_available from (select *, row_number() over (partition by query order by score desc, committed_at desc, sha) as rank from x_scored) where rank <= 40"""
+
+
+@query(_batch_sql())
+def search_batch(spark, d):
+    """Many searches over stored postings in one job, each one's best hits."""
+    h = history(spark, d)
+    docs, columns = _commit_docs(h), list(S.WEIGHTS)
+    n, tokens = S.corpus(docs, columns).first()
+    scored = S.looked_up_many(S.inverted(docs, "sha", columns), "sha", {i: S.parse(q) for i, q in enumerate(BATCH)}, S.WEIGHTS, n, tokens)
+    return S.ranked_many(scored, _index(h), S.Query("", S.Filters(), 40), _now(h)).select("query", F.col("rank").cast("long").alias("rank"), "sha", _r("score", "score"), "total_available")
+
+
 @query(_ranked_sql(["urgent"], IN_SRC, "src", 50))
 def blended_search_topk(spark, d):
     return _search(spark, d, S.Query("urgent", S.Filters(path="src"), 50))
@@ -580,6 +608,23 @@ def story_titles(spark, d):
     return R.stories(member, h.commits, h.files).select("story", "title", "first_at", "last_at", "commit_count", "author_count", F.array_join("top_paths", ",").alias("top_paths"), _r("coherence", "coherence"), "coherent")
 
 
+@query(rf"""x_m as (select sha, committed_at, author_email, subject, sha1('commit:' || (k - k % 7)) as story from commits),
+x_w as (select *, regexp_split_to_array(regexp_replace(subject, '^[a-z]+(\([^)]+\))?:\s+', ''), '\s+') as words from x_m),
+x_base as (select story, count(*) as commit_count, count(distinct lower(author_email)) as author_count, min(committed_at) as first_at, max(committed_at) as last_at, min(words) as lo, max(words) as hi from x_w group by story),
+x_len as (select *, least(len(lo), len(hi)) as most, coalesce(nullif(list_position(list_transform(generate_series(1, least(len(lo), len(hi))), lambda i: lo[i] = hi[i]), false), 0) - 1, least(len(lo), len(hi))) as n from x_base),
+x_d as (select distinct sha, {TOP} as dir from files), x_touch as (select story, sha, dir from x_m join x_d using (sha)),
+x_top as (select story, list(dir order by n desc, dir)[1:5] as top from (select story, dir, count(*) as n from x_touch group by 1, 2) group by story),
+x_share as (select story, avg(share) as coherence from (select story, sha, avg(cast(list_contains(top, dir) as double)) as share from x_touch join x_top using (story) group by 1, 2) group by story)
+select story, case when n > 0 then array_to_string(lo[1:n], ' ') || ' ' || coalesce(top[1], '.') else commit_count || ' commits to ' || coalesce(top[1], '.') end as title, first_at, last_at, commit_count, author_count,
+  coalesce(array_to_string(top, ','), '') as top_paths, round(coalesce(coherence, 1.0), 6) as coherence, coalesce(coherence, 1.0) >= 0.5 as coherent
+from x_len left join x_top using (story) left join x_share using (story)""")
+def story_titles_of_sevens(spark, d):
+    """Titles, paths and coherence of stories whose members a plain rule gives: seven commits in a row."""
+    h = history(spark, d)
+    member = h.commits.select("sha", F.sha1(F.concat(F.lit("commit:"), (F.col("k") - F.col("k") % 7).cast("string"))).alias("story"))
+    return R.stories(member, h.commits, h.files).select("story", "title", "first_at", "last_at", "commit_count", "author_count", F.array_join("top_paths", ",").alias("top_paths"), _r("coherence", "coherence"), "coherent")
+
+
 @query("select sha, subject from commits")
 def dedup_commits(spark, d):
     c = history(spark, d).commits.select("sha", "subject")
@@ -595,6 +640,32 @@ def upsert_merge(spark, d):
     return G.merge_commits(old.union(c.where("k % 3 = 0 and k % 2 <> 0").drop("k")), new.union(new))
 
 
+@query(REVERTS + ", " + KINDS + f""", x_counts as (select sha, {COUNTERS} from files join x_kinds using (path) group by sha),
+x_tips as (select max(k) as k from commits union all select k from commits where k % 5000 = 0), x_who as (select lower(author_email) as email, count(*) as n from commits group by 1)
+select sha, subject, coalesce(n_code, 0) as n_code, coalesce(n_test, 0) as n_test, reverted_by, (select count(*) from x_tips t where t.k >= c.k) as refs, x_who.n as author_commits
+from commits c left join x_rev using (sha) left join x_counts using (sha) join x_who on email = lower(author_email)""")
+def incremental_equals_cold(spark, d):
+    """An index of the first nine tenths of the history, then a delta: its tables are those of the whole history, which is what the SQL reads."""
+    h = history(spark, d)
+    files = h.files.groupBy("sha").agg(F.collect_list(F.struct("path", "status", "insertions", "deletions")).alias("files"))
+    commits = h.commits.join(files, "sha", "left").withColumn("files", F.coalesce("files", F.array().cast(files.schema["files"].dataType)))
+    last = h.commits.agg(F.max("k")).first()[0]
+    first = last * 9 // 10
+    e = Engine(spark, shared_path(spark, "engines"))
+    tips = lambda upto: h.commits.where((F.col("k") <= upto) & ((F.col("k") % 5000 == 0) | (F.col("k") == upto))).select(
+        F.explode(F.expr(f"array_compact(array(if(k % 5000 = 0, concat('refs/tags/t', k), null), if(k = {upto}, 'refs/heads/main', null)))")).alias("name"), "sha"
+    ).withColumn("ref_type", F.when(F.col("name") == "refs/heads/main", "branch").otherwise("tag"))
+    # the delta also brings back commits that are known already
+    for low, high in ((-1, first), (first - 100, last)):
+        e.index(commits.where((F.col("k") > low) & (F.col("k") <= high)).drop("k"), tips(high))
+    refs = e.commit_refs().groupBy("sha").agg(F.count(F.lit(1)).alias("refs"))
+    out = e.table("commits").select("sha", "subject", "author_email").join(e.table("counters").select("sha", "n_code", "n_test"), "sha", "left").join(e.table("reverts"), "sha", "left").join(refs, "sha", "left")
+    who = e.table("aliases").groupBy(F.lower("email").alias("email")).agg(F.sum("commits").alias("author_commits"))
+    out = out.join(who, F.lower("author_email") == F.col("email"))
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_code", "n_test", "refs")]
+    return out.select("sha", "subject", *zero, "reverted_by", "author_commits")
+
+
 @query("select sha from commits where k % 10 >= 7")
 def incremental_delta(spark, d):
     c = history(spark, d).commits

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..indexing import Run, Settings
 from ..operators.ingest import merge_commits, one_each
+from ..sources.files import Store
+from ..sources.parts import Manifest, Parts
 
 
 def moved(refs: DataFrame, watermark: DataFrame) -> DataFrame:
@@ -40,6 +44,47 @@ def index_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQue
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_stream(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """As ``index_stream``, into parts: a micro-batch rewrites the quarters of the commits that it changes and no others.
+
+    A batch's manifest is written last, so a killed batch leaves the state before it and is made again; ``merged`` reads
+    the newest. Commits need ``sha`` and ``committed_at``.
+    """
+
+    def batch(df: DataFrame, no: int) -> None:
+        spark, store = df.sparkSession, Store(df.sparkSession)
+        parts, numbers = Parts(spark, store, f"{folder}/parts"), [n for n in _batches(store, folder) if n < no]
+        before = _manifest(store, folder, numbers[-1]) if numbers else {}
+        run = Run(spark, parts, before, no, Settings(), lambda _step: None)
+        changed = run.changes(df)
+        months = [r["part"] for r in changed.select("part").distinct().collect()]
+        now = before
+        if months or run.cold:
+            rows = changed.drop("is_new")
+            if not run.cold:
+                rows = run.old("commits", months).join(changed.select("sha"), "sha", "left_anti").unionByName(rows)
+            now = parts.write(before, "commits", rows, no, replaced=months)
+        store.write(f"{folder}/batch={no}.json", json.dumps(now))
+        parts.drop_unused([before, now])
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _batches(store: Store, folder: str) -> list[int]:
+    return sorted(int(n[6:-5]) for n in store.names(folder) if n.startswith("batch=") and n.endswith(".json"))
+
+
+def _manifest(store: Store, folder: str, no: int) -> Manifest:
+    return json.loads(store.read(f"{folder}/batch={no}.json"))
+
+
+def merged(spark: SparkSession, folder: str) -> DataFrame:
+    """The commits of a ``merge_stream``, as of its last complete batch."""
+    store = Store(spark)
+    own = _manifest(store, folder, _batches(store, folder)[-1])
+    return Parts(spark, store, f"{folder}/parts").read(own, "commits").drop("part", "version")
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
     """Counts and sums per window and type; with ``late``, events behind the watermark by more are dropped."""
     e = events.withWatermark("ts", late) if late else events
