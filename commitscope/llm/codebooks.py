@@ -132,7 +132,7 @@ def _sums(vectors: DataFrame, books: Codebooks) -> DataFrame:
     def run(batches):
         total, n = np.zeros((parts, entries, size), np.int64), np.zeros((parts, entries), np.int64)
         for batch in batches:
-            x = _matrix(batch, parts * size).reshape(-1, parts, size)
+            x = _matrix(batch, parts * size).reshape(batch.num_rows, parts, size)
             for p, tree in enumerate(trees.value):
                 index, _ = EntryTree(*tree).nearest(x[:, p])
                 n[p] += np.bincount(index, minlength=entries)
@@ -168,7 +168,7 @@ def encode(vectors: DataFrame, books: Codebooks) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x = _matrix(batch, parts * size).reshape(-1, parts, size)
+            x = _matrix(batch, parts * size).reshape(batch.num_rows, parts, size)
             code, error = np.zeros((len(x), parts), np.uint8), np.zeros(len(x), np.int64)
             for p, tree in enumerate(trees.value):
                 index, d = EntryTree(*tree).nearest(x[:, p])

@@ -7,6 +7,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -17,9 +18,14 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
-#: Folders of this process's own, where a local session names none, by application; and the tables written so far.
+#: Folders of this process's own, where a local session names none, by application.
 _OWN: dict[str, str] = {}
-_WRITTEN: list[str] = []
+#: The tables written so far, thread by thread: a run releases its own only.
+_LOCAL = threading.local()
+
+
+def _written() -> list[str]:
+    return _LOCAL.__dict__.setdefault("paths", [])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,8 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, noted for ``release``."""
-    _WRITTEN.append(f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}")
-    return _WRITTEN[-1]
+    _written().append(f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}")
+    return _written()[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,14 +69,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def noted() -> int:
-    """How many tables are noted so far; give it to ``release`` to remove only later ones."""
-    return len(_WRITTEN)
+    """How many tables this thread has noted so far; give it to ``release`` to remove only later ones."""
+    return len(_written())
 
 
 def release(spark: SparkSession, since: int = 0) -> None:
-    """Remove the intermediate tables written after ``since``; call it when the results that read them are written."""
-    while len(_WRITTEN) > since:
-        remove(spark, _WRITTEN.pop())
+    """Remove the intermediate tables that this thread wrote after ``since``; call it when the results that read them are written."""
+    while len(_written()) > since:
+        remove(spark, _written().pop())
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ span classifier, a logistic regression per kind on the votes and on the span's o
 which decides about the candidates that are not base spans.
 
 Rates start from the documented priors ``PRIOR`` with the weight of ``STRENGTH`` candidates, and a kind's n candidates
-together weigh n * STRENGTH / (n + STRENGTH): a table of any size moves a rate at most halfway from its prior, so a
-text's spans do not hang on the size of the table it stands in. Only the counts of (kind, votes, features) reach the
+together weigh n * STRENGTH / (n + STRENGTH), so a table of any size moves a rate at most halfway from its prior. What
+the table holds still counts: a candidate near the threshold that is no base span may be accepted beside some texts and
+not beside others. Base spans never change. Only the counts of (kind, votes, features) reach the
 driver, at most kinds x 3^labelers x feature bins.
 """
 
@@ -33,8 +34,8 @@ NO, NONE, YES = 0, 1, 2
 PATTERNS = 3 ** len(LABELERS)
 #: Prior rates of a yes among the votes on true and on false candidates, by labeler; the share of true candidates is one half.
 PRIOR = {"pattern": (0.999, 0.30), "shape": (0.85, 0.30), "gazetteer": (0.80, 0.35), "context": (0.85, 0.25), "boundary": (0.90, 0.45)}
-#: Where a kind's labeler knows more: a secret is hardly ever a placeholder.
-PRIOR_OF = {("secret", "gazetteer"): (0.98, 0.35)}
+#: Where a kind's labeler knows more: a secret is hardly ever a placeholder, a number of an order or invoice hardly ever a phone or a card.
+PRIOR_OF = {("secret", "gazetteer"): (0.98, 0.35), ("phone", "context"): (0.98, 0.25), ("card", "context"): (0.98, 0.25)}
 STRENGTH = 100.0
 #: Bins of a span's features: code points, distinct code points, and whether it has digits only, letters only or both.
 LENGTHS, VARIETY, CLASSES = (12, 20, 40), (6, 10), 3

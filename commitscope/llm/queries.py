@@ -70,11 +70,45 @@ def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.build(_table(spark, sf_dir, "conversations"))
 
 
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: the base spans of each kind."""
+    return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6: sizes, and each source's target."""
+    return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def urlfilter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: hosts, paths and rules."""
+    return op8_urlfilter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def merkle_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: lengths and the edited texts."""
+    return op9_merkle(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_pii, op2_simhash, op3_topk, op4_tokens, op5_langid, op6_mixing, op7_license, op8_urlfilter, op9_merkle, op10_sentencepiece, op11_ann, op12_codebooks, op13_prefixtrie]
+    ops = [op1_pii, op2_simhash, op3_topk, op4_tokens, op5_langid, op6_mixing, op7_license, op8_urlfilter, op9_merkle, op10_sentencepiece, op11_ann, op12_codebooks, op13_prefixtrie, pii_counts, mixing_targets, urlfilter_rules, merkle_edits]
     return {f.__name__: f for f in ops}
 
 
+def _targets_sql(rounds: int = 8) -> str:
+    """Shares by weight; a round fixes the sources above three times their size there and shares what is left among the others."""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""t{i + 1} as (select source, size, weight, fixed or target > 3.0 * size as fixed, case when fixed or target > 3.0 * size then 3.0 * size end as held from s{i}),
+            s{i + 1} as (select source, size, weight, fixed, case when fixed then held else ((select sum(size) from t{i + 1}) - coalesce((select sum(held) from t{i + 1}), 0)) * weight / (select sum(weight) from t{i + 1} where not fixed) end as target from t{i + 1})""")
+    return rf"""
+            with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+            g as (select source, cast(sum(size) as double) as size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from d group by source),
+            s0 as (select source, size, weight, false as fixed, (select sum(size) from g) * weight / (select sum(weight) from g) as target from g),
+            {", ".join(steps)}
+            select doc_id, d.size, cast(s.size as bigint) as source_size, round(s.target, 6) as target from d join s{rounds} s on s.source is not distinct from d.source"""
+
+
 def _codebooks_sql(parts: int = codebooks.PARTS, entries: int = codebooks.ENTRIES, rounds: int = codebooks.ROUNDS) -> str:
     """One pair of steps a round: assignment of every part, then floored means."""
     steps = []
@@ -116,6 +150,29 @@ def oracle_sql() -> dict[str, str]:
               from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
             ), r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
             select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+        "pii_counts": r"""
+            with t as (select doc_id, coalesce(text, '') as text from documents),
+            m as (
+              select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) as n_email, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') as ips,
+                list_transform(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) as cards,
+                list_transform(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) as phones from t
+            )
+            select doc_id, n_email, len(list_filter(ips, lambda x: len(list_filter(split(x, '.'), lambda p: not regexp_full_match(p, '0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])'))) = 0)) as n_ip,
+              len(list_filter(cards, lambda x: len(x) between 16 and 19 and list_sum(list_transform(generate_series(1, len(x)), lambda i:
+                case when (len(x) - i) % 2 = 0 then cast(x[i] as integer) when cast(x[i] as integer) > 4 then cast(x[i] as integer) * 2 - 9 else cast(x[i] as integer) * 2 end)) % 10 = 0)) as n_card,
+              len(list_filter(phones, lambda x: len(x) between 8 and 15)) as n_phone from m""",
+        "mixing_targets": _targets_sql(),
+        "urlfilter_rules": r"""
+            with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages),
+            s as (select page_id, coalesce(regexp_extract(rest, '^[^/?#]*'), '') as raw, coalesce(regexp_replace(regexp_extract(rest, '^[^?#]*'), '^[^/?#]*', ''), '') as path from u),
+            p as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from s),
+            r as (select * from (values ('org', '/'), ('example.org', '/es/'), ('example.org', '/en/1'), ('com', '/fr/'), ('com', '/de/')) as x(rule_host, rule_path)),
+            f as (select page_id, rule_host || rule_path as rule, row_number() over (partition by page_id order by len(rule_host || rule_path) desc) as n from p join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
+            select p.page_id, host, path, rule from p left join f on f.page_id = p.page_id and n = 1""",
+        "merkle_edits": """
+            with t as (select doc_id, coalesce(text, '') as text, row_number() over (order by doc_id desc) as r, count(*) over () as n from documents),
+            p as (select a.doc_id, a.text, length(a.text) as size, b.text as next from t a join t b on b.r = a.r % a.n + 1)
+            select doc_id, size as n_chars, sha256(left(text, size - size // 2) || left(next, size // 2)) as edited_sha256 from p""",
         # the exact search; the codes' error bounds left out none of its rows in any test
         "op11_ann": """
             with v as (

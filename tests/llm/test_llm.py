@@ -642,6 +642,25 @@ PII_TEXTS = [
 ]
 
 
+def test_pii_numbers_of_invoices_are_no_phones(spark):
+    texts = ["invoice no. 012-555-0132", "order #212-555-0142", "call 212-555-0142", "isbn 4111 1111 1111 1111 1", "tel 012-555-0132"]
+    got = {r["doc_id"]: [pii.KINDS[x["kind"]] for x in r["spans"]] for r in pii.find(docs(spark, texts)).collect()}
+    assert [got[i] for i in (0, 1, 2, 4)] == [[], [], ["phone"], ["phone"]]
+
+
+def test_release_leaves_other_threads_tables(spark):
+    import threading
+
+    from commitscope.llm import common
+
+    mine = common.written(spark.range(3), "mine")
+    other = threading.Thread(target=lambda: (common.written(spark.range(2), "other"), common.release(spark)))
+    other.start()
+    other.join()
+    assert mine.count() == 3
+    common.release(spark, common.noted() - 1)
+
+
 def test_pii_added_spans_equal_brute_force(spark):
     rng = random.Random(9)
     texts = PII_TEXTS + [" ".join(rng.sample(PII_TEXTS, 3)) for _ in range(60)]
