@@ -350,6 +350,7 @@ def _factors(hits: DataFrame, found: DataFrame, index: Index, q: Query, now: int
         hits = hits.withColumn("dirs", F.lit(None).cast("array<string>"))
     lexical, path = F.coalesce(lexical_factor(F.col("bm25"), monotone), F.lit(0.0)), T.path_relevance(F.coalesce("dirs", F.array().cast("array<string>")), q.filters.path)
     recent = T.recency(F.col("committed_at"), now, half_life)
+    more = [*more, *(c for c in ("author_email",) if c in hits.columns)]
     return hits.select("sha", "subject", F.col("author_name").alias("author"), "committed_at", lexical.alias("lexical"), path.alias("path_relevance"), recent.alias("recency"), *more)
 
 
@@ -359,6 +360,13 @@ def _best(hits: DataFrame, q: Query, total: int | None = None) -> DataFrame:
     return hits.orderBy(F.desc("score"), F.desc("committed_at"), "sha").limit(q.limit).withColumn("total_available", F.lit(total).cast("long"))
 
 
+def with_identities(hits: DataFrame, aliases: DataFrame, identities: DataFrame, *order) -> DataFrame:
+    """Shown hits under the canonical names of their authors, with ``identity``; an author who is not known keeps the raw name."""
+    of = aliases.select(F.col("name").alias("author"), F.col("email").alias("author_email"), "identity").join(identities.select("identity", "canonical_name"), "identity")
+    out = hits.join(of, ["author", "author_email"], "left").withColumn("author", F.coalesce("canonical_name", "author"))
+    return out.select(*[c for c in hits.columns if c != "author_email"], "identity").orderBy(*order)
+
+
 def blend(weights: dict[str, float], **columns: str):
     """Weighted sum of factor columns."""
     return sum((F.lit(w) * F.col(columns[k]) for k, w in weights.items()), F.lit(0.0))
