@@ -28,7 +28,7 @@ from .common import frugal, slices, text_or_empty, worker_cache
 
 SPACE, CUT = "▁", "\x1f"
 #: Distinct units that a worker remembers, texts per step in bytes, positions of a chunk of units advanced together.
-MEMORY_UNITS, SLICE, CHUNK_CELLS = 150_000, 2 << 20, 1 << 20
+MEMORY_UNITS, SLICE, CHUNK_CELLS = 600_000, 2 << 20, 1 << 20
 PAIR_SLOTS, SIEVE_BITS = 1 << 20, 20
 #: Units of more characters are cut first.
 LONG = 48
