@@ -80,9 +80,13 @@ def case_variants(identifier):
 
 
 def code_items(text):
-    """Of each identifier of a text, of three letters or more: its case variants, then its parts of that length."""
+    """Of each identifier of a text, of three letters or more: its case variants, then its parts of that length.
+
+    An identifier of one word is its own only part and has no other variant, which one pattern tells.
+    """
     found = F.filter(F.regexp_extract_all(text, F.lit("([a-zA-Z][a-zA-Z0-9_-]*)")), lambda i: F.length(i) >= 3)
-    return F.flatten(F.transform(found, lambda i: F.concat(case_variants(i), F.filter(F.split(i, "[_-]"), lambda p: F.length(p) >= 3))))
+    several = lambda i: F.concat(case_variants(i), F.filter(F.split(i, "[_-]"), lambda p: F.length(p) >= 3))
+    return F.flatten(F.transform(found, lambda i: F.when(i.rlike("[_-]|[a-z0-9][A-Z]"), several(i)).otherwise(F.array(i))))
 
 
 def expanded(subject, body, dirs, cap: int = 4096):
@@ -94,14 +98,22 @@ def expanded(subject, body, dirs, cap: int = 4096):
     body = F.coalesce(body, F.lit(""))
     whole = F.concat(subject, F.when(body != "", F.concat(F.lit("\n"), body)).otherwise(""), F.array_join(F.transform(dirs, lambda d: F.concat(F.lit(" "), d)), ""))
     items = F.concat(code_items(subject), code_items(body), F.flatten(F.transform(dirs, code_items)))
-    start = F.struct(F.octet_length(whole).alias("n"), F.array().cast("array<string>").alias("out"))
 
-    def add(acc, x):
-        n = acc["n"] + F.length(x) + 1  # items are ASCII
-        return F.when(n < cap, F.struct(n.alias("n"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
+    def fitted(x):
+        start = F.struct(F.octet_length(x["whole"]).alias("n"), F.array().cast("array<string>").alias("out"))
+
+        def add(acc, item):
+            n = acc["n"] + F.length(item) + 1  # items are ASCII
+            return F.when(n < cap, F.struct(n.alias("n"), F.concat(acc["out"], F.array(item)).alias("out"))).otherwise(acc)
+
+        return F.concat_ws(" ", x["whole"], F.aggregate(x["items"], start, add, lambda acc: acc["out"]))
+
+    def text(x):
+        every = F.concat_ws(" ", x["whole"], x["items"])
+        return F.when(F.octet_length(x["whole"]) >= cap, x["whole"]).when(F.octet_length(every) < cap, every).otherwise(fitted(x))
 
-    more = F.aggregate(items, start, add, lambda acc: F.array_join(acc["out"], " "))
-    return F.when(F.octet_length(whole) >= cap, whole).otherwise(F.concat_ws(" ", whole, F.nullif(more, F.lit(""))))
+    # the row of an array of one: the text and its items are found once, whatever number of times the rule names them
+    return F.get(F.transform(F.array(F.struct(whole.alias("whole"), items.alias("items"))), text), F.lit(0))
 
 
 def cut_bytes(text, cap: int, mark: str = "…"):

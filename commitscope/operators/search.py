@@ -184,7 +184,7 @@ def write_postings(post: DataFrame, path: str, key: str) -> None:
 def looked_up(post: DataFrame, key: str, terms: list[Term], weights: dict[str, float], documents: int, tokens: int, keep=None, matched: list | None = None) -> DataFrame:
     """``(key, bm25)`` over stored postings: reads the query's terms only; document frequencies are counted before any filter.
 
-    ``keep`` may hold the terms' frequencies by document, which the count and the scores share. ``matched`` is given the
+    ``keep`` may hold the terms' frequencies by document, which the count and the scores share; left out, they are written. ``matched`` is given the
     number of documents in which all terms occur, from the same count.
     """
     words = sorted({w for t in terms for w in (t.words[:-1] if t.prefix else t.words)})
@@ -211,7 +211,7 @@ def looked_up(post: DataFrame, key: str, terms: list[Term], weights: dict[str, f
             total = total + F.lit(float(weights[column])) * F.size(at)
         freq.append(total)
     rows = rows.select(key, "d", *[f.alias(f"f{i}") for i, f in enumerate(freq)])
-    rows = keep(rows) if keep else rows
+    rows = keep(rows) if keep else checkpointed(rows)
     every = F.expr(" and ".join(f"f{i} > 0" for i in range(len(terms))))
     *df, both = rows.agg(*[F.count_if(F.col(f"f{i}") > 0) for i in range(len(terms))], F.count_if(every)).first()
     if matched is not None:

@@ -18,7 +18,7 @@ from ..operators import search as S
 from ..operators import stories as R
 from ..operators.classify import COUNTERS as CATEGORY_COUNTERS
 from ..operators.classify import classify, patterns
-from ..operators.graph import shared_path
+from ..operators.graph import checkpointed, shared_path
 from ..sources import gitlog as L
 from ..streaming import incremental as X
 from .history import SQL as H
@@ -447,7 +447,7 @@ def bm25_weighted_fields(spark, d):
 def bm25_stored_postings(spark, d):
     """The same scores from the inverted index that an engine stores."""
     h = history(spark, d)
-    docs, columns = _commit_docs(h), list(S.WEIGHTS)
+    docs, columns = checkpointed(_commit_docs(h)), list(S.WEIGHTS)
     n, tokens = S.corpus(docs, columns).first()
     return S.looked_up(S.inverted(docs, "sha", columns), "sha", S.parse("urgent feat"), S.WEIGHTS, n, tokens).select("sha", _r("bm25", "bm25"))
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
+from commitscope.functions import text as T
 from commitscope.operators import graph
 from commitscope.operators import ingest as G
 from commitscope.operators import reach as C
+from commitscope.operators import search as S
 
 
 def _counted(monkeypatch) -> list[int]:
@@ -62,3 +66,28 @@ def test_a_range_over_many_merges_is_not_walked_on_the_driver(spark):
     assert {r["sha"] for r in G.range_between(c, f"{40:03x}", f"{190:03x}").collect()} == {f"{i:03x}" for i in range(41, 191)}
     places, links = G.chains(c)
     assert set(places.columns) == {"sha", "chain", "pos"} and links.count() == 0
+
+
+def test_stored_postings_are_read_once_a_search(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def once(word):
+        seen.add(1)
+        return word
+
+    docs = spark.createDataFrame([(str(i), "red fox" if i % 2 else "red hen") for i in range(20)], "sha string, text string")
+    post = graph.checkpointed(S.inverted(docs, "sha", ["text"]))
+    read = post.withColumn("sha", once(F.col("sha")))
+    got = S.looked_up(read, "sha", S.parse("red fox"), {"text": 1.0}, 20, 40).collect()
+    assert len(got) == 10 and seen.value == 30
+
+
+def test_code_items_of_single_and_compound_words(spark):
+    text = "Revert URGENT word fooBar foo_bar-x a1B ABc HTTPServer v2 Ünder x-"
+    got = spark.range(1).select(T.code_items(F.lit(text))).first()[0]
+    variants = lambda i, *v: [x for x in v if x != i.lower()] + [p for p in i.replace("_", "-").split("-") if len(p) >= 3]
+    assert got == [
+        "Revert", "URGENT", "word", *variants("fooBar", "fooBar", "foo_bar", "foo-bar"), *variants("foo_bar-x", "fooBarX", "foo_bar_x", "foo-bar-x"),
+        *variants("a1B", "a1B", "a1_b", "a1-b"), "ABc", "HTTPServer", "nder",
+    ]
