@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from commitscope.functions import text as T
+from commitscope.operators import analytics as A
 from commitscope.operators import graph
 from commitscope.operators import ingest as G
 from commitscope.operators import reach as C
@@ -91,3 +92,15 @@ def test_code_items_of_single_and_compound_words(spark):
         "Revert", "URGENT", "word", *variants("fooBar", "fooBar", "foo_bar", "foo-bar"), *variants("foo_bar-x", "fooBarX", "foo_bar_x", "foo-bar-x"),
         *variants("a1B", "a1B", "a1_b", "a1-b"), "ABc", "HTTPServer", "nder",
     ]
+
+
+def test_risk_reads_the_files_three_times(spark):
+    rows = [(str(i), 1000 * i, "s", "", f"a{i % 3}@x") for i in range(9)]
+    commits = spark.createDataFrame(rows, "sha string, committed_at long, subject string, body string, author_email string")
+    files = graph.checkpointed(spark.createDataFrame([(str(i), f"src/{i % 4}.rs", 1, 1) for i in range(8)], "sha string, path string, insertions long, deletions long"))
+    tags = spark.createDataFrame([("v1", "3", 3000)], "name string, sha string, tagged_at long")
+    out = A.risk(commits, files, tags, spark.createDataFrame([("2", "5")], "sha string, reverted_by string"), 8000)
+    got = {r["sha"]: r for r in out.collect()}
+    assert len(got) == 9 and got["8"]["f_size"] == 0.0 and got["7"]["f_size"] == 0.05 and got["7"]["f_churn"] == 2 / 50 and got["2"]["f_revert"] == 1.0
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") <= 3
