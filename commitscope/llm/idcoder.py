@@ -126,6 +126,7 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     m = _Model(vocab, lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, MASK48)
     words, at = np.zeros((lanes, 3 * int(size[0]) + 8), np.uint16), np.zeros(lanes, np.int64)
+    flat, row = words.ravel(), np.arange(lanes) * words.shape[1]
     bits = np.uint64(m.bits)
     mix_bits = np.uint64(MIX_BITS)
     every = np.arange(lanes)
@@ -145,18 +146,19 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
         unit = rng[miss] >> bits
         low[miss] += unit * m.cum[y]
         rng[miss] = unit * m.freq[y]
-        on = every[:a]
+        on, lo, r = every[:a], low[:a], rng[:a]
         while True:
-            lo, r = low[on], rng[on]
-            same = ((lo ^ (lo + r)) >> np.uint64(32)) == 0
-            go = same | (r <= LOW32)
-            if not go.any():
+            same = (lo ^ (lo + r)) <= LOW32
+            go = np.flatnonzero(same | (r <= LOW32))
+            if not len(go):
                 break
             on, lo, r, same = on[go], lo[go], r[go], same[go]
             r = np.where(same, r, (~lo + np.uint64(1)) & LOW32)
-            words[on, at[on]] = lo >> np.uint64(32)
-            at[on] += 1
-            low[on], rng[on] = (lo << WORD) & MASK48, r << WORD
+            put = at[on]
+            flat[row[on] + put] = lo >> np.uint64(32)
+            at[on] = put + 1
+            lo, r = (lo << WORD) & MASK48, r << WORD
+            low[on], rng[on] = lo, r
         m.update(x, case)
     for s in (32, 16, 0):
         words[every, at] = (low >> np.uint64(s)) & np.uint64(0xFFFF)
@@ -210,18 +212,19 @@ def decode_block(data: bytes) -> np.ndarray:
         x[miss] = y
         low[miss] += unit * m.cum[y]
         rng[miss] = unit * m.freq[y]
-        on = every[:a]
+        on, lo, r = every[:a], low[:a], rng[:a]
         while True:
-            lo, r = low[on], rng[on]
-            same = ((lo ^ (lo + r)) >> np.uint64(32)) == 0
-            go = (same | (r <= LOW32)) & (r > 0)
-            if not go.any():
+            same = (lo ^ (lo + r)) <= LOW32
+            go = np.flatnonzero((same | (r <= LOW32)) & (r > 0))
+            if not len(go):
                 break
             on, lo, r, same = on[go], lo[go], r[go], same[go]
             r = np.where(same, r, (~lo + np.uint64(1)) & LOW32)
-            code[on] = ((code[on] << WORD) & MASK48) | flat[np.minimum(at[on], last)]
-            at[on] += 1
-            low[on], rng[on] = (lo << WORD) & MASK48, r << WORD
+            get = at[on]
+            code[on] = ((code[on] << WORD) & MASK48) | flat[np.minimum(get, last)]
+            at[on] = get + 1
+            lo, r = (lo << WORD) & MASK48, r << WORD
+            low[on], rng[on] = lo, r
         out[start[:a] + t] = x
         m.update(x, case)
     if zlib.crc32(out.astype("<u4").tobytes()) != crc:

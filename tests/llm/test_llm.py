@@ -4,11 +4,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commitscope.llm import components, idcoder, kdtree, langid, license, merkle, mixing, nearcopies, pii, simhash, spm, tokenfile, urlfilter
+from commitscope.llm import components, idcoder, kdtree, langid, license, merkle, mixing, nearcopies, pii, simhash, spm, tokenfile, urlfilter, wordbpe
 from commitscope.llm.queries import PIECES, WORD_BPE
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string"
@@ -139,6 +140,27 @@ def test_id_coder_round_trip():
         idcoder.decode_block(bytes(bad))
 
 
+BITS = [
+    "the", "The", "don't", "WE'RE", "'s", "x'll'd", "1a2", "42", "\u00e9", "\u00c9", "\u00c0\u00de\u00df", "\u00d7", "\u00f7", "a\u00d7b", "e\u0301", "\u212b", "<|", "<|endoftext|>", "a<|b", "<", "|", "||<",
+    "\x00", "\x1c", "\x7f", "\u00a0", "\u2003", "\u00ff", "\u00c3", "\u00e3", "\u4e2d\u6587", "\U0001f600", "...", "&&&", "a.b", "\u0131", "\u0130", " ", " ", " ", "\t", "\n", "\x0b", "\u017f", "\ufb01", "\u0085",
+]
+
+
+def test_texts_cut_at_once_have_the_librarys_ids():
+    words, rng = wordbpe.WordTokenizer(WORD_BPE), random.Random(3)
+    for _ in range(1500):
+        texts = ["".join(rng.choices(BITS, k=rng.randrange(12))) for _ in range(rng.randrange(6))]
+        ids, n = words.encode(pa.array(["pad x", *texts, "end"]).slice(1, len(texts)), 2)
+        want = [[*words.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_a_piece_is_encoded_once_whatever_words_it_stands_in():
+    words = wordbpe.WordTokenizer(WORD_BPE)
+    words.encode(pa.array([" ".join(f"{a}{n}{b}" for a in ("Alpha", "beta", "caf\u00e9") for n in range(1000) for b in ("", "...", "*"))]), 2)
+    assert sorted(words.units) == sorted(["alpha", "beta", "caf\u00e9", "...", "*", *"0123456789"])
+
+
 def test_token_files_equal_the_library(spark):
     from tokenizers import Tokenizer
 
