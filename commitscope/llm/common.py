@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +81,21 @@ def release(spark: SparkSession, since: int = 0) -> None:
         remove(spark, _written().pop())
 
 
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark removes a query's shuffle files when the query ends, not when the driver happens to collect garbage; tables in Parquet or checkpoints are all that later queries read."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; it stays unless the session sets ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
     shared_dir(df.sparkSession)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitscope.llm import langid, mixing, pii, simhash, spm
-from commitscope.llm.common import noted, release, remove, shared_dir
+from commitscope.llm.common import lean, noted, release, remove, shared_dir
 from commitscope.llm.queries import PIECES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -66,7 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         start = noted()
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with lean(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         # what the stage wrote on its way, and the stage before it, are read by nothing from here on
         release(spark, start)
         if before:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -753,3 +754,14 @@ def test_license_notices_equal_brute_force():
         width, mark = rng.choice((30, 72, 1000)), rng.choice(("", "# ", "* ", "    "))
         text = "\n\n".join("\n".join(mark + x for x in textwrap.wrap(p, width)) for p in paras)
         assert [m[0] for m in rules.match(rules.sentences(text))] == want
+
+
+def test_pipeline_leaves_no_shuffle_files(spark):
+    held = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = held(), spark.conf.get(key, None)
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    until = time.time() + 20  # they are removed in the background
+    while (left := held() - before) and time.time() < until:
+        time.sleep(0.5)
+    assert not left and spark.conf.get(key, None) == setting
