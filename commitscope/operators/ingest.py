@@ -54,7 +54,9 @@ def included_refs(refs: DataFrame) -> DataFrame:
     """References to index: excluded namespaces left out, the first kind of a name kept (branch, remote branch, tag)."""
     order = F.expr("case ref_type when 'branch' then 0 when 'remote_branch' then 1 else 2 end")
     kept = refs.where(~F.col("name").rlike(EXCLUDED_REFS))
-    return kept.withColumn("r", F.dense_rank().over(Window.partitionBy("name").orderBy(order))).where("r = 1").drop("r").dropDuplicates(["name", "sha"])
+    # only names of several kinds lose rows; a name's rows, which may be most of the table, never meet in one task
+    mixed = kept.groupBy("name").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last").select(F.col("name").alias("of"), "first")
+    return kept.join(mixed, (F.col("name") == F.col("of")) & (order > F.col("first")), "left_anti").dropDuplicates(["name", "sha"])
 
 
 def tags(refs: DataFrame, commits: DataFrame) -> DataFrame:

@@ -48,7 +48,8 @@ def history(spark: SparkSession, sf_dir: str) -> History:
     first = hit.groupBy("l_orderkey").agg(F.min_by("p_name", "l_partkey").alias("first_part"))
     who = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.expr(EXPR["name"]).alias("author_name"), F.expr(EXPR["email"]).alias("author_email"))
     k = F.col("o_orderkey")
-    commits = t("orders").join(who, F.col("o_custkey") == F.col("c_custkey")).join(first, k == F.col("l_orderkey"), "left")
+    base = t("orders").join(who, F.col("o_custkey") == F.col("c_custkey"))
+    commits = base.join(first, k == F.col("l_orderkey"), "left")
     subject = F.concat(F.expr(_pick(PREFIXES, "o_orderkey % 5")), F.col("o_orderpriority"), F.lit(" "), F.coalesce("first_part", F.lit("none")))
     parents = F.when(k == 0, F.array().cast("array<string>")).when((k % 50 == 0) & (k >= 7), F.array(_sha(k - 1), _sha(k - 7))).otherwise(F.array(_sha(k - 1)))
     body = (
@@ -58,15 +59,15 @@ def history(spark: SparkSession, sf_dir: str) -> History:
     )
     commits = commits.select(
         k.alias("k"), _sha(k).alias("sha"), parents.alias("parents"), "author_name", "author_email", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("committed_at"),
-        F.when(k % 97 == 0, F.concat(F.lit('Revert "'), subject, F.lit('"'))).otherwise(subject).alias("subject"), body.alias("body"), F.col("o_orderstatus").alias("state"),
+        F.when(k % 97 == 0, F.concat(F.lit('Revert "'), subject, F.lit('"'))).otherwise(subject).alias("subject"), body.alias("body"),
     )
-    one = commits.select("k", "sha", "state")
+    one = base.select(k.alias("k"), _sha(k).alias("sha"), F.col("o_orderstatus").alias("state"))  # no reference needs a commit's subject
     refs = (
         one.where("k % 10 <> 9").select(F.concat(F.lit("refs/heads/"), F.lower("state")).alias("name"), "sha", F.lit("branch").alias("ref_type"))
         .union(one.where("k % 100 = 0").select(F.concat(F.lit("refs/tags/v"), (F.col("k") / 100).cast("long").cast("string")), "sha", F.lit("tag")))
         .union(one.where("k % 333 = 0").select(F.concat(F.lit("refs/pull/"), F.col("k").cast("string"), F.lit("/head")), "sha", F.lit("remote_branch")))
     )
-    return History(commits.drop("state"), files, refs)
+    return History(commits, files, refs)
 
 
 #: The same view for an SQL engine that has the driver's tables; starts a WITH clause.

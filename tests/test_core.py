@@ -434,3 +434,12 @@ def test_delta_and_moved_references(spark):
     assert sorted(map(tuple, X.moved(refs, mark).collect())) == [("b", "2", "9"), ("c", "3", None)]
     commits = spark.createDataFrame([("1", "x"), ("2", "y"), ("2", "y")], "sha string, subject string")
     assert [tuple(r) for r in X.delta(commits, spark.createDataFrame([("1",)], "sha string")).collect()] == [("2", "y")]
+
+
+def test_a_name_of_very_many_references_meets_in_no_one_task(spark):
+    refs = spark.range(3000).selectExpr("'refs/heads/m' as name", "concat('c', id) as sha", "'branch' as ref_type")
+    refs = refs.union(spark.createDataFrame([("refs/heads/m", "t", "tag"), ("refs/pull/1/head", "c1", "branch"), ("refs/tags/x", "c2", "tag"), ("refs/tags/x", "c2", "tag")], "name string, sha string, ref_type string"))
+    kept = G.included_refs(refs)
+    assert kept.count() == 3001 and kept.where("sha = 't'").isEmpty()
+    tasks = kept.groupBy(F.spark_partition_id()).count().collect()
+    assert "Window" not in kept._jdf.queryExecution().toString() and sum(r["count"] for r in tasks) == 3001
