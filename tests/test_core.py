@@ -443,3 +443,17 @@ def test_a_name_of_very_many_references_meets_in_no_one_task(spark):
     assert kept.count() == 3001 and kept.where("sha = 't'").isEmpty()
     tasks = kept.groupBy(F.spark_partition_id()).count().collect()
     assert "Window" not in kept._jdf.queryExecution().toString() and sum(r["count"] for r in tasks) == 3001
+
+
+def test_pairs_travel_by_numbers_and_sweeping_commits_keep_all(spark, monkeypatch):
+    monkeypatch.setattr(A, "PAIR_BLOCK", 3)
+    rows = [(f"c{c}", f"p{p}") for c, paths in enumerate([range(8), range(5, 9), [1, 2], [1, 2, 2], []]) for p in paths]
+    got = A.cochange(spark.createDataFrame(rows, "sha string, path string"), least=2)
+    sets, want = [{p for c, p in rows if c == f"c{k}"} for k in range(4)], {}
+    for s in sets:
+        for a in s:
+            for b in s:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {tuple(r) for r in got.collect()} == {(a, b, n) for (a, b), n in want.items() if n >= 2}
+    assert not re.search(r"hashpartitioning\(path_a#\d+, path_b#\d+|hashpartitioning\(path#\d+, path#\d+", got._jdf.queryExecution().toString())
