@@ -12,6 +12,8 @@ from commitscope.operators import graph
 from commitscope.operators import ingest as G
 from commitscope.operators import reach as C
 from commitscope.operators import search as S
+from commitscope.plans import catalogue
+from commitscope.sources import gitlog as L
 
 
 def _counted(monkeypatch) -> list[int]:
@@ -104,3 +106,29 @@ def test_risk_reads_the_files_three_times(spark):
     assert len(got) == 9 and got["8"]["f_size"] == 0.0 and got["7"]["f_size"] == 0.05 and got["7"]["f_churn"] == 2 / 50 and got["2"]["f_revert"] == 1.0
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan parquet") <= 3
+
+
+def test_a_log_is_written_and_read_in_one_go(spark):
+    plan = catalogue.QUERIES["parse_log_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1  # the lines met their parts twice
+    assert plan.count(f"concat_ws({L.FIELD}") == 1  # the check of a record computed it a second time
+
+
+def test_sections_of_a_record_in_any_order(spark):
+    """Sections that git would print otherwise: repeated and missing paths, as a plain walk has them; a large commit is no square."""
+    rnd = random.Random(5)
+    records, want = [], {}
+    for k, n in enumerate([0, 1, 5, 5, 40, 20000]):
+        named = [(rnd.choice("AMDR"), f"d/{rnd.randrange(n)}") for _ in range(n)]
+        counted = [(rnd.randrange(9), rnd.randrange(9), f"d/{rnd.randrange(n)}") for _ in range(n)]
+        files = {}
+        for status, path in named:
+            files.setdefault(path, [status, 0, 0])
+        for i, x, path in counted:
+            f = files.setdefault(path, ["M", 0, 0])
+            f[1], f[2] = f[1] + i, f[2] + x
+        want[str(k)] = [(p, *f) for p, f in files.items()]
+        head = L.FIELD.join([str(k), "a", "a@x", "a", "a@x", "1", "1", "s", "", ""])
+        records.append((head + L.END + "\n\n" + "\n".join(f"{s}\t{p}" for s, p in named) + "\n\n" + "\n".join(f"{i}\t{x}\t{p}" for i, x, p in counted),))
+    got = L.parse_log(spark.createDataFrame(records, "value string")).collect()
+    assert {r["sha"]: [tuple(f) for f in r["files"]] for r in got} == want
