@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -132,3 +133,38 @@ def test_sections_of_a_record_in_any_order(spark):
         records.append((head + L.END + "\n\n" + "\n".join(f"{s}\t{p}" for s, p in named) + "\n\n" + "\n".join(f"{i}\t{x}\t{p}" for i, x, p in counted),))
     got = L.parse_log(spark.createDataFrame(records, "value string")).collect()
     assert {r["sha"]: [tuple(f) for f in r["files"]] for r in got} == want
+
+
+def test_references_are_counted_without_a_row_for_each(spark):
+    rnd = random.Random(8)
+    up = {0: []} | {i: sorted({rnd.choice([i - 1, rnd.randrange(i)]) for _ in range(rnd.choice([1, 1, 1, 2]))}, reverse=True) for i in range(1, 700)}
+    commits = spark.createDataFrame([(f"{i:03x}", [f"{p:03x}" for p in ps]) for i, ps in up.items()], "sha string, parents array<string>")
+    refs = spark.createDataFrame([(f"refs/tags/{i}", f"{i:03x}", "tag") for i in rnd.sample(range(700), 40)] + [("refs/heads/x", "010", "branch"), ("refs/heads/gone", "fff", "branch")], "name string, sha string, ref_type string")
+    places, links = C.history_of(commits)
+    tip = graph.checkpointed(C.tips(refs, places))
+    steps = C.closure(links, C.roots_of(tip))
+    want = {r["sha"]: r["count"] for r in C.commit_refs(places, steps, tip).groupBy("sha").count().collect()}
+    got = C.ref_counts(places, steps, tip)
+    assert {r["sha"]: r["refs"] for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_references_of_commits_are_listed_by_many_tasks(spark):
+    commits = spark.createDataFrame([(f"{i:03x}", [f"{i - 1:03x}"] if i else []) for i in range(300)], "sha string, parents array<string>")
+    refs = spark.createDataFrame([(f"refs/tags/{i}", f"{i:03x}", "tag") for i in range(0, 300, 10)], "name string, sha string, ref_type string")
+    out = C.membership(commits, refs)
+    assert out.count() == sum(i + 1 for i in range(0, 300, 10))
+    assert out.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_an_intermediate_table_leaves_no_shuffle_files(spark):
+    left = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    had = left()
+    out = graph.checkpointed(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.monotonic() + 10
+    while left() > had and time.monotonic() < until:
+        time.sleep(0.1)
+    assert left() <= had and out.count() == 7
+    with graph.lean(spark):
+        with graph.lean(spark):
+            pass
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
