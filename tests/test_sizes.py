@@ -168,3 +168,18 @@ def test_an_intermediate_table_leaves_no_shuffle_files(spark):
         with graph.lean(spark):
             pass
         assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+def test_risk_shuffles_paths_before_its_result_only(spark):
+    commits = spark.createDataFrame([("a", 1000, "s", "", "a@x")], "sha string, committed_at long, subject string, body string, author_email string")
+    files = graph.checkpointed(spark.createDataFrame([("a", "src/x.rs", 1, 1)], "sha string, path string, insertions long, deletions long"))
+    tags = spark.createDataFrame([("v1", "a", 1000)], "name string, sha string, tagged_at long")
+    out = A.risk(commits, files, tags, spark.createDataFrame([], "sha string, reverted_by string"), 8000)
+    assert "path#" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_of_a_batch_are_built_once(spark, monkeypatch):
+    seen, plain = [], S.corpus
+    monkeypatch.setattr(S, "corpus", lambda docs, columns: seen.append(docs) or plain(docs, columns))
+    catalogue.QUERIES["search_batch"](spark, "/root/testdata/sf0.001")
+    assert "l_orderkey" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
