@@ -472,9 +472,9 @@ select query, rank, sha, round(score, 6) as score, total_available from (select
 def search_batch(spark, d):
     """Many searches over stored postings in one job, each one's best hits."""
     h = history(spark, d)
-    docs, columns = _commit_docs(h), list(S.WEIGHTS)
+    docs, columns = checkpointed(_commit_docs(h)), list(S.WEIGHTS)
     n, tokens = S.corpus(docs, columns).first()
-    scored = S.looked_up_many(S.inverted(docs, "sha", columns), "sha", {i: S.parse(q) for i, q in enumerate(BATCH)}, S.WEIGHTS, n, tokens)
+    scored = checkpointed(S.looked_up_many(S.inverted(docs, "sha", columns), "sha", {i: S.parse(q) for i, q in enumerate(BATCH)}, S.WEIGHTS, n, tokens))
     return S.ranked_many(scored, _index(h), S.Query("", S.Filters(), 40), _now(h)).select("query", F.col("rank").cast("long").alias("rank"), "sha", _r("score", "score"), "total_available")
 
 
